@@ -76,3 +76,107 @@ def q_ordered_output(spark, sf_dir):
     """Merged, priced feed in sink form, sorted like the output file."""
     merged = merged_priced(spark, sf_dir)
     return _record_view(merged).orderBy("tenant_id", "sku", "vendor_id")
+
+
+# ---------------------------------------------------------------------------
+# Scalar functions (F1-F4, F6, F7, F10, F11) over whole driver tables.
+# ---------------------------------------------------------------------------
+from feedmerge.functions import (  # noqa: E402
+    format_datetime,
+    format_money_string,
+    landed_cost,
+    parse_datetime,
+    parse_decimal,
+    parse_int,
+    round_increment,
+    strip_ws,
+)
+from feedmerge.operators.rules import rule  # noqa: E402
+from feedmerge.schema import MONEY  # noqa: E402
+
+LINE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _keys():
+    return [F.col(c).cast("bigint").alias(c) for c in LINE_KEYS]
+
+
+@register("parse_int")
+def q_parse_int(spark, sf_dir):
+    """F1 on the quantity text of every line item."""
+    lines = dv.raw_lines(spark, sf_dir)
+    p = parse_int(F.col("f_qty"))
+    return lines.select(*_keys(), F.col("f_qty").alias("raw"), p.value.alias("value"), p.error.alias("error"))
+
+
+@register("parse_decimal")
+def q_parse_decimal(spark, sf_dir):
+    """F2 on the cost text of every line item (values are whole cents)."""
+    lines = dv.raw_lines(spark, sf_dir)
+    p = parse_decimal(F.col("f_cost"))
+    return lines.select(*_keys(), F.col("f_cost").alias("raw"),
+                        format_money_string(p.value).alias("value"),
+                        p.error.alias("error"), p.invalid.alias("invalid"))
+
+
+@register("parse_datetime")
+def q_parse_datetime(spark, sf_dir):
+    """F3 on the update-time text of every line item."""
+    lines = dv.raw_lines(spark, sf_dir)
+    p = parse_datetime(F.col("f_upd"))
+    return lines.select(*_keys(), F.col("f_upd").alias("raw"),
+                        format_datetime(p.value).alias("value"), p.error.alias("error"))
+
+
+@register("strip_ws")
+def q_strip_ws(spark, sf_dir):
+    """padded part names (spaces, tabs, newlines) stripped."""
+    part = dv.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    padded = (F.when(k % 4 == 0, F.concat(F.lit("\t "), F.col("p_name"), F.lit(" \n")))
+              .when(k % 4 == 1, F.concat(F.lit("  "), F.col("p_name")))
+              .when(k % 4 == 2, F.concat(F.col("p_name"), F.lit("\r\n")))
+              .otherwise(F.col("p_name")))
+    return part.select(F.col("p_partkey").cast("bigint").alias("p_partkey"),
+                       padded.alias("raw"), strip_ws(padded).alias("stripped"))
+
+
+@register("landed_cost")
+def q_landed_cost(spark, sf_dir):
+    """ranking cost of every offer under its tenant's rules."""
+    df = _offers_with_rules(spark, sf_dir)
+    lc = landed_cost(F.col("cost"), rule("shipping_handling_flat"), rule("include_shipping_handling"))
+    return df.select("tenant_id", "sku", "vendor_id",
+                     *[F.col(f"row_number.{c}").cast("bigint").alias(c) for c in LINE_KEYS[:2]],
+                     format_money_string(lc).alias("landed_cost"))
+
+
+@register("round_increment")
+def q_round_increment(spark, sf_dir):
+    """(cost + shipping) x (1 + margin) rounded half-up to each tenant's
+    increment (increment 0 leaves the value)."""
+    df = _offers_with_rules(spark, sf_dir).where(F.col("cost").isNotNull())
+    cand = (F.col("cost") + rule("shipping_handling_flat")) * (F.lit(1) + rule("base_margin_pct"))
+    rounded = round_increment(cand, rule("rounding_increment"))
+    return df.select("tenant_id", "sku", "vendor_id",
+                     *[F.col(f"row_number.{c}").cast("bigint").alias(c) for c in LINE_KEYS[:2]],
+                     F.bround(rounded * 10000, 0).cast("bigint").alias("rounded_units4"))
+
+
+@register("format_decimal")
+def q_format_decimal(spark, sf_dir):
+    """discount amounts (4 decimals) printed to cents, half-even."""
+    li = dv.table(spark, sf_dir, "lineitem")
+    ext_c = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    disc = F.round(F.col("l_discount") * 100).cast("bigint")
+    amount = (ext_c * disc).cast("decimal(20,0)") / F.lit(10000)
+    return li.select(*_keys(), format_money_string(amount.cast(MONEY)).alias("discount_amount"))
+
+
+@register("format_datetime")
+def q_format_datetime(spark, sf_dir):
+    """event times (microseconds) and order dates (whole seconds) as ISO-8601 UTC."""
+    ev = dv.table(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").cast("bigint").alias("event_id"),
+                     format_datetime(F.col("ts")).alias("ts_iso"),
+                     format_datetime(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("ts_sec_iso"))

@@ -99,3 +99,148 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         # input order inside a vendor's feed
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_number"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Raw (string) feeds: the parse path's input.
+# ---------------------------------------------------------------------------
+# Header layouts of the stand-in vendors (fixed test values).  Style 0 uses
+# the canonical names, style 1 renames every column, style 2 reorders,
+# mixes case and omits map_price, lead_time_days and condition.
+HEADER_STYLES = {
+    0: (["sku", "quantity_available", "cost", "map_price", "price", "lead_time_days",
+         "condition", "updated_at"], {}),
+    1: (["ITEM", "QTY", "COST", "MAP", "PRICE", "LEAD", "COND", "UPDATED"],
+        {"sku": "ITEM", "quantity_available": "QTY", "cost": "COST", "map_price": "MAP",
+         "price": "PRICE", "lead_time_days": "LEAD", "condition": "COND", "updated_at": "UPDATED"}),
+    2: (["Qty", "Sku", "Price", "Cost", "Updated"],
+        {"sku": "Sku", "quantity_available": "Qty", "price": "Price", "cost": "Cost",
+         "updated_at": "Updated"}),
+}
+# Field (by canonical name) held by each header position, per style.
+STYLE_FIELDS = {
+    0: ["sku", "quantity_available", "cost", "map_price", "price", "lead_time_days", "condition", "updated_at"],
+    1: ["sku", "quantity_available", "cost", "map_price", "price", "lead_time_days", "condition", "updated_at"],
+    2: ["quantity_available", "sku", "price", "cost", "updated_at"],
+}
+# A vendor whose supplier key is a multiple of this ships a header where the
+# quantity column is misnamed ("<name>_OLD"): "missing columns" for it.
+MISSING_QTY_EVERY = 23
+RUN_NOW = "2020-01-01 00:00:00"
+
+
+def _lit_array(values):
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _lit_map(d):
+    if not d:
+        return F.create_map().cast("map<string,string>")
+    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
+
+
+def vendor_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vendor: its tenant, config position, header and mapping."""
+    s = F.col("s_suppkey")
+    style = (s % 3).cast("int")
+    misnamed = s % MISSING_QTY_EVERY == 0
+
+    def header_for(st: int):
+        names, cmap = HEADER_STYLES[st]
+        qty_name = cmap.get("quantity_available", "quantity_available")
+        bad = [n + "_OLD" if n == qty_name else n for n in names]
+        return F.when(misnamed, _lit_array(bad)).otherwise(_lit_array(names))
+
+    header = F.when(style == 0, header_for(0)).when(style == 1, header_for(1)).otherwise(header_for(2))
+    cmap = (F.when(style == 0, _lit_map(HEADER_STYLES[0][1]))
+            .when(style == 1, _lit_map(HEADER_STYLES[1][1])).otherwise(_lit_map(HEADER_STYLES[2][1])))
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("T"), (s % N_TENANTS).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("V"), s.cast("string")).alias("vendor_id"),
+        s.cast("bigint").alias("vendor_ordinal"),
+        style.alias("style"),
+        header.alias("header"),
+        cmap.alias("column_map"),
+        F.when(s % 4 == 0, F.lit("new")).alias("default_condition"),
+        (s % 7 != 0).alias("required"),
+    )
+
+
+def _cents_text(cents):
+    """Non-negative integer cents as ``d.dd``."""
+    whole = ((cents - cents % 100) / 100).cast("bigint")
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as the strings a vendor file would hold, with a
+    deterministic share of malformed, blank and padded values."""
+    li = table(spark, sf_dir, "lineitem")
+    k = F.col("l_orderkey")
+    n = F.col("l_linenumber")
+    ext_c = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    tax = F.round(F.col("l_tax") * 100).cast("bigint")
+    no_disc = F.round(F.col("l_discount") * 100).cast("bigint") == 0
+    sku = F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string"))
+    q = (F.col("l_quantity").cast("bigint") - 3).cast("string")
+    cost = _cents_text(ext_c)
+    ts = F.col("l_shipdate").cast("timestamp")
+    cond_pick = (k + n) % 8
+    return li.select(
+        F.concat(F.lit("V"), F.col("l_suppkey").cast("string")).alias("vendor_id"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.when(k % 97 == 5, F.lit("")).when(k % 97 == 6, F.concat(F.lit("  "), sku, F.lit("\t")))
+        .otherwise(sku).alias("f_sku"),
+        F.when(k % 50 == 1, F.lit("n/a")).when(k % 50 == 2, F.lit(""))
+        .when(k % 50 == 3, F.concat(F.lit(" "), q, F.lit("\t")))
+        .when(k % 50 == 4, F.concat(q, F.lit("_0"))).when(k % 50 == 5, F.concat(q, F.lit(".0")))
+        .when(k % 50 == 6, F.concat(F.lit("+"), q)).otherwise(q).alias("f_qty"),
+        F.when(k % 70 == 1, F.lit("abc")).when(k % 70 == 2, F.lit("NaN")).when(k % 70 == 3, F.lit(""))
+        .when(k % 70 == 4, F.concat(ext_c.cast("string"), F.lit("e-2")))
+        .when(k % 70 == 5, F.concat(F.lit(" "), cost, F.lit(" ")))
+        .when(k % 70 == 6, F.concat(F.lit("1_"), cost)).otherwise(cost).alias("f_cost"),
+        F.when(k % 83 == 1, F.lit("Infinity")).when(no_disc, F.lit(""))
+        .otherwise(_cents_text(_round_div100(ext_c * (100 + 5 * tax)))).alias("f_map"),
+        F.when(k % 90 == 1, F.lit("")).when(k % 90 == 2, F.lit("-1.5"))
+        .otherwise(_cents_text(_round_div100(ext_c * (100 + tax)))).alias("f_price"),
+        F.when(k % 60 == 7, F.lit("3.5")).when(n % 3 == 0, F.lit(""))
+        .otherwise((n * 2).cast("string")).alias("f_lead"),
+        F.when(cond_pick == 0, F.lit("New")).when(cond_pick == 1, F.lit(" used "))
+        .when(cond_pick == 2, F.lit("REFURB")).when(cond_pick == 3, F.lit(""))
+        .when(cond_pick == 4, F.lit("new")).when(cond_pick == 5, F.lit("used"))
+        .when(cond_pick == 6, F.lit("refurb"))
+        .otherwise(F.when(k % 3 == 0, F.lit("broken")).when(k % 3 == 1, F.lit(" ")).otherwise(F.lit("Refurb")))
+        .alias("f_cond"),
+        F.when(n == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+        .when(n == 2, F.date_format(ts, "yyyy-MM-dd"))
+        .when(n == 3, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(n == 4, F.date_format(ts, "yyyy-M-d"))
+        .when(n == 5, F.when(k % 4 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+              .otherwise(F.date_format(ts, "yyyy-MM-dd")))
+        .when(n == 6, F.lit(""))
+        .otherwise(F.when(k % 5 == 0, F.date_format(ts, "dd/MM/yyyy"))
+                   .otherwise(F.date_format(ts, "yyyy-M-d H:m:s"))).alias("f_upd"),
+    )
+
+
+_FIELD_SOURCE = {"sku": "f_sku", "quantity_available": "f_qty", "cost": "f_cost", "map_price": "f_map",
+                 "price": "f_price", "lead_time_days": "f_lead", "condition": "f_cond", "updated_at": "f_upd"}
+
+
+def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows joined to their vendor's file layout: ``header``/``values``
+    arrays plus tenant, vendor position and mapping (the shape the CSV
+    source produces)."""
+    from feedmerge.operators.normalize import resolve_positions
+
+    files = resolve_positions(vendor_feeds(spark, sf_dir))
+    lines = raw_lines(spark, sf_dir)
+
+    def values_for(st: int):
+        return F.array(*[F.col(_FIELD_SOURCE[f]) for f in STYLE_FIELDS[st]])
+
+    joined = lines.join(files, "vendor_id")
+    values = (F.when(F.col("style") == 0, values_for(0)).when(F.col("style") == 1, values_for(1))
+              .otherwise(values_for(2)))
+    return joined.select(
+        *[c for c in joined.columns if not c.startswith("f_")], values.alias("values"))

@@ -115,3 +115,139 @@ FROM priced"""
 
 ORACLES["ordered_output"] = _WITH + _record_select(
     "best", cents_str(units4_to_cents("sell_u"))) + "\nORDER BY tenant_id, sku, vendor_id"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def cents_text(c: str) -> str:
+    return f"(CAST(({c}) // 100 AS VARCHAR) || '.' || lpad(CAST(({c}) % 100 AS VARCHAR), 2, '0'))"
+
+
+RAW_LINES_CTE = f"""
+rl0 AS (
+  SELECT l.*, CAST(round(l_extendedprice * 100) AS BIGINT) AS ext_c,
+         CAST(round(l_tax * 100) AS BIGINT) AS tax_pct,
+         CAST(round(l_discount * 100) AS BIGINT) AS disc_pct,
+         'SKU-' || CAST(l_partkey AS VARCHAR) AS sku0,
+         CAST(CAST(l_quantity AS BIGINT) - 3 AS VARCHAR) AS q0,
+         CAST(l_shipdate AS TIMESTAMP) AS ts0
+  FROM lineitem l),
+rl AS (
+  SELECT 'V' || CAST(l_suppkey AS VARCHAR) AS vendor_id, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    CASE WHEN l_orderkey % 97 = 5 THEN '' WHEN l_orderkey % 97 = 6 THEN '  ' || sku0 || chr(9) ELSE sku0 END AS f_sku,
+    CASE l_orderkey % 50 WHEN 1 THEN 'n/a' WHEN 2 THEN '' WHEN 3 THEN ' ' || q0 || chr(9)
+         WHEN 4 THEN q0 || '_0' WHEN 5 THEN q0 || '.0' WHEN 6 THEN '+' || q0 ELSE q0 END AS f_qty,
+    CASE l_orderkey % 70 WHEN 1 THEN 'abc' WHEN 2 THEN 'NaN' WHEN 3 THEN ''
+         WHEN 4 THEN CAST(ext_c AS VARCHAR) || 'e-2' WHEN 5 THEN ' ' || {cents_text('ext_c')} || ' '
+         WHEN 6 THEN '1_' || {cents_text('ext_c')} ELSE {cents_text('ext_c')} END AS f_cost,
+    CASE WHEN l_orderkey % 83 = 1 THEN 'Infinity' WHEN disc_pct = 0 THEN ''
+         ELSE {cents_text('(ext_c * (100 + 5 * tax_pct) + 50) // 100')} END AS f_map,
+    CASE WHEN l_orderkey % 90 = 1 THEN '' WHEN l_orderkey % 90 = 2 THEN '-1.5'
+         ELSE {cents_text('(ext_c * (100 + tax_pct) + 50) // 100')} END AS f_price,
+    CASE WHEN l_orderkey % 60 = 7 THEN '3.5' WHEN l_linenumber % 3 = 0 THEN ''
+         ELSE CAST(l_linenumber * 2 AS VARCHAR) END AS f_lead,
+    CASE (l_orderkey + l_linenumber) % 8 WHEN 0 THEN 'New' WHEN 1 THEN ' used ' WHEN 2 THEN 'REFURB'
+         WHEN 3 THEN '' WHEN 4 THEN 'new' WHEN 5 THEN 'used' WHEN 6 THEN 'refurb'
+         ELSE CASE l_orderkey % 3 WHEN 0 THEN 'broken' WHEN 1 THEN ' ' ELSE 'Refurb' END END AS f_cond,
+    CASE l_linenumber WHEN 1 THEN strftime(ts0, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts0, '%Y-%m-%d')
+         WHEN 3 THEN strftime(ts0, '%Y-%m-%dT%H:%M:%S') WHEN 4 THEN strftime(ts0, '%Y-%-m-%-d')
+         WHEN 5 THEN CASE WHEN l_orderkey % 4 = 0 THEN strftime(ts0, '%Y-%m-%dT%H:%M:%SZ')
+                          ELSE strftime(ts0, '%Y-%m-%d') END
+         WHEN 6 THEN ''
+         ELSE CASE WHEN l_orderkey % 5 = 0 THEN strftime(ts0, '%d/%m/%Y')
+                   ELSE strftime(ts0, '%Y-%-m-%-d %-H:%-M:%-S') END END AS f_upd
+  FROM rl0)"""
+
+KEYS = ("CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, "
+        "CAST(l_partkey AS BIGINT) AS l_partkey, CAST(l_suppkey AS BIGINT) AS l_suppkey")
+
+
+def int_value(raw: str) -> str:
+    s = strip_sql(raw)
+    return (f"CASE WHEN regexp_full_match({s}, '[+-]?[0-9]+(_[0-9]+)*') "
+            f"THEN try_cast(replace({s}, '_', '') AS BIGINT) END")
+
+
+def int_error(raw: str) -> str:
+    return (f"CASE WHEN {raw} IS NOT NULL AND {strip_sql(raw)} <> '' AND ({int_value(raw)}) IS NULL "
+            f"THEN 'invalid int: ' || {raw} END")
+
+
+def _dec_t(raw: str) -> str:
+    return f"replace({strip_sql(raw)}, '_', '')"
+
+
+def dec_value(raw: str) -> str:
+    t = _dec_t(raw)
+    return (f"CASE WHEN regexp_full_match({t}, '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?') "
+            f"THEN try_cast({t} AS DECIMAL(18,6)) END")
+
+
+def dec_nonfinite(raw: str) -> str:
+    return f"regexp_full_match(lower({_dec_t(raw)}), '[+-]?(inf|infinity|s?nan[0-9]*)')"
+
+
+def dec_error(raw: str) -> str:
+    return (f"CASE WHEN {raw} IS NOT NULL AND {_dec_t(raw)} <> '' AND NOT {dec_nonfinite(raw)} "
+            f"AND ({dec_value(raw)}) IS NULL THEN 'invalid decimal: ' || {raw} END")
+
+
+def dec_invalid(raw: str) -> str:
+    return f"CASE WHEN {dec_nonfinite(raw)} THEN 'Input should be a finite number' END"
+
+
+def ts_value(raw: str) -> str:
+    s = strip_sql(raw)
+    return (f"coalesce(try_strptime({s}, '%Y-%m-%d %H:%M:%S'), try_strptime({s}, '%Y-%m-%d'), "
+            f"try_strptime({s}, '%Y-%m-%dT%H:%M:%S'))")
+
+
+def ts_error(raw: str) -> str:
+    return (f"CASE WHEN {raw} IS NOT NULL AND {strip_sql(raw)} <> '' AND ({ts_value(raw)}) IS NULL "
+            f"THEN 'invalid datetime: ' || {raw} END")
+
+
+ORACLES["parse_int"] = f"""WITH {RAW_LINES_CTE}
+SELECT {KEYS}, f_qty AS raw, {int_value('f_qty')} AS value, {int_error('f_qty')} AS error FROM rl"""
+
+ORACLES["parse_decimal"] = f"""WITH {RAW_LINES_CTE}
+SELECT {KEYS}, f_cost AS raw, {cents_str(f"CAST(({dec_value('f_cost')}) * 100 AS BIGINT)")} AS value,
+       {dec_error('f_cost')} AS error, {dec_invalid('f_cost')} AS invalid FROM rl"""
+
+ORACLES["parse_datetime"] = f"""WITH {RAW_LINES_CTE}
+SELECT {KEYS}, f_upd AS raw, {iso_ts(ts_value('f_upd'))} AS value, {ts_error('f_upd')} AS error FROM rl"""
+
+ORACLES["strip_ws"] = f"""
+WITH p AS (
+  SELECT CAST(p_partkey AS BIGINT) AS p_partkey,
+         CASE p_partkey % 4 WHEN 0 THEN chr(9) || ' ' || p_name || ' ' || chr(10)
+                            WHEN 1 THEN '  ' || p_name
+                            WHEN 2 THEN p_name || chr(13) || chr(10)
+                            ELSE p_name END AS raw
+  FROM part)
+SELECT p_partkey, raw, {strip_sql('raw')} AS stripped FROM p"""
+
+ORACLES["landed_cost"] = _WITH + f"""
+SELECT tenant_id, sku, vendor_id, CAST(l_orderkey AS BIGINT) AS l_orderkey,
+       CAST(l_linenumber AS BIGINT) AS l_linenumber, {cents_str('landed_c')} AS landed_cost
+FROM priced"""
+
+ORACLES["round_increment"] = _WITH + """
+SELECT tenant_id, sku, vendor_id, CAST(l_orderkey AS BIGINT) AS l_orderkey,
+       CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       CAST(CASE WHEN inc_c <= 0 THEN (cost_c + ship_c) * (100 + margin_pct)
+                 ELSE ((2 * (cost_c + ship_c) * (100 + margin_pct) + inc_c * 100) // (2 * inc_c * 100)) * inc_c * 100
+            END AS BIGINT) AS rounded_units4
+FROM priced WHERE cost_c IS NOT NULL"""
+
+ORACLES["format_decimal"] = f"""
+WITH x AS (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) AS amt_u
+           FROM lineitem)
+SELECT {KEYS}, {cents_str(units4_to_cents('amt_u'))} AS discount_amount FROM x"""
+
+ORACLES["format_datetime"] = f"""
+SELECT CAST(event_id AS BIGINT) AS event_id, {iso_ts('CAST(ts AS TIMESTAMP)')} AS ts_iso,
+       {iso_ts("date_trunc('second', CAST(ts AS TIMESTAMP))")} AS ts_sec_iso
+FROM events"""
