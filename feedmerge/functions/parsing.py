@@ -1,5 +1,8 @@
 """Text-to-value conversions with per-row error messages.
 
+Pass ``stripped`` when the caller already holds the stripped text (a column
+computed once in an earlier projection keeps generated code small).
+
 Each parser returns a :class:`Parsed` triple of Columns:
 
 * ``value`` -- the converted value, NULL when the input is blank or bad;
@@ -42,15 +45,15 @@ def _blank(raw: Column, stripped: Column) -> Column:
     return raw.isNull() | (stripped == "")
 
 
-def parse_int(raw: Column) -> Parsed:
-    s = strip_ws(raw)
+def parse_int(raw: Column, stripped: Column | None = None) -> Parsed:
+    s = strip_ws(raw) if stripped is None else stripped
     value = F.when(s.rlike(_INT_PATTERN), F.regexp_replace(s, "_", "").try_cast("bigint"))
     error = F.when(~_blank(raw, s) & value.isNull(), F.concat(F.lit("invalid int: "), raw))
     return Parsed(value, error, F.lit(None).cast("string"))
 
 
-def parse_decimal(raw: Column, dtype=MONEY) -> Parsed:
-    s = F.regexp_replace(strip_ws(raw), "_", "")
+def parse_decimal(raw: Column, dtype=MONEY, stripped: Column | None = None) -> Parsed:
+    s = F.regexp_replace(strip_ws(raw) if stripped is None else stripped, "_", "")
     finite = s.rlike(_DECIMAL_PATTERN)
     nonfinite = s.rlike(_NONFINITE_PATTERN)
     value = F.when(finite, s.try_cast(dtype))
@@ -61,8 +64,8 @@ def parse_decimal(raw: Column, dtype=MONEY) -> Parsed:
     return Parsed(value, error, invalid)
 
 
-def parse_datetime(raw: Column) -> Parsed:
-    s = strip_ws(raw)
+def parse_datetime(raw: Column, stripped: Column | None = None) -> Parsed:
+    s = strip_ws(raw) if stripped is None else stripped
     value = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in _DATETIME_FORMATS])
     error = F.when(~_blank(raw, s) & value.isNull(),
                    F.concat(F.lit("invalid datetime: "), raw))

@@ -78,58 +78,77 @@ def normalize(rows: DataFrame, now: Column, *, values: str = "values") -> DataFr
 
     ``rows`` needs ``vendor_id``, ``pos_<field>`` columns (``resolve_positions``),
     ``values`` and optionally ``default_condition``.  Other columns pass through.
+
+    The work is staged in three projections (raw fields, stripped text,
+    converted values) so every expression is computed once and each
+    generated code block stays small.
     """
-    raw = {f: field_value(f, values) for f in FEED_FIELDS}
-    qty = parse_int(raw["quantity_available"])
-    cost = parse_decimal(raw["cost"])
-    map_price = parse_decimal(raw["map_price"])
-    msrp = parse_decimal(raw["msrp"])
-    lead = parse_int(raw["lead_time_days"])
-    price = parse_decimal(raw["price"])
-    updated = parse_datetime(raw["updated_at"])
+    keep = [c for c in rows.columns
+            if (c == "vendor_id" or c not in set(CANONICAL_COLUMNS)) and not c.startswith("pos_")]
+    if "default_condition" not in rows.columns:
+        rows = rows.withColumn("default_condition", F.lit(None).cast("string"))
+        keep.append("default_condition")
+    # 1. raw text of every field
+    staged = rows.select(*keep, *[field_value(f, values).alias(f"_raw_{f}") for f in FEED_FIELDS])
+    raw = {f: F.col(f"_raw_{f}") for f in FEED_FIELDS}
+    # 2. stripped text of the converted fields and the condition input
+    cond_in = F.when(F.coalesce(raw["condition"], F.lit("")) == "",
+                     F.col("default_condition")).otherwise(raw["condition"])
+    staged = staged.select(
+        "*",
+        *[strip_ws(raw[f]).alias(f"_s_{f}") for f in CONVERSION_ORDER],
+        strip_ws(F.coalesce(raw["sku"], F.lit(""))).alias("_s_sku"),
+        cond_in.alias("_cond_in"),
+    )
+    st = {f: F.col(f"_s_{f}") for f in CONVERSION_ORDER}
+    qty = parse_int(raw["quantity_available"], st["quantity_available"])
+    cost = parse_decimal(raw["cost"], stripped=st["cost"])
+    map_price = parse_decimal(raw["map_price"], stripped=st["map_price"])
+    msrp = parse_decimal(raw["msrp"], stripped=st["msrp"])
+    lead = parse_int(raw["lead_time_days"], st["lead_time_days"])
+    price = parse_decimal(raw["price"], stripped=st["price"])
+    updated = parse_datetime(raw["updated_at"], st["updated_at"])
     parsed = {"quantity_available": qty, "cost": cost, "map_price": map_price, "msrp": msrp,
               "lead_time_days": lead, "price": price, "updated_at": updated}
-    conversion_error = F.coalesce(*[parsed[f].error for f in CONVERSION_ORDER])
-
-    default_condition = (F.col("default_condition") if "default_condition" in rows.columns
-                         else F.lit(None).cast("string"))
-    cond_in = F.when(F.coalesce(raw["condition"], F.lit("")) == "", default_condition).otherwise(raw["condition"])
-    cond_norm = F.lower(strip_ws(cond_in))
-    cond_ok = cond_in.isNull() | cond_norm.isin(*CONDITIONS)
-
-    quantity = F.coalesce(qty.value, F.lit(0).cast("bigint"))
-    sku_raw = F.coalesce(raw["sku"], F.lit(""))
+    # 3. converted values, the first conversion error and model-level flags
+    staged = staged.select(
+        *keep, "_raw_sku", "_raw_vendor_sku", "_raw_brand", "_raw_title", "_s_sku", "_cond_in",
+        *[parsed[f].value.alias(f"_v_{f}") for f in CONVERSION_ORDER],
+        F.coalesce(*[parsed[f].error for f in CONVERSION_ORDER]).alias("_conversion_error"),
+        *[parsed[f].invalid.alias(f"_i_{f}") for f in ("cost", "map_price", "price", "msrp")],
+    )
+    v = {f: F.col(f"_v_{f}") for f in CONVERSION_ORDER}
+    quantity = F.coalesce(v["quantity_available"], F.lit(0).cast("bigint"))
+    cond_norm = F.lower(strip_ws(F.col("_cond_in")))
+    cond_ok = F.col("_cond_in").isNull() | cond_norm.isin(*CONDITIONS)
     validator_errors = [
-        _required(sku_raw, "sku"),
+        F.when(F.col("_s_sku") == "", F.lit("sku: value is required")),
         _required(F.col("vendor_id"), "vendor_id"),
         F.when(quantity < 0, F.lit("quantity_available: quantity_available must be >= 0")),
-        F.when(cost.invalid.isNotNull(), F.concat(F.lit("cost: "), cost.invalid)),
-        F.when(map_price.invalid.isNotNull(), F.concat(F.lit("map_price: "), map_price.invalid)),
-        F.when(price.invalid.isNotNull(), F.concat(F.lit("price: "), price.invalid)),
-        F.when(msrp.invalid.isNotNull(), F.concat(F.lit("msrp: "), msrp.invalid)),
+        *[F.when(F.col(f"_i_{f}").isNotNull(), F.concat(F.lit(f"{f}: "), F.col(f"_i_{f}")))
+          for f in ("cost", "map_price", "price", "msrp")],
         F.when(~cond_ok, F.lit("condition: condition must be new, used, or refurb")),
     ]
     validation = F.concat_ws("; ", *validator_errors)
-    reason = F.coalesce(conversion_error, F.when(validation != "", validation))
-
-    keep = [c for c in rows.columns if c not in set(CANONICAL_COLUMNS) and not c.startswith("pos_")]
-    return rows.select(
-        *keep,
-        strip_ws(sku_raw).alias("sku"),
-        raw["vendor_sku"].alias("vendor_sku"),
-        strip_ws(F.col("vendor_id")).alias("_vendor_id"),
+    reason = F.coalesce(F.col("_conversion_error"), F.when(validation != "", validation))
+    out = staged.select(
+        *[c for c in keep if c != "vendor_id"],
+        F.col("_s_sku").alias("sku"),
+        F.col("_raw_vendor_sku").alias("vendor_sku"),
+        strip_ws(F.col("vendor_id")).alias("vendor_id"),
         quantity.alias("quantity_available"),
-        lead.value.alias("lead_time_days"),
-        cost.value.alias("cost"),
-        map_price.value.alias("map_price"),
-        F.coalesce(price.value, F.lit(0).cast(MONEY)).alias("price"),
-        msrp.value.alias("msrp"),
-        F.when(cond_in.isNotNull(), cond_norm).alias("condition"),
-        raw["brand"].alias("brand"),
-        raw["title"].alias("title"),
-        F.coalesce(updated.value, now.cast("timestamp")).alias("updated_at"),
+        v["lead_time_days"].alias("lead_time_days"),
+        v["cost"].alias("cost"),
+        v["map_price"].alias("map_price"),
+        F.coalesce(v["price"], F.lit(0).cast(MONEY)).alias("price"),
+        v["msrp"].alias("msrp"),
+        F.when(F.col("_cond_in").isNotNull(), cond_norm).alias("condition"),
+        F.col("_raw_brand").alias("brand"),
+        F.col("_raw_title").alias("title"),
+        F.coalesce(v["updated_at"], now.cast("timestamp")).alias("updated_at"),
         reason.alias("reason"),
-    ).drop("vendor_id").withColumnRenamed("_vendor_id", "vendor_id")
+    )
+    return out
 
 
 def split_valid(normalized: DataFrame) -> DataFrame:

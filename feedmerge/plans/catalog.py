@@ -180,3 +180,103 @@ def q_format_datetime(spark, sf_dir):
     return ev.select(F.col("event_id").cast("bigint").alias("event_id"),
                      format_datetime(F.col("ts")).alias("ts_iso"),
                      format_datetime(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("ts_sec_iso"))
+
+
+# ---------------------------------------------------------------------------
+# Normalisation (P1-P9, U1, U2) over the raw stand-in feeds.
+# ---------------------------------------------------------------------------
+from functools import reduce  # noqa: E402
+
+from feedmerge.operators import normalize as nz  # noqa: E402
+from feedmerge.operators.quality import vendor_errors  # noqa: E402
+
+
+def _now():
+    return F.lit(dv.RUN_NOW).cast("timestamp")
+
+
+def _normalized(spark, sf_dir, feed=None):
+    feed = feed if feed is not None else dv.raw_feed(spark, sf_dir)
+    good = feed.where(F.col("missing_columns").isNull())
+    return nz.normalize(good, _now())
+
+
+def _canonical_view(df):
+    return df.select(
+        "tenant_id", "vendor_id", *_keys(), "sku",
+        F.col("quantity_available").cast("bigint").alias("quantity_available"),
+        F.col("lead_time_days").cast("bigint").alias("lead_time_days"),
+        sink_value(df, "cost"), sink_value(df, "map_price"), sink_value(df, "price"),
+        "condition", sink_value(df, "updated_at"))
+
+
+@register("column_map")
+def q_column_map(spark, sf_dir):
+    """Each canonical field read through the vendor's header mapping."""
+    feed = dv.raw_feed(spark, sf_dir)
+    fields = ["sku", "quantity_available", "cost", "map_price", "price", "lead_time_days",
+              "condition", "updated_at"]
+    return feed.select("vendor_id", *_keys(), *[nz.field_value(f).alias(f"raw_{f}") for f in fields])
+
+
+@register("missing_columns")
+def q_missing_columns(spark, sf_dir):
+    """Required columns absent from each vendor's header."""
+    files = nz.resolve_positions(dv.vendor_feeds(spark, sf_dir))
+    return files.select("tenant_id", "vendor_id", "missing_columns")
+
+
+@register("defaults")
+def q_defaults(spark, sf_dir):
+    """Blank quantity/price -> 0, blank condition -> vendor default,
+    blank time -> run time."""
+    df = _normalized(spark, sf_dir)
+    return df.select("tenant_id", "vendor_id", *_keys(),
+                     F.col("quantity_available").cast("bigint").alias("quantity_available"),
+                     sink_value(df, "price"), "condition", sink_value(df, "updated_at"))
+
+
+@register("validate_rows")
+def q_validate_rows(spark, sf_dir):
+    """The reject reason of every row (NULL when valid)."""
+    df = _normalized(spark, sf_dir)
+    return df.select("tenant_id", "vendor_id", *_keys(), "reason")
+
+
+@register("split_valid")
+def q_split_valid(spark, sf_dir):
+    """Valid rows as canonical records."""
+    return _canonical_view(nz.split_valid(_normalized(spark, sf_dir)))
+
+
+@register("split_rejects")
+def q_split_rejects(spark, sf_dir):
+    """Rejected rows with their reason and raw row."""
+    rej = nz.split_rejects(_normalized(spark, sf_dir))
+    data = nz.row_data()
+    return rej.select("tenant_id", "vendor_id", *_keys(), "reason",
+                      data.getItem(nz.mapped_name("sku")).alias("raw_sku"),
+                      F.size(data).cast("bigint").alias("n_fields"))
+
+
+@register("union_feeds")
+def q_union_feeds(spark, sf_dir):
+    """Vendors normalised per header layout, then unioned by name."""
+    feed = dv.raw_feed(spark, sf_dir)
+    parts = [nz.split_valid(_normalized(spark, sf_dir, feed.where(F.col("style") == st)))
+             .select("tenant_id", "vendor_id", *_keys(), "sku") for st in sorted(dv.HEADER_STYLES)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("all_errors")
+def q_all_errors(spark, sf_dir):
+    """Row rejects plus vendor-level entries (missing columns under a
+    lenient policy) in one error list."""
+    rules = dv.tenant_rules(spark, sf_dir)
+    files = nz.resolve_positions(dv.vendor_feeds(spark, sf_dir))
+    rows = nz.split_rejects(_normalized(spark, sf_dir)).select(
+        "tenant_id", "vendor_id", *_keys(), F.lit(None).cast("bigint").alias("row_number"), "reason")
+    vend = vendor_errors(files, rules).select(
+        "tenant_id", "vendor_id", *[F.lit(None).cast("bigint").alias(c) for c in LINE_KEYS],
+        "row_number", "reason")
+    return rows.unionByName(vend)

@@ -251,3 +251,101 @@ ORACLES["format_datetime"] = f"""
 SELECT CAST(event_id AS BIGINT) AS event_id, {iso_ts('CAST(ts AS TIMESTAMP)')} AS ts_iso,
        {iso_ts("date_trunc('second', CAST(ts AS TIMESTAMP))")} AS ts_sec_iso
 FROM events"""
+
+
+# ---------------------------------------------------------------------------
+# Normalisation over the raw stand-in feeds.
+# ---------------------------------------------------------------------------
+VENDORS_CTE = """
+vend AS (
+  SELECT 'T' || CAST(s_suppkey % 5 AS VARCHAR) AS tenant_id, 'V' || CAST(s_suppkey AS VARCHAR) AS vendor_id,
+         CAST(s_suppkey AS BIGINT) AS vendor_ordinal, s_suppkey % 3 AS style, s_suppkey % 23 = 0 AS misnamed,
+         CASE WHEN s_suppkey % 4 = 0 THEN 'new' END AS default_condition,
+         s_suppkey % 7 <> 0 AS required,
+         CASE WHEN s_suppkey % 23 = 0 THEN 'missing columns: ' ||
+              CASE s_suppkey % 3 WHEN 0 THEN 'quantity_available' WHEN 1 THEN 'QTY' ELSE 'Qty' END END
+           AS missing_columns
+  FROM supplier)"""
+
+FIELDS_CTE = """
+fv AS (
+  SELECT v.tenant_id, v.vendor_ordinal, v.default_condition, v.missing_columns, v.style, r.*,
+         f_sku AS r_sku, CASE WHEN misnamed THEN NULL ELSE f_qty END AS r_qty, f_cost AS r_cost,
+         CASE WHEN style = 2 THEN NULL ELSE f_map END AS r_map, f_price AS r_price,
+         CASE WHEN style = 2 THEN NULL ELSE f_lead END AS r_lead,
+         CASE WHEN style = 2 THEN NULL ELSE f_cond END AS r_cond, f_upd AS r_upd
+  FROM rl r JOIN vend v USING (vendor_id))"""
+
+NORM_CTE = f"""
+nz0 AS (
+  SELECT *,
+    {int_value('r_qty')} AS qty_v, {int_error('r_qty')} AS qty_e,
+    {dec_value('r_cost')} AS cost_v, {dec_error('r_cost')} AS cost_e, {dec_nonfinite('r_cost')} AS cost_nf,
+    {dec_value('r_map')} AS map_v, {dec_error('r_map')} AS map_e, coalesce({dec_nonfinite('r_map')}, false) AS map_nf,
+    {int_value('r_lead')} AS lead_v, {int_error('r_lead')} AS lead_e,
+    {dec_value('r_price')} AS price_v, {dec_error('r_price')} AS price_e, {dec_nonfinite('r_price')} AS price_nf,
+    {ts_value('r_upd')} AS upd_v, {ts_error('r_upd')} AS upd_e,
+    CASE WHEN coalesce(r_cond, '') = '' THEN default_condition ELSE r_cond END AS cond_in
+  FROM fv WHERE missing_columns IS NULL),
+nz AS (
+  SELECT *,
+    {strip_sql("coalesce(r_sku, '')")} AS sku,
+    coalesce(qty_v, 0) AS quantity_available,
+    lead_v AS lead_time_days,
+    CAST(cost_v * 100 AS BIGINT) AS cost_c, CAST(map_v * 100 AS BIGINT) AS map_c,
+    CAST(coalesce(price_v, 0) * 100 AS BIGINT) AS price_c,
+    CASE WHEN cond_in IS NOT NULL THEN lower({strip_sql('cond_in')}) END AS condition,
+    coalesce(upd_v, TIMESTAMP '2020-01-01 00:00:00') AS updated_at,
+    coalesce(qty_e, cost_e, map_e, lead_e, price_e, upd_e,
+      nullif(concat_ws('; ',
+        CASE WHEN {strip_sql("coalesce(r_sku, '')")} = '' THEN 'sku: value is required' END,
+        CASE WHEN coalesce(qty_v, 0) < 0 THEN 'quantity_available: quantity_available must be >= 0' END,
+        CASE WHEN cost_nf THEN 'cost: Input should be a finite number' END,
+        CASE WHEN map_nf THEN 'map_price: Input should be a finite number' END,
+        CASE WHEN price_nf THEN 'price: Input should be a finite number' END,
+        CASE WHEN cond_in IS NOT NULL AND lower({strip_sql('cond_in')}) NOT IN ('new', 'used', 'refurb')
+             THEN 'condition: condition must be new, used, or refurb' END), '')) AS reason
+  FROM nz0)"""
+
+_NWITH = "WITH " + ",".join([RULES_CTE, RAW_LINES_CTE, VENDORS_CTE, FIELDS_CTE, NORM_CTE])
+
+CANON_SELECT = f"""tenant_id, vendor_id, {KEYS}, sku, CAST(quantity_available AS BIGINT) AS quantity_available,
+       CAST(lead_time_days AS BIGINT) AS lead_time_days, {cents_str('cost_c')} AS cost,
+       {cents_str('map_c')} AS map_price, {cents_str('price_c')} AS price, condition,
+       {iso_ts('updated_at')} AS updated_at"""
+
+ORACLES["column_map"] = f"""WITH {RAW_LINES_CTE}, {VENDORS_CTE}, {FIELDS_CTE}
+SELECT vendor_id, {KEYS}, r_sku AS raw_sku, r_qty AS raw_quantity_available, r_cost AS raw_cost,
+       r_map AS raw_map_price, r_price AS raw_price, r_lead AS raw_lead_time_days, r_cond AS raw_condition,
+       r_upd AS raw_updated_at
+FROM fv"""
+
+ORACLES["missing_columns"] = f"""WITH {VENDORS_CTE}
+SELECT tenant_id, vendor_id, missing_columns FROM vend"""
+
+ORACLES["defaults"] = _NWITH + f"""
+SELECT tenant_id, vendor_id, {KEYS}, CAST(quantity_available AS BIGINT) AS quantity_available,
+       {cents_str('price_c')} AS price, condition, {iso_ts('updated_at')} AS updated_at
+FROM nz"""
+
+ORACLES["validate_rows"] = _NWITH + f"""
+SELECT tenant_id, vendor_id, {KEYS}, reason FROM nz"""
+
+ORACLES["split_valid"] = _NWITH + f"""
+SELECT {CANON_SELECT} FROM nz WHERE reason IS NULL"""
+
+ORACLES["split_rejects"] = _NWITH + f"""
+SELECT tenant_id, vendor_id, {KEYS}, reason, r_sku AS raw_sku,
+       CAST(CASE WHEN style = 2 THEN 5 ELSE 8 END AS BIGINT) AS n_fields
+FROM nz WHERE reason IS NOT NULL"""
+
+ORACLES["union_feeds"] = _NWITH + f"""
+SELECT tenant_id, vendor_id, {KEYS}, sku FROM nz WHERE reason IS NULL"""
+
+ORACLES["all_errors"] = _NWITH + f"""
+SELECT tenant_id, vendor_id, {KEYS}, CAST(NULL AS BIGINT) AS row_number, reason
+FROM nz WHERE reason IS NOT NULL
+UNION ALL
+SELECT v.tenant_id, v.vendor_id, NULL, NULL, NULL, NULL, CAST(0 AS BIGINT), v.missing_columns
+FROM vend v JOIN rules r USING (tenant_id)
+WHERE v.missing_columns IS NOT NULL AND NOT r.fail_on_missing_cols"""
