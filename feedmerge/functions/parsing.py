@@ -27,11 +27,14 @@ from feedmerge.schema import MONEY
 _INT_PATTERN = r"^[+-]?[0-9]+(_[0-9]+)*$"
 # Python Decimal(): underscores are dropped first, then sign, digits with an
 # optional point, optional exponent; or a special value.
-_DECIMAL_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _NONFINITE_PATTERN = r"(?i)^[+-]?(inf|infinity|s?nan[0-9]*)$"
 # datetime.strptime formats %Y-%m-%d %H:%M:%S, %Y-%m-%d, %Y-%m-%dT%H:%M:%S
-# (one- or two-digit fields, no zone, no fraction), tried in this order.
-_DATETIME_FORMATS = ("yyyy-M-d H:m:s", "yyyy-M-d", "yyyy-M-d'T'H:m:s")
+# (four-digit year, one- or two-digit fields, no zone, no fraction).  A text
+# can only match the format whose separators it has, so the separator picks
+# the one format to try: no failed attempts (costly inside the parser).
+_DATETIME_SPACE = "yyyy-M-d H:m:s"
+_DATETIME_DATE = "yyyy-M-d"
+_DATETIME_T = "yyyy-M-d'T'H:m:s"
 
 
 @dataclass(frozen=True)
@@ -47,16 +50,20 @@ def _blank(raw: Column, stripped: Column) -> Column:
 
 def parse_int(raw: Column, stripped: Column | None = None) -> Parsed:
     s = strip_ws(raw) if stripped is None else stripped
-    value = F.when(s.rlike(_INT_PATTERN), F.regexp_replace(s, "_", "").try_cast("bigint"))
+    # Without underscores Spark's cast accepts exactly Python's int() text
+    # (sign, ASCII digits); with them, check the grouping first.
+    value = (F.when(~s.contains("_"), s.try_cast("bigint"))
+             .when(s.rlike(_INT_PATTERN), F.replace(s, F.lit("_"), F.lit("")).try_cast("bigint")))
     error = F.when(~_blank(raw, s) & value.isNull(), F.concat(F.lit("invalid int: "), raw))
     return Parsed(value, error, F.lit(None).cast("string"))
 
 
 def parse_decimal(raw: Column, dtype=MONEY, stripped: Column | None = None) -> Parsed:
-    s = F.regexp_replace(strip_ws(raw) if stripped is None else stripped, "_", "")
-    finite = s.rlike(_DECIMAL_PATTERN)
-    nonfinite = s.rlike(_NONFINITE_PATTERN)
-    value = F.when(finite, s.try_cast(dtype))
+    s = F.replace(strip_ws(raw) if stripped is None else stripped, F.lit("_"), F.lit(""))
+    # Spark's decimal cast reads the same finite grammar as Python's
+    # Decimal() (sign, digits, point, exponent) once underscores are gone.
+    value = s.try_cast(dtype)
+    nonfinite = value.isNull() & s.rlike(_NONFINITE_PATTERN)
     # Out of the fixed-point range counts as unparseable (documented divergence).
     error = F.when(~_blank(raw, s) & ~nonfinite & value.isNull(),
                    F.concat(F.lit("invalid decimal: "), raw))
@@ -66,7 +73,9 @@ def parse_decimal(raw: Column, dtype=MONEY, stripped: Column | None = None) -> P
 
 def parse_datetime(raw: Column, stripped: Column | None = None) -> Parsed:
     s = strip_ws(raw) if stripped is None else stripped
-    value = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in _DATETIME_FORMATS])
+    value = (F.when(s.contains(" "), F.try_to_timestamp(s, F.lit(_DATETIME_SPACE)))
+             .when(s.contains("T"), F.try_to_timestamp(s, F.lit(_DATETIME_T)))
+             .otherwise(F.try_to_timestamp(s, F.lit(_DATETIME_DATE))))
     error = F.when(~_blank(raw, s) & value.isNull(),
                    F.concat(F.lit("invalid datetime: "), raw))
     return Parsed(value, error, F.lit(None).cast("string"))

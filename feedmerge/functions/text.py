@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes every character for which str.isspace() is
-# true: the Unicode White_Space set plus the ASCII separators 0x1C-0x1F.
-_WS = r"[\s\x{1C}-\x{1F}]"
-_STRIP_PATTERN = rf"(?U)^{_WS}+|{_WS}+$"
+# The characters Python's str.strip() removes (those for which
+# str.isspace() is true), by code point:
+# 0x09-0x0D, 0x1C-0x1F, 0x20, 0x85, 0xA0, 0x1680, 0x2000-0x200A, 0x2028,
+# 0x2029, 0x202F, 0x205F, 0x3000.
+PY_WHITESPACE = "".join(chr(c) for c in [
+    *range(0x09, 0x0E), *range(0x1C, 0x20), 0x20, 0x85, 0xA0, 0x1680,
+    *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+])
 
 
 def strip_ws(c: Column) -> Column:
     """Trim leading/trailing whitespace of every kind (tabs, newlines, NBSP).
 
-    Spark's ``trim`` removes only blanks, so a regular expression is used.
+    Spark's one-argument ``trim`` removes only blanks; the two-argument form
+    with the whole whitespace set does the job without a regular expression.
     """
-    return F.regexp_replace(c, _STRIP_PATTERN, "")
+    return F.trim(c, F.lit(PY_WHITESPACE))
 
 
 def basename(key: Column) -> Column:

@@ -73,11 +73,19 @@ def _required(value: Column, label: str) -> Column:
     return F.when(strip_ws(F.coalesce(value, F.lit(""))) == "", F.lit(f"{label}: value is required"))
 
 
-def normalize(rows: DataFrame, now: Column, *, values: str = "values") -> DataFrame:
+def normalize(rows: DataFrame, now: Column, *, values: str = "values",
+              header: str = "header") -> DataFrame:
     """Typed canonical columns plus ``reason`` (NULL for a valid row).
 
     ``rows`` needs ``vendor_id``, ``pos_<field>`` columns (``resolve_positions``),
-    ``values`` and optionally ``default_condition``.  Other columns pass through.
+    ``values``, ``header`` and optionally ``default_condition``.  Other columns
+    pass through; ``header``/``values``/``column_map`` are replaced by
+    ``row_data`` (the raw row as a map, kept for rejected rows only).
+
+    Valid and rejected rows are both read from the result: materialise it
+    once (``feedmerge.session.materialize``) before splitting, otherwise the
+    split filter is pushed below the projections and every row is parsed
+    twice.
 
     The work is staged in three projections (raw fields, stripped text,
     converted values) so every expression is computed once and each
@@ -131,8 +139,9 @@ def normalize(rows: DataFrame, now: Column, *, values: str = "values") -> DataFr
     ]
     validation = F.concat_ws("; ", *validator_errors)
     reason = F.coalesce(F.col("_conversion_error"), F.when(validation != "", validation))
+    dropped = {"vendor_id", header, values, "column_map"}
     out = staged.select(
-        *[c for c in keep if c != "vendor_id"],
+        *[c for c in keep if c not in dropped],
         F.col("_s_sku").alias("sku"),
         F.col("_raw_vendor_sku").alias("vendor_sku"),
         strip_ws(F.col("vendor_id")).alias("vendor_id"),
@@ -147,12 +156,13 @@ def normalize(rows: DataFrame, now: Column, *, values: str = "values") -> DataFr
         F.col("_raw_title").alias("title"),
         F.coalesce(v["updated_at"], now.cast("timestamp")).alias("updated_at"),
         reason.alias("reason"),
+        F.when(reason.isNotNull(), row_data(header, values)).alias("row_data"),
     )
     return out
 
 
 def split_valid(normalized: DataFrame) -> DataFrame:
-    return normalized.where(F.col("reason").isNull()).drop("reason")
+    return normalized.where(F.col("reason").isNull()).drop("reason", "row_data")
 
 
 def split_rejects(normalized: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from feedmerge.operators.merge import best_offer
 from feedmerge.operators.pricing import price_offers
 from feedmerge.operators.rules import attach_rules
 from feedmerge.plans import driver_views as dv
-from feedmerge.session import configure
+from feedmerge.session import configure, materialize
 from feedmerge.sinks.formatting import sink_value
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,7 +198,7 @@ def _now():
 def _normalized(spark, sf_dir, feed=None):
     feed = feed if feed is not None else dv.raw_feed(spark, sf_dir)
     good = feed.where(F.col("missing_columns").isNull())
-    return nz.normalize(good, _now())
+    return materialize(nz.normalize(good, _now()), "normalized")
 
 
 def _canonical_view(df):
@@ -252,10 +252,12 @@ def q_split_valid(spark, sf_dir):
 @register("split_rejects")
 def q_split_rejects(spark, sf_dir):
     """Rejected rows with their reason and raw row."""
-    rej = nz.split_rejects(_normalized(spark, sf_dir))
-    data = nz.row_data()
+    maps = dv.vendor_feeds(spark, sf_dir).select("vendor_id", "column_map")
+    rej = nz.split_rejects(_normalized(spark, sf_dir)).join(F.broadcast(maps), "vendor_id")
+    data = F.col("row_data")
     return rej.select("tenant_id", "vendor_id", *_keys(), "reason",
-                      data.getItem(nz.mapped_name("sku")).alias("raw_sku"),
+                      data.getItem(F.coalesce(F.col("column_map").getItem("sku"), F.lit("sku")))
+                      .alias("raw_sku"),
                       F.size(data).cast("bigint").alias("n_fields"))
 
 

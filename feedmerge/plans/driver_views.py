@@ -18,10 +18,27 @@ from pyspark.sql import functions as F
 from feedmerge.schema import MAP_FLOOR_MAX, MONEY
 
 N_TENANTS = 5
+SPREAD_SMALL_SCANS = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an under-split scan over the available cores.
+
+    A file written as one row group is read by one task however many cores
+    there are.  When a scan has fewer partitions than the default
+    parallelism, redistribute it once; a large input (many splits) is left
+    as it is, so this costs nothing at scale.
+    """
+    if not SPREAD_SMALL_SCANS:
+        return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < max(2, target // 2):
+        return df.repartition(target)
+    return df
 
 
 def _money_from_cents(cents):
@@ -168,25 +185,31 @@ def vendor_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cents_text(cents):
     """Non-negative integer cents as ``d.dd``."""
-    whole = ((cents - cents % 100) / 100).cast("bigint")
-    return F.concat(whole.cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.format_string("%d.%02d", (cents / 100).cast("bigint"), cents % 100)
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as the strings a vendor file would hold, with a
     deterministic share of malformed, blank and padded values."""
     li = table(spark, sf_dir, "lineitem")
-    k = F.col("l_orderkey")
-    n = F.col("l_linenumber")
     ext_c = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     tax = F.round(F.col("l_tax") * 100).cast("bigint")
-    no_disc = F.round(F.col("l_discount") * 100).cast("bigint") == 0
-    sku = F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string"))
-    q = (F.col("l_quantity").cast("bigint") - 3).cast("string")
-    cost = _cents_text(ext_c)
-    ts = F.col("l_shipdate").cast("timestamp")
+    # shared intermediate values, computed once
+    base = li.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        ext_c.alias("_ext_c"),
+        (F.round(F.col("l_discount") * 100).cast("bigint") == 0).alias("_no_disc"),
+        (F.col("l_quantity").cast("bigint") - 3).cast("string").alias("_q"),
+        F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string")).alias("_sku"),
+        F.col("l_shipdate").cast("timestamp").alias("_ts"),
+        F.expr("(cast(round(l_extendedprice * 100) as bigint) * (100 + 5 * cast(round(l_tax * 100) as bigint)) + 50) div 100").alias("_map_c"),
+        F.expr("(cast(round(l_extendedprice * 100) as bigint) * (100 + cast(round(l_tax * 100) as bigint)) + 50) div 100").alias("_price_c"),
+    ).withColumn("_cost", _cents_text(F.col("_ext_c")))
+    k = F.col("l_orderkey")
+    n = F.col("l_linenumber")
+    sku, q, cost, ts = F.col("_sku"), F.col("_q"), F.col("_cost"), F.col("_ts")
     cond_pick = (k + n) % 8
-    return li.select(
+    return base.select(
         F.concat(F.lit("V"), F.col("l_suppkey").cast("string")).alias("vendor_id"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.when(k % 97 == 5, F.lit("")).when(k % 97 == 6, F.concat(F.lit("  "), sku, F.lit("\t")))
@@ -196,13 +219,13 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 50 == 4, F.concat(q, F.lit("_0"))).when(k % 50 == 5, F.concat(q, F.lit(".0")))
         .when(k % 50 == 6, F.concat(F.lit("+"), q)).otherwise(q).alias("f_qty"),
         F.when(k % 70 == 1, F.lit("abc")).when(k % 70 == 2, F.lit("NaN")).when(k % 70 == 3, F.lit(""))
-        .when(k % 70 == 4, F.concat(ext_c.cast("string"), F.lit("e-2")))
+        .when(k % 70 == 4, F.concat(F.col("_ext_c").cast("string"), F.lit("e-2")))
         .when(k % 70 == 5, F.concat(F.lit(" "), cost, F.lit(" ")))
         .when(k % 70 == 6, F.concat(F.lit("1_"), cost)).otherwise(cost).alias("f_cost"),
-        F.when(k % 83 == 1, F.lit("Infinity")).when(no_disc, F.lit(""))
-        .otherwise(_cents_text(_round_div100(ext_c * (100 + 5 * tax)))).alias("f_map"),
+        F.when(k % 83 == 1, F.lit("Infinity")).when(F.col("_no_disc"), F.lit(""))
+        .otherwise(_cents_text(F.col("_map_c"))).alias("f_map"),
         F.when(k % 90 == 1, F.lit("")).when(k % 90 == 2, F.lit("-1.5"))
-        .otherwise(_cents_text(_round_div100(ext_c * (100 + tax)))).alias("f_price"),
+        .otherwise(_cents_text(F.col("_price_c"))).alias("f_price"),
         F.when(k % 60 == 7, F.lit("3.5")).when(n % 3 == 0, F.lit(""))
         .otherwise((n * 2).cast("string")).alias("f_lead"),
         F.when(cond_pick == 0, F.lit("New")).when(cond_pick == 1, F.lit(" used "))

@@ -20,6 +20,10 @@ RUNTIME_CONF = {
     # Header maps may name a column twice; the later one wins, as in a
     # Python dict built from the header row.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; a
+    # fused stage bigger than that would run interpreted.  Past this size
+    # Spark keeps the operators' own (split, compilable) generated code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -84,3 +88,17 @@ def ensure_local_dir(path: str) -> str:
     p = local_path(path)
     os.makedirs(p, exist_ok=True)
     return p
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back.
+
+    Used where a result is read more than once (valid rows and rejects of
+    one parse) or where lineage should be cut.  The files live in the
+    cluster's shared folder, so a lost executor does not lose them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
