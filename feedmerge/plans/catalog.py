@@ -282,3 +282,31 @@ def q_all_errors(spark, sf_dir):
         "tenant_id", "vendor_id", *[F.lit(None).cast("bigint").alias(c) for c in LINE_KEYS],
         "row_number", "reason")
     return rows.unionByName(vend)
+
+
+# ---------------------------------------------------------------------------
+# SKU maps (S4/M6, J1, J3).
+# ---------------------------------------------------------------------------
+from feedmerge.operators import skumap as sm  # noqa: E402
+
+
+@register("sku_map_clean")
+def q_sku_map_clean(spark, sf_dir):
+    """Stripped, non-blank map rows, last row per vendor code."""
+    return sm.clean_sku_map(dv.sku_map_rows(spark, sf_dir)).select(
+        "tenant_id", "vendor_id", "vendor_sku", "sku")
+
+
+@register("sku_map_join")
+def q_sku_map_join(spark, sf_dir):
+    """Every offer's sku rewritten through its vendor's map."""
+    mapped = sm.apply_sku_map(dv.offers(spark, sf_dir), sm.clean_sku_map(dv.sku_map_rows(spark, sf_dir)))
+    return mapped.select("tenant_id", "vendor_id",
+                         *[F.col(f"row_number.{c}").cast("bigint").alias(c) for c in LINE_KEYS], "sku")
+
+
+@register("missing_sku_map")
+def q_missing_sku_map(spark, sf_dir):
+    """Vendors with a configured map but no map input."""
+    return sm.missing_sku_maps(dv.vendor_configs(spark, sf_dir), dv.sku_map_rows(spark, sf_dir)).select(
+        "tenant_id", "vendor_id", "row_number", "reason")

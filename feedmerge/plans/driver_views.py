@@ -267,3 +267,45 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(values_for(2)))
     return joined.select(
         *[c for c in joined.columns if not c.startswith("f_")], values.alias("values"))
+
+
+# ---------------------------------------------------------------------------
+# SKU maps: vendors with supplier key = 1 (mod 3) map their codes.
+# ---------------------------------------------------------------------------
+def has_sku_map(s):
+    return s % 3 == 1
+
+
+def sku_map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw map rows from every (supplier, part) line of a mapping vendor.
+
+    Two part codes map to one canonical SKU (``CAN-<partkey div 2>``); lines
+    numbered 1 carry a ``-A`` variant, so the last row per code decides;
+    some rows are blank or padded.  Vendors with supplier key = 4 (mod 6)
+    have a configured map but no map input.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    s, k, n, p = F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    code = F.concat(F.lit("SKU-"), p.cast("string"))
+    target = F.concat(F.lit("CAN-"), F.expr("l_partkey div 2").cast("string"),
+                      F.when(n == 1, F.lit("-A")).otherwise(F.lit("")))
+    return li.where(has_sku_map(s) & (s % 6 != 4)).select(
+        F.concat(F.lit("T"), (s % N_TENANTS).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("V"), s.cast("string")).alias("vendor_id"),
+        F.when(k % 13 == 0, F.concat(F.lit(" "), code, F.lit(" "))).otherwise(code).alias("vendor_sku"),
+        F.when(k % 11 == 0, F.lit("")).otherwise(target).alias("sku"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("row_number"),
+    )
+
+
+def vendor_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("T"), (s % N_TENANTS).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("V"), s.cast("string")).alias("vendor_id"),
+        s.cast("bigint").alias("vendor_ordinal"),
+        has_sku_map(s).alias("has_sku_map"),
+        (s % 7 != 0).alias("required"),
+        F.concat(F.lit("inbound/T"), (s % N_TENANTS).cast("string"), F.lit("/V"), s.cast("string"), F.lit("/"))
+        .alias("s3_prefix"),
+    )

@@ -349,3 +349,40 @@ UNION ALL
 SELECT v.tenant_id, v.vendor_id, NULL, NULL, NULL, NULL, CAST(0 AS BIGINT), v.missing_columns
 FROM vend v JOIN rules r USING (tenant_id)
 WHERE v.missing_columns IS NOT NULL AND NOT r.fail_on_missing_cols"""
+
+
+# ---------------------------------------------------------------------------
+# SKU maps.
+# ---------------------------------------------------------------------------
+SKU_MAP_CTE = f"""
+smr AS (
+  SELECT 'T' || CAST(l_suppkey % 5 AS VARCHAR) AS tenant_id, 'V' || CAST(l_suppkey AS VARCHAR) AS vendor_id,
+         CASE WHEN l_orderkey % 13 = 0 THEN ' ' || 'SKU-' || CAST(l_partkey AS VARCHAR) || ' '
+              ELSE 'SKU-' || CAST(l_partkey AS VARCHAR) END AS vendor_sku,
+         CASE WHEN l_orderkey % 11 = 0 THEN ''
+              ELSE 'CAN-' || CAST(l_partkey // 2 AS VARCHAR) || CASE WHEN l_linenumber = 1 THEN '-A' ELSE '' END
+         END AS sku,
+         l_orderkey, l_linenumber, l_partkey
+  FROM lineitem WHERE l_suppkey % 3 = 1 AND l_suppkey % 6 <> 4),
+smc AS (
+  SELECT tenant_id, vendor_id, {strip_sql('vendor_sku')} AS vendor_sku, {strip_sql('sku')} AS sku
+  FROM smr
+  WHERE {strip_sql('vendor_sku')} <> '' AND {strip_sql('sku')} <> ''
+  QUALIFY row_number() OVER (PARTITION BY tenant_id, vendor_id, {strip_sql('vendor_sku')}
+                             ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC) = 1)"""
+
+ORACLES["sku_map_clean"] = f"WITH {SKU_MAP_CTE}\nSELECT tenant_id, vendor_id, vendor_sku, sku FROM smc"
+
+ORACLES["sku_map_join"] = f"""WITH {SKU_MAP_CTE}
+SELECT 'T' || CAST(l.l_suppkey % 5 AS VARCHAR) AS tenant_id, 'V' || CAST(l.l_suppkey AS VARCHAR) AS vendor_id,
+       {KEYS.replace('CAST(l_', 'CAST(l.l_')},
+       coalesce(m.sku, 'SKU-' || CAST(l.l_partkey AS VARCHAR)) AS sku
+FROM lineitem l LEFT JOIN smc m
+  ON m.vendor_id = 'V' || CAST(l.l_suppkey AS VARCHAR) AND m.vendor_sku = 'SKU-' || CAST(l.l_partkey AS VARCHAR)"""
+
+ORACLES["missing_sku_map"] = """
+SELECT 'T' || CAST(s_suppkey % 5 AS VARCHAR) AS tenant_id, 'V' || CAST(s_suppkey AS VARCHAR) AS vendor_id,
+       CAST(0 AS BIGINT) AS row_number, 'missing sku map' AS reason
+FROM supplier
+WHERE s_suppkey % 3 = 1
+  AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_suppkey % 6 <> 4)"""
