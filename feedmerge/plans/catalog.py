@@ -310,3 +310,100 @@ def q_missing_sku_map(spark, sf_dir):
     """Vendors with a configured map but no map input."""
     return sm.missing_sku_maps(dv.vendor_configs(spark, sf_dir), dv.sku_map_rows(spark, sf_dir)).select(
         "tenant_id", "vendor_id", "row_number", "reason")
+
+
+# ---------------------------------------------------------------------------
+# CSV sources and sinks (S1, S3, S8, P4, K1, K8) on files written from the
+# driver tables into the shared scratch folder.
+# ---------------------------------------------------------------------------
+from feedmerge.plans import feed_files as ff  # noqa: E402
+from feedmerge.session import scratch_path  # noqa: E402
+from feedmerge.sinks.csv import write_feed  # noqa: E402
+from feedmerge.sources import feeds as src  # noqa: E402
+
+
+def _scanned(spark, sf_dir):
+    root = ff.write_feed_files(spark, sf_dir, scratch_path(spark, "feeds"))
+    files, rows = src.scan_feeds(spark, root)
+    return files.select("*", *ff.file_identity()), rows
+
+
+def _key_values(files_rows):
+    def pos(name):
+        return nz.header_position(F.lit(name))
+    return [F.try_element_at("values", pos(k)).cast("bigint").alias(c)
+            for k, c in zip(ff.KEY_FIELDS, LINE_KEYS[:3])]
+
+
+@register("row_number")
+def q_row_number(spark, sf_dir):
+    """Dense 1-based line numbers (header = 1) of every record read
+    from the vendor files."""
+    files, rows = _scanned(spark, sf_dir)
+    joined = rows.join(files, "source_file")
+    return joined.select("vendor_id", "bucket", *_key_values(joined),
+                         F.col("row_number").cast("bigint").alias("row_number"))
+
+
+@register("bronze_copy")
+def q_bronze_copy(spark, sf_dir):
+    """K8: raw lines per feed file kept in the bronze copy."""
+    root = ff.write_feed_files(spark, sf_dir, scratch_path(spark, "feeds"))
+    bronze = scratch_path(spark, "bronze")
+    src.scan_feeds(spark, root, bronze_path=bronze)
+    return (spark.read.parquet(bronze).select(*ff.file_identity())
+            .groupBy("tenant_id", "vendor_id", "bucket").agg(F.count(F.lit(1)).alias("n_lines")))
+
+
+@register("scan_feed")
+def q_scan_feed(spark, sf_dir):
+    """S1 + P1-P8 end to end: vendor CSV files -> valid canonical records."""
+    files, rows = _scanned(spark, sf_dir)
+    vendors = dv.vendor_feeds(spark, sf_dir).select(
+        "tenant_id", "vendor_id", "vendor_ordinal", "column_map", "default_condition")
+    layout = nz.resolve_positions(files.join(vendors, ["tenant_id", "vendor_id"]))
+    feed = rows.join(layout.where(F.col("missing_columns").isNull()), "source_file")
+    feed = feed.select("*", *_key_values(feed))
+    valid = nz.split_valid(materialize(nz.normalize(feed, _now()), "normalized"))
+    return _canonical_view(valid.withColumn("l_suppkey", F.expr("cast(substring(vendor_id, 2) as bigint)")))
+
+
+def _merged_feed_dir(spark, sf_dir):
+    merged = merged_priced(spark, sf_dir)
+    rules = dv.tenant_rules(spark, sf_dir)
+    out = scratch_path(spark, "merged")
+    write_feed(merged, out, rules.select("tenant_id", "output_columns"), one_file_per_partition=True)
+    return out
+
+
+@register("write_feed")
+def q_write_feed(spark, sf_dir):
+    """K1: every line of the merged feeds as written (header + sorted rows,
+    per-tenant column lists)."""
+    out = _merged_feed_dir(spark, sf_dir)
+    text = spark.read.text(out)
+    return text.select(F.regexp_extract(F.col("_metadata.file_path"), r"tenant_id=([^/]+)/", 1).alias("tenant_id"),
+                       F.col("value").alias("line"))
+
+
+@register("roundtrip_csv")
+def q_roundtrip_csv(spark, sf_dir):
+    """S3: merged feeds read back as strings by header name."""
+    out = _merged_feed_dir(spark, sf_dir)
+    files, rows = src.scan_feeds(spark, out)
+    joined = rows.join(files, "source_file")
+
+    def field(name):
+        return F.try_element_at("values", nz.header_position(F.lit(name)))
+    return joined.select(
+        F.regexp_extract("source_file", r"tenant_id=([^/]+)/", 1).alias("tenant_id"),
+        F.col("row_number").cast("bigint").alias("row_number"),
+        *[field(c).alias(c) for c in ("sku", "quantity_available", "price", "updated_at")])
+
+
+@register("decode_guard")
+def q_decode_guard(spark, sf_dir):
+    """Feed files whose bytes are not valid UTF-8."""
+    root = ff.write_encoded_files(spark, sf_dir, scratch_path(spark, "encoded"))
+    bad = src.decode_failures(spark, root)
+    return bad.select(F.regexp_extract("source_file", r"vendor_id=([^/]+)/", 1).alias("vendor_id"))

@@ -386,3 +386,49 @@ SELECT 'T' || CAST(s_suppkey % 5 AS VARCHAR) AS tenant_id, 'V' || CAST(s_suppkey
 FROM supplier
 WHERE s_suppkey % 3 = 1
   AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_suppkey % 6 <> 4)"""
+
+
+# ---------------------------------------------------------------------------
+# CSV sources and sinks.
+# ---------------------------------------------------------------------------
+ORACLES["row_number"] = """
+SELECT 'V' || CAST(l_suppkey AS VARCHAR) AS vendor_id, CAST(l_orderkey // 5000 AS BIGINT) AS bucket,
+       CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       CAST(l_partkey AS BIGINT) AS l_partkey,
+       CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey // 5000
+                               ORDER BY l_orderkey, l_linenumber, l_partkey) + 1 AS BIGINT) AS row_number
+FROM lineitem"""
+
+ORACLES["bronze_copy"] = """
+SELECT 'T' || CAST(l_suppkey % 5 AS VARCHAR) AS tenant_id, 'V' || CAST(l_suppkey AS VARCHAR) AS vendor_id,
+       CAST(l_orderkey // 5000 AS BIGINT) AS bucket, CAST(count(*) + 1 AS BIGINT) AS n_lines
+FROM lineitem GROUP BY ALL"""
+
+ORACLES["scan_feed"] = ORACLES["split_valid"]
+
+_ALL_COLS = ("sku,vendor_sku,vendor_id,quantity_available,lead_time_days,cost,map_price,price,msrp,"
+             "condition,brand,title,updated_at")
+_T2_COLS = "sku,quantity_available,price,vendor_id,updated_at"
+_SELL = cents_str(units4_to_cents("sell_u"))
+
+ORACLES["write_feed"] = _WITH + f""",
+lines AS (
+  SELECT tenant_id,
+    CASE WHEN tenant_id = 'T2' THEN
+      concat_ws(',', sku, CAST(quantity_available AS VARCHAR), {_SELL}, vendor_id, {iso_ts('updated_at')})
+    ELSE concat_ws(',', sku, 'P' || CAST(l_partkey AS VARCHAR), vendor_id, CAST(quantity_available AS VARCHAR),
+      CAST(coalesce(lead_time_days, fallback_lt) AS VARCHAR), coalesce({cents_str('cost_c')}, ''),
+      coalesce({cents_str('map_c')}, ''), {_SELL}, '', condition, '', '', {iso_ts('updated_at')}) END AS line
+  FROM best)
+SELECT tenant_id, line FROM lines
+UNION ALL
+SELECT tenant_id, CASE WHEN tenant_id = 'T2' THEN '{_T2_COLS}' ELSE '{_ALL_COLS}' END FROM rules"""
+
+ORACLES["roundtrip_csv"] = _WITH + f"""
+SELECT tenant_id, CAST(row_number() OVER (PARTITION BY tenant_id ORDER BY sku) + 1 AS BIGINT) AS row_number,
+       sku, CAST(quantity_available AS VARCHAR) AS quantity_available, {_SELL} AS price,
+       {iso_ts('updated_at')} AS updated_at
+FROM best"""
+
+ORACLES["decode_guard"] = """
+SELECT 'V' || CAST(s_suppkey AS VARCHAR) AS vendor_id FROM supplier WHERE s_suppkey % 11 = 0"""
