@@ -407,3 +407,96 @@ def q_decode_guard(spark, sf_dir):
     root = ff.write_encoded_files(spark, sf_dir, scratch_path(spark, "encoded"))
     bad = src.decode_failures(spark, root)
     return bad.select(F.regexp_extract("source_file", r"vendor_id=([^/]+)/", 1).alias("vendor_id"))
+
+
+# ---------------------------------------------------------------------------
+# Run quality (J2, P12, M3, M4, M5, R8, K4) over the whole stand-in run.
+# ---------------------------------------------------------------------------
+from feedmerge.plans import batch as B  # noqa: E402
+
+STAND_IN_TIEBREAK = ("vendor_ordinal", "row_number", "l_partkey")
+
+
+def stand_in_inputs(spark, sf_dir) -> B.RunInputs:
+    feed = dv.raw_feed(spark, sf_dir)
+    rows = feed.select(F.col("vendor_id").alias("source_file"),
+                       (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint").alias("row_number"),
+                       "values", *_keys())
+    files = dv.vendor_feeds(spark, sf_dir).select(
+        "tenant_id", "vendor_id", F.col("vendor_id").alias("source_file"), "header")
+    maps = dv.sku_map_rows(spark, sf_dir)
+    return B.RunInputs(rules=dv.tenant_rules(spark, sf_dir), vendors=dv.configured_vendors(spark, sf_dir),
+                       files=files, rows=rows, sku_maps=maps)
+
+
+def stand_in_run(spark, sf_dir) -> B.RunResult:
+    return B.engine(stand_in_inputs(spark, sf_dir), _now(), tiebreak=STAND_IN_TIEBREAK)
+
+
+@register("missing_vendors")
+def q_missing_vendors(spark, sf_dir):
+    """Configured vendors that sent no file."""
+    inp = stand_in_inputs(spark, sf_dir)
+    return B.missing_vendors(inp.vendors, inp.files).select(
+        "tenant_id", "vendor_id", "required", F.col("s3_prefix").alias("expected_prefix"))
+
+
+@register("missing_vendor_policy")
+def q_missing_vendor_policy(spark, sf_dir):
+    """Per tenant, the REQUIRED_VENDOR_MISSING failure or the entries
+    and warnings for vendors without input."""
+    inp = stand_in_inputs(spark, sf_dir)
+    missing = B.missing_vendors(inp.vendors, inp.files)
+    fails = B.missing_vendor_failures(missing, inp.rules)
+    entries = B.missing_vendor_entries(missing, inp.rules).groupBy("tenant_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(
+            F.struct(F.struct("required", "vendor_ordinal").alias("o"), F.col("warning").alias("w")))),
+            lambda x: x["w"]), ";").alias("warnings"),
+        F.count(F.lit(1)).alias("n_entries"))
+    return (inp.rules.select("tenant_id").join(fails, "tenant_id", "left").join(entries, "tenant_id", "left")
+            .select("tenant_id",
+                    F.when(F.col("error_message").isNotNull(), F.lit("REQUIRED_VENDOR_MISSING")).alias("error_code"),
+                    "error_message", F.coalesce("warnings", F.lit("")).alias("warnings"),
+                    F.coalesce("n_entries", F.lit(0)).cast("bigint").alias("n_entries")))
+
+
+@register("vendor_counts")
+def q_vendor_counts(spark, sf_dir):
+    """M3: valid records per configured vendor (0 without input)."""
+    return stand_in_run(spark, sf_dir).vendor_counts.select(
+        "tenant_id", "vendor_id", F.col("n_valid").cast("bigint").alias("n_valid"))
+
+
+@register("run_summary")
+def q_run_summary(spark, sf_dir):
+    """M4: vendor_count, record_count, invalid_rows, total_rows per tenant."""
+    return stand_in_run(spark, sf_dir).summary
+
+
+@register("error_gate")
+def q_error_gate(spark, sf_dir):
+    """M5 (+ P3, P12): final status of every tenant's run."""
+    g = stand_in_run(spark, sf_dir).gates
+    return g.select("tenant_id", "status", "stage", "error_code", "error_message",
+                    F.array_join("warnings", ";").alias("warnings"))
+
+
+@register("reject_stats")
+def q_reject_stats(spark, sf_dir):
+    """Error entries per tenant, vendor and kind of reason."""
+    e = stand_in_run(spark, sf_dir).errors
+    kind = F.regexp_extract("reason", r"^([^:]+)", 1)
+    return e.groupBy("tenant_id", "vendor_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("error_report")
+def q_error_report(spark, sf_dir):
+    """K4: errors.json entries (missing-vendor entries, then engine errors)
+    written as JSON per tenant and read back."""
+    from feedmerge.sinks.reports import read_error_report, write_error_report
+    run = stand_in_run(spark, sf_dir)
+    out = scratch_path(spark, "errors")
+    write_error_report(run, out)
+    back = read_error_report(spark, out)
+    return back.select("tenant_id", F.col("entry_section").cast("bigint").alias("entry_section"), "error_code", "vendor_id",
+                       F.col("row_number").cast("bigint").alias("row_number"), "reason")

@@ -72,8 +72,8 @@ def tenant_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(k, ["0.99", "0.01", "0.05", "0", "1.00"]).cast(MONEY).alias("rounding_increment"),
         (k % 2 == 0).alias("include_shipping_handling"),
         (F.lit(7) + k).cast("bigint").alias("fallback_lead_time_days"),
-        (F.lit(50) * k).cast("bigint").alias("max_invalid_rows"),
-        (F.lit(0.02) * k).cast("double").alias("max_invalid_row_pct"),
+        F.when(k == 0, F.lit(0)).otherwise(F.lit(100000) * k).cast("bigint").alias("max_invalid_rows"),
+        _pick(k, ["0.5", "0.4", "0.3", "0.2", "0.1"]).cast("double").alias("max_invalid_row_pct"),
         (k != 1).alias("fail_on_missing_required_columns"),
         F.when(k % 2 == 1, F.lit("warn_only")).otherwise(F.lit("fail")).alias("missing_required_vendor_policy"),
         F.when(k == 2, F.array(*[F.lit(c) for c in ("sku", "quantity_available", "price", "vendor_id", "updated_at")]))
@@ -309,3 +309,30 @@ def vendor_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("inbound/T"), (s % N_TENANTS).cast("string"), F.lit("/V"), s.cast("string"), F.lit("/"))
         .alias("s3_prefix"),
     )
+
+
+def ghost_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One configured vendor per nation that never sends a file (tenant =
+    the nation's region; required when the nation key is a multiple of 5)."""
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("T"), F.col("n_regionkey").cast("string")).alias("tenant_id"),
+        F.concat(F.lit("VN"), n.cast("string")).alias("vendor_id"),
+        (F.lit(1_000_000_000) + n).cast("bigint").alias("vendor_ordinal"),
+        F.lit(False).alias("has_sku_map"),
+        (n % 5 == 0).alias("required"),
+        F.concat(F.lit("inbound/T"), F.col("n_regionkey").cast("string"), F.lit("/VN"), n.cast("string"),
+                 F.lit("/")).alias("s3_prefix"),
+    )
+
+
+def configured_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All configured vendors: suppliers (with their feed layout) and the
+    ghost vendors (no layout, no feed)."""
+    feeds = vendor_feeds(spark, sf_dir).select("vendor_id", "header", "column_map", "default_condition")
+    sup = vendor_configs(spark, sf_dir).join(feeds, "vendor_id")
+    ghosts = ghost_vendors(spark, sf_dir).select(
+        "*", F.lit(None).cast("array<string>").alias("header"),
+        F.lit(None).cast("map<string,string>").alias("column_map"),
+        F.lit(None).cast("string").alias("default_condition"))
+    return sup.unionByName(ghosts)

@@ -39,8 +39,9 @@ rules AS (
          CASE r_regionkey WHEN 0 THEN 99 WHEN 1 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN 0 ELSE 100 END AS inc_c,
          r_regionkey % 2 = 0 AS incl_ship,
          7 + r_regionkey AS fallback_lt,
-         50 * r_regionkey AS max_invalid_rows,
-         0.02 * r_regionkey AS max_invalid_row_pct,
+         CASE WHEN r_regionkey = 0 THEN 0 ELSE 100000 * r_regionkey END AS max_invalid_rows,
+         CASE r_regionkey WHEN 0 THEN 0.5 WHEN 1 THEN 0.4 WHEN 2 THEN 0.3 WHEN 3 THEN 0.2 ELSE 0.1 END
+           AS max_invalid_row_pct,
          r_regionkey <> 1 AS fail_on_missing_cols,
          CASE WHEN r_regionkey % 2 = 1 THEN 'warn_only' ELSE 'fail' END AS vendor_policy
   FROM region)"""
@@ -432,3 +433,122 @@ FROM best"""
 
 ORACLES["decode_guard"] = """
 SELECT 'V' || CAST(s_suppkey AS VARCHAR) AS vendor_id FROM supplier WHERE s_suppkey % 11 = 0"""
+
+
+
+# ---------------------------------------------------------------------------
+# Run quality over the stand-in run.
+# ---------------------------------------------------------------------------
+CONFIG_CTE = """
+ghosts AS (
+  SELECT 'T' || CAST(n_regionkey AS VARCHAR) AS tenant_id, 'VN' || CAST(n_nationkey AS VARCHAR) AS vendor_id,
+         CAST(1000000000 + n_nationkey AS BIGINT) AS vendor_ordinal, n_nationkey % 5 = 0 AS required,
+         'inbound/T' || CAST(n_regionkey AS VARCHAR) || '/VN' || CAST(n_nationkey AS VARCHAR) || '/' AS s3_prefix
+  FROM nation),
+configured AS (
+  SELECT tenant_id, vendor_id, vendor_ordinal, required,
+         'inbound/' || tenant_id || '/' || vendor_id || '/' AS s3_prefix, misnamed, style
+  FROM vend
+  UNION ALL
+  SELECT tenant_id, vendor_id, vendor_ordinal, required, s3_prefix, false, NULL FROM ghosts),
+missing_entries AS (
+  SELECT g.*, CASE WHEN required THEN 'required_vendor_missing:' ELSE 'optional_vendor_missing:' END || vendor_id
+           AS warning
+  FROM ghosts g JOIN rules r USING (tenant_id)
+  WHERE NOT g.required OR r.vendor_policy = 'warn_only'),
+missing_fail AS (
+  SELECT g.tenant_id, 'required vendor inbound missing: ' ||
+         string_agg(g.vendor_id || ' (expected prefix ' || g.s3_prefix || ')', ', ' ORDER BY g.vendor_ordinal)
+           AS error_message
+  FROM ghosts g JOIN rules r USING (tenant_id)
+  WHERE g.required AND r.vendor_policy <> 'warn_only' GROUP BY g.tenant_id),
+missing_warn AS (
+  SELECT tenant_id, string_agg(warning, ';' ORDER BY required, vendor_ordinal) AS warnings, count(*) AS n_entries
+  FROM missing_entries GROUP BY tenant_id)"""
+
+RUN_CTE = f"""
+valid AS (
+  SELECT n.*, coalesce(m.sku, n.sku) AS mapped_sku
+  FROM nz n LEFT JOIN smc m ON m.vendor_id = n.vendor_id AND m.vendor_sku = n.sku
+  WHERE n.reason IS NULL),
+map_missing AS (
+  SELECT v.tenant_id, v.vendor_id, CAST(0 AS BIGINT) AS row_number, 'missing sku map' AS reason
+  FROM vend v
+  WHERE v.vendor_ordinal % 3 = 1 AND NOT v.misnamed
+    AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = v.vendor_ordinal AND l_suppkey % 6 <> 4)),
+errs AS (
+  SELECT tenant_id, vendor_id, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS row_number, reason
+  FROM nz WHERE reason IS NOT NULL
+  UNION ALL
+  SELECT v.tenant_id, v.vendor_id, CAST(0 AS BIGINT), v.missing_columns
+  FROM vend v JOIN rules r USING (tenant_id) WHERE v.missing_columns IS NOT NULL AND NOT r.fail_on_missing_cols
+  UNION ALL
+  SELECT * FROM map_missing),
+summary AS (
+  SELECT r.tenant_id,
+    CAST((SELECT count(*) FROM configured c WHERE c.tenant_id = r.tenant_id) AS BIGINT) AS vendor_count,
+    CAST((SELECT count(DISTINCT mapped_sku) FROM valid v WHERE v.tenant_id = r.tenant_id) AS BIGINT)
+      AS record_count,
+    CAST((SELECT count(*) FROM errs e WHERE e.tenant_id = r.tenant_id) AS BIGINT) AS invalid_rows,
+    CAST((SELECT count(*) FROM errs e WHERE e.tenant_id = r.tenant_id)
+       + (SELECT count(*) FROM valid v WHERE v.tenant_id = r.tenant_id) AS BIGINT) AS total_rows
+  FROM rules r),
+col_fail AS (
+  SELECT v.tenant_id, arg_min(v.missing_columns, v.vendor_ordinal) AS message
+  FROM vend v JOIN rules r USING (tenant_id)
+  WHERE v.missing_columns IS NOT NULL AND r.fail_on_missing_cols GROUP BY v.tenant_id),
+gate AS (
+  SELECT s.*, f.error_message AS fail_msg, c.message AS col_msg, coalesce(w.warnings, '') AS wm,
+         coalesce(w.n_entries, 0) AS n_entries, r.max_invalid_rows, r.max_invalid_row_pct,
+         s.total_rows = 0 AND coalesce(w.n_entries, 0) = 0 AS no_rows,
+         s.invalid_rows > 0 AND (s.invalid_rows > r.max_invalid_rows OR
+           (CASE WHEN s.total_rows > 0 THEN s.invalid_rows / s.total_rows ELSE 0.0 END) > r.max_invalid_row_pct)
+           AS too_many
+  FROM summary s JOIN rules r USING (tenant_id) LEFT JOIN missing_fail f USING (tenant_id)
+  LEFT JOIN col_fail c USING (tenant_id) LEFT JOIN missing_warn w USING (tenant_id))"""
+
+_RWITH = "WITH " + ",".join([RULES_CTE, RAW_LINES_CTE, VENDORS_CTE, FIELDS_CTE, NORM_CTE, SKU_MAP_CTE,
+                             CONFIG_CTE, RUN_CTE])
+
+ORACLES["missing_vendors"] = _RWITH + """
+SELECT tenant_id, vendor_id, required, s3_prefix AS expected_prefix FROM ghosts"""
+
+ORACLES["missing_vendor_policy"] = _RWITH + """
+SELECT r.tenant_id, CASE WHEN f.error_message IS NOT NULL THEN 'REQUIRED_VENDOR_MISSING' END AS error_code,
+       f.error_message, coalesce(w.warnings, '') AS warnings, CAST(coalesce(w.n_entries, 0) AS BIGINT) AS n_entries
+FROM rules r LEFT JOIN missing_fail f USING (tenant_id) LEFT JOIN missing_warn w USING (tenant_id)"""
+
+ORACLES["vendor_counts"] = _RWITH + """
+SELECT c.tenant_id, c.vendor_id,
+       CAST((SELECT count(*) FROM valid v WHERE v.vendor_id = c.vendor_id AND v.tenant_id = c.tenant_id) AS BIGINT)
+         AS n_valid
+FROM configured c"""
+
+ORACLES["run_summary"] = _RWITH + "\nSELECT * FROM summary"
+
+ORACLES["error_gate"] = _RWITH + """
+SELECT tenant_id,
+  CASE WHEN fail_msg IS NOT NULL OR col_msg IS NOT NULL OR no_rows OR too_many THEN 'FAILED' ELSE 'SUCCEEDED' END
+    AS status,
+  CASE WHEN fail_msg IS NOT NULL THEN 'FETCH_INPUTS' WHEN col_msg IS NOT NULL THEN 'NORMALIZE'
+       WHEN no_rows OR too_many THEN 'MERGE_PRICE' ELSE 'COMPLETE' END AS stage,
+  CASE WHEN fail_msg IS NOT NULL THEN 'REQUIRED_VENDOR_MISSING' WHEN col_msg IS NOT NULL THEN 'missing_required_columns'
+       WHEN no_rows THEN 'no_rows_parsed' WHEN too_many THEN 'validation_errors' END AS error_code,
+  CASE WHEN fail_msg IS NOT NULL THEN fail_msg WHEN col_msg IS NOT NULL THEN col_msg
+       WHEN no_rows THEN 'no rows parsed' WHEN too_many THEN 'validation errors' END AS error_message,
+  CASE WHEN fail_msg IS NOT NULL OR col_msg IS NOT NULL OR no_rows OR too_many THEN wm
+       ELSE concat_ws(';', nullif(wm, ''), CASE WHEN invalid_rows > 0 THEN 'invalid_rows_within_threshold' END)
+  END AS warnings
+FROM gate"""
+
+ORACLES["reject_stats"] = _RWITH + """
+SELECT tenant_id, vendor_id, regexp_extract(reason, '^([^:]+)', 1) AS kind, count(*) AS n
+FROM errs GROUP BY ALL"""
+
+ORACLES["error_report"] = _RWITH + """
+SELECT tenant_id, CAST(0 AS BIGINT) AS entry_section,
+       CASE WHEN required THEN 'REQUIRED_VENDOR_MISSING' ELSE 'OPTIONAL_VENDOR_MISSING' END AS error_code,
+       vendor_id, CAST(NULL AS BIGINT) AS row_number, CAST(NULL AS VARCHAR) AS reason
+FROM missing_entries
+UNION ALL
+SELECT tenant_id, CAST(1 AS BIGINT), NULL, vendor_id, row_number, reason FROM errs"""
