@@ -500,3 +500,84 @@ def q_error_report(spark, sf_dir):
     back = read_error_report(spark, out)
     return back.select("tenant_id", F.col("entry_section").cast("bigint").alias("entry_section"), "error_code", "vendor_id",
                        F.col("row_number").cast("bigint").alias("row_number"), "reason")
+
+
+# ---------------------------------------------------------------------------
+# Listings (S6/M7, K6).
+# ---------------------------------------------------------------------------
+from feedmerge.sources import listing as ls  # noqa: E402
+
+
+@register("latest_inbound")
+def q_latest_inbound(spark, sf_dir):
+    """Newest object under each configured vendor's prefix."""
+    latest = ls.latest_inbound(dv.inbound_listing(spark, sf_dir), dv.configured_vendors(spark, sf_dir))
+    return latest.select("tenant_id", "vendor_id", F.col("key").alias("s3_key"), "etag", "size",
+                         format_datetime(F.col("last_modified")).alias("last_modified"))
+
+
+@register("input_manifest")
+def q_input_manifest(spark, sf_dir):
+    """K6: found/missing entry per configured vendor."""
+    m = ls.input_manifest(dv.inbound_listing(spark, sf_dir), dv.configured_vendors(spark, sf_dir))
+    return m.withColumn("last_modified", format_datetime(F.col("last_modified")))
+
+
+# ---------------------------------------------------------------------------
+# Config versions and run ledger.
+# ---------------------------------------------------------------------------
+from feedmerge.operators import ledger as lg  # noqa: E402
+
+
+def _ledger(spark, sf_dir):
+    req = dv.run_requests(spark, sf_dir)
+    created = req.select(
+        "run_id", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("p"),
+                           F.lit(0).cast("bigint").alias("s")).alias("seq"),
+        F.lit("QUEUED").alias("status"), F.lit("QUEUE").alias("stage"),
+        *[F.lit(None).cast("timestamp").alias(c) for c in ("started_at", "finished_at", "completed_at")],
+        *[F.lit(None).cast("string").alias(c) for c in lg.ERROR_FIELDS],
+        F.lit(None).cast("map<string,string>").alias("artifacts"))
+    events = created.unionByName(dv.status_events(spark, sf_dir))
+    return req.select("run_id", "tenant_id").join(lg.fold_runs(events), "run_id")
+
+
+@register("latest_config")
+def q_latest_config(spark, sf_dir):
+    """Latest config version per tenant (last write per version wins)
+    and the next version number."""
+    return lg.latest_config(lg.config_versions(dv.config_puts(spark, sf_dir))).select(
+        "tenant_id", "config_version", "config", "next_version")
+
+
+@register("pinned_config")
+def q_pinned_config(spark, sf_dir):
+    """Every run joined to the config version it pinned."""
+    p = lg.pinned_config(dv.run_requests(spark, sf_dir), lg.config_versions(dv.config_puts(spark, sf_dir)))
+    return p.select("run_id", "tenant_id", "config_version", "config_found", "config", "error_code")
+
+
+@register("run_ledger")
+def q_run_ledger(spark, sf_dir):
+    """Status events folded into one ledger record per run."""
+    v = lg.run_view(_ledger(spark, sf_dir))
+    return v.select("run_id", "tenant_id", "status", "stage",
+                    format_datetime(F.col("started_at")).alias("started_at"),
+                    format_datetime(F.col("finished_at")).alias("finished_at"),
+                    *lg.ERROR_FIELDS)
+
+
+@register("active_runs")
+def q_active_runs(spark, sf_dir):
+    """Run requests blocked by another RUNNING run of the tenant."""
+    req = dv.run_requests(spark, sf_dir).select("run_id", "tenant_id")
+    return lg.active_runs(req, _ledger(spark, sf_dir))
+
+
+@register("run_metrics")
+def q_run_metrics(spark, sf_dir):
+    """Long-form metrics of every finished run."""
+    events = dv.status_events(spark, sf_dir).groupBy("run_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("rows_processed"))
+    m = lg.run_metrics(_ledger(spark, sf_dir), events)
+    return m.select("tenant_id", "run_id", "metric_name", F.round("value", 3).alias("value"), "unit")

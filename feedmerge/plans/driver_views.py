@@ -336,3 +336,82 @@ def configured_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("map<string,string>").alias("column_map"),
         F.lit(None).cast("string").alias("default_condition"))
     return sup.unionByName(ghosts)
+
+
+def inbound_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One uploaded object per order: vendor V<(custkey mod 110) + 1>,
+    modified at the order date (many same-day ties)."""
+    o = table(spark, sf_dir, "orders")
+    v = (F.col("o_custkey") % 110 + 1)
+    return o.select(
+        F.concat(F.lit("inbound/T"), (v % N_TENANTS).cast("string"), F.lit("/V"), v.cast("string"),
+                 F.lit("/feed-"), F.col("o_orderkey").cast("string"), F.lit(".csv")).alias("key"),
+        F.md5(F.col("o_orderkey").cast("string")).alias("etag"),
+        F.floor(F.col("o_totalprice")).cast("bigint").alias("size"),
+        F.col("o_orderdate").cast("timestamp").alias("last_modified"),
+    )
+
+
+# ---------------------------------------------------------------------------
+# Config versions and run ledger.
+# ---------------------------------------------------------------------------
+N_CONFIG_TENANTS = 50
+
+
+def config_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Config-version writes, one per customer: tenant C<custkey mod 50>,
+    version 1-4, content = market segment, write order = customer key."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        F.concat(F.lit("C"), (k % N_CONFIG_TENANTS).cast("string")).alias("tenant_id"),
+        (F.expr(f"c_custkey div {N_CONFIG_TENANTS}") % 4 + 1).cast("bigint").alias("config_version"),
+        F.concat(F.col("c_mktsegment"), F.lit("#"), F.col("c_nationkey").cast("string")).alias("config"),
+        k.cast("bigint").alias("seq"),
+    )
+
+
+def run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per order: tenant C<custkey mod 50>, pinned version 1-5."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").cast("bigint").alias("run_id"),
+        F.concat(F.lit("C"), (F.col("o_custkey") % N_CONFIG_TENANTS).cast("string")).alias("tenant_id"),
+        (F.col("o_orderkey") % 5 + 1).cast("bigint").alias("config_version"),
+        F.col("o_orderdate").cast("timestamp").alias("requested_at"),
+    )
+
+
+def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status updates, one per line item of the run's order, in line order:
+    A -> RUNNING, R -> FAILED, N -> SUCCEEDED (shipped) / RUNNING; the line
+    number names the stage (7 sets none)."""
+    li = table(spark, sf_dir, "lineitem")
+    flag, n = F.col("l_returnflag"), F.col("l_linenumber")
+    status = (F.when(flag == "R", F.lit("FAILED"))
+              .when((flag == "N") & (F.col("l_linestatus") == "F"), F.lit("SUCCEEDED"))
+              .otherwise(F.lit("RUNNING")))
+    from feedmerge.schema import STAGES
+    stage = F.lit(None).cast("string")
+    for i, st in enumerate(STAGES):
+        stage = F.when(n == i + 1, F.lit(st)).otherwise(stage)
+    ts = F.col("l_shipdate").cast("timestamp") + F.make_interval(hours=n.cast("int"))
+    failed = status == "FAILED"
+    return li.select(
+        F.col("l_orderkey").cast("bigint").alias("run_id"),
+        F.struct(F.col("l_linenumber").cast("bigint").alias("n"), F.col("l_partkey").cast("bigint").alias("p"),
+                 F.col("l_suppkey").cast("bigint").alias("s")).alias("seq"),
+        status.alias("status"), stage.alias("stage"),
+        F.when((status == "RUNNING") & (n <= 2), ts).alias("started_at"),
+        F.when(status != "RUNNING", ts).alias("finished_at"),
+        F.lit(None).cast("timestamp").alias("completed_at"),
+        F.when(failed, stage).alias("failed_stage"),
+        F.when(failed, F.when(F.col("l_partkey") % 2 == 0, F.lit("validation_errors"))
+               .otherwise(F.lit("no_rows_parsed"))).alias("error_code"),
+        F.when(failed, F.concat(F.lit("failed at line "), n.cast("string"))).alias("error_message"),
+        F.when(failed, F.concat(F.lit("run/"), F.col("l_orderkey").cast("string"), F.lit("/errors.json")))
+        .alias("errors_artifact_key"),
+        F.when(failed, F.concat(F.lit("run/"), F.col("l_orderkey").cast("string"), F.lit("/errors.json")))
+        .alias("error_report_key"),
+        F.lit(None).cast("map<string,string>").alias("artifacts"),
+    )

@@ -552,3 +552,145 @@ SELECT tenant_id, CAST(0 AS BIGINT) AS entry_section,
 FROM missing_entries
 UNION ALL
 SELECT tenant_id, CAST(1 AS BIGINT), NULL, vendor_id, row_number, reason FROM errs"""
+
+
+# ---------------------------------------------------------------------------
+# Listings.
+# ---------------------------------------------------------------------------
+LISTING_CTE = """
+listing AS (
+  SELECT 'inbound/T' || CAST((o_custkey % 110 + 1) % 5 AS VARCHAR) || '/V' || CAST(o_custkey % 110 + 1 AS VARCHAR)
+           || '/feed-' || CAST(o_orderkey AS VARCHAR) || '.csv' AS key,
+         md5(CAST(o_orderkey AS VARCHAR)) AS etag, CAST(floor(o_totalprice) AS BIGINT) AS size,
+         CAST(o_orderdate AS TIMESTAMP) AS last_modified
+  FROM orders),
+cfg AS (
+  SELECT 'T' || CAST(s_suppkey % 5 AS VARCHAR) AS tenant_id, 'V' || CAST(s_suppkey AS VARCHAR) AS vendor_id,
+         s_suppkey % 7 <> 0 AS required,
+         'inbound/T' || CAST(s_suppkey % 5 AS VARCHAR) || '/V' || CAST(s_suppkey AS VARCHAR) || '/' AS s3_prefix
+  FROM supplier
+  UNION ALL
+  SELECT 'T' || CAST(n_regionkey AS VARCHAR), 'VN' || CAST(n_nationkey AS VARCHAR), n_nationkey % 5 = 0,
+         'inbound/T' || CAST(n_regionkey AS VARCHAR) || '/VN' || CAST(n_nationkey AS VARCHAR) || '/'
+  FROM nation),
+latest AS (
+  SELECT c.tenant_id, c.vendor_id, l.*
+  FROM cfg c JOIN listing l ON starts_with(l.key, c.s3_prefix)
+  QUALIFY row_number() OVER (PARTITION BY c.tenant_id, c.vendor_id ORDER BY l.last_modified DESC, l.key) = 1)"""
+
+ORACLES["latest_inbound"] = "WITH " + LISTING_CTE + f"""
+SELECT tenant_id, vendor_id, key AS s3_key, etag, size, {iso_ts('last_modified')} AS last_modified FROM latest"""
+
+ORACLES["input_manifest"] = "WITH " + LISTING_CTE + f"""
+SELECT c.tenant_id, c.vendor_id, CASE WHEN l.key IS NOT NULL THEN 'found' ELSE 'missing' END AS status,
+       c.s3_prefix, c.required, c.s3_prefix AS expected_prefix, l.key AS s3_key, l.etag, l.size,
+       {iso_ts('l.last_modified')} AS last_modified,
+       CASE WHEN l.key IS NOT NULL THEN 'latest_by_last_modified' END AS selection,
+       CASE WHEN l.key IS NULL THEN 'no_objects_found' END AS reason
+FROM cfg c LEFT JOIN latest l USING (tenant_id, vendor_id)"""
+
+
+# ---------------------------------------------------------------------------
+# Config versions and run ledger.
+# ---------------------------------------------------------------------------
+LEDGER_CTE = """
+puts AS (
+  SELECT 'C' || CAST(c_custkey % 50 AS VARCHAR) AS tenant_id, CAST((c_custkey // 50) % 4 + 1 AS BIGINT) AS config_version,
+         c_mktsegment || '#' || CAST(c_nationkey AS VARCHAR) AS config, c_custkey AS seq
+  FROM customer),
+versions AS (
+  SELECT tenant_id, config_version, arg_max(config, seq) AS config FROM puts GROUP BY ALL),
+req AS (
+  SELECT CAST(o_orderkey AS BIGINT) AS run_id, 'C' || CAST(o_custkey % 50 AS VARCHAR) AS tenant_id,
+         CAST(o_orderkey % 5 + 1 AS BIGINT) AS config_version
+  FROM orders),
+ev AS (
+  SELECT CAST(o_orderkey AS BIGINT) AS run_id, {'n': 0, 'p': 0, 's': 0} AS seq, 'QUEUED' AS status,
+         'QUEUE' AS stage, CAST(NULL AS TIMESTAMP) AS started_at, CAST(NULL AS TIMESTAMP) AS finished_at,
+         CAST(NULL AS VARCHAR) AS failed_stage, CAST(NULL AS VARCHAR) AS error_code,
+         CAST(NULL AS VARCHAR) AS error_message, CAST(NULL AS VARCHAR) AS errors_artifact_key,
+         CAST(NULL AS VARCHAR) AS error_report_key
+  FROM orders
+  UNION ALL
+  SELECT l_orderkey, {'n': CAST(l_linenumber AS BIGINT), 'p': l_partkey, 's': l_suppkey}, st,
+         CASE l_linenumber WHEN 1 THEN 'QUEUE' WHEN 2 THEN 'FETCH_INPUTS' WHEN 3 THEN 'NORMALIZE'
+              WHEN 4 THEN 'MERGE_PRICE' WHEN 5 THEN 'WRITE_OUTPUTS' WHEN 6 THEN 'COMPLETE' END,
+         CASE WHEN st = 'RUNNING' AND l_linenumber <= 2 THEN ts END,
+         CASE WHEN st <> 'RUNNING' THEN ts END,
+         CASE WHEN st = 'FAILED' THEN CASE l_linenumber WHEN 1 THEN 'QUEUE' WHEN 2 THEN 'FETCH_INPUTS'
+              WHEN 3 THEN 'NORMALIZE' WHEN 4 THEN 'MERGE_PRICE' WHEN 5 THEN 'WRITE_OUTPUTS' WHEN 6 THEN 'COMPLETE' END END,
+         CASE WHEN st = 'FAILED' THEN CASE WHEN l_partkey % 2 = 0 THEN 'validation_errors' ELSE 'no_rows_parsed' END END,
+         CASE WHEN st = 'FAILED' THEN 'failed at line ' || CAST(l_linenumber AS VARCHAR) END,
+         CASE WHEN st = 'FAILED' THEN 'run/' || CAST(l_orderkey AS VARCHAR) || '/errors.json' END,
+         CASE WHEN st = 'FAILED' THEN 'run/' || CAST(l_orderkey AS VARCHAR) || '/errors.json' END
+  FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'FAILED'
+                       WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'SUCCEEDED' ELSE 'RUNNING' END AS st,
+               CAST(l_shipdate AS TIMESTAMP) + to_hours(CAST(l_linenumber AS BIGINT)) AS ts
+        FROM lineitem)),
+folded AS (
+  SELECT run_id, arg_max(status, seq) AS status,
+    max(list_position(['QUEUE','FETCH_INPUTS','NORMALIZE','MERGE_PRICE','WRITE_OUTPUTS','COMPLETE'], stage))
+      FILTER (WHERE stage IS NOT NULL) AS stage_pos,
+    arg_min(started_at, seq) FILTER (WHERE started_at IS NOT NULL) AS started_at,
+    arg_max(finished_at, seq) FILTER (WHERE finished_at IS NOT NULL) AS finished_at,
+    max(seq) FILTER (WHERE status = 'SUCCEEDED') AS cleared,
+    arg_max(failed_stage, seq) FILTER (WHERE failed_stage IS NOT NULL) AS fs_v,
+    max(seq) FILTER (WHERE failed_stage IS NOT NULL) AS fs_s,
+    arg_max(error_code, seq) FILTER (WHERE error_code IS NOT NULL) AS ec_v,
+    max(seq) FILTER (WHERE error_code IS NOT NULL) AS ec_s,
+    arg_max(error_message, seq) FILTER (WHERE error_message IS NOT NULL) AS em_v,
+    max(seq) FILTER (WHERE error_message IS NOT NULL) AS em_s,
+    arg_max(errors_artifact_key, seq) FILTER (WHERE errors_artifact_key IS NOT NULL) AS ea_v,
+    max(seq) FILTER (WHERE errors_artifact_key IS NOT NULL) AS ea_s,
+    arg_max(error_report_key, seq) FILTER (WHERE error_report_key IS NOT NULL) AS er_v,
+    max(seq) FILTER (WHERE error_report_key IS NOT NULL) AS er_s,
+    count(*) - 1 AS n_events
+  FROM ev GROUP BY run_id),
+ledger AS (
+  SELECT r.tenant_id, f.run_id, f.status,
+    ['QUEUE','FETCH_INPUTS','NORMALIZE','MERGE_PRICE','WRITE_OUTPUTS','COMPLETE'][f.stage_pos] AS stage,
+    f.started_at, f.finished_at,
+    CASE WHEN cleared IS NULL OR fs_s > cleared THEN fs_v END AS failed_stage,
+    CASE WHEN cleared IS NULL OR ec_s > cleared THEN ec_v END AS error_code,
+    CASE WHEN cleared IS NULL OR em_s > cleared THEN em_v END AS error_message,
+    CASE WHEN cleared IS NULL OR ea_s > cleared THEN ea_v END AS errors_artifact_key,
+    CASE WHEN cleared IS NULL OR er_s > cleared THEN er_v END AS error_report_key,
+    f.n_events
+  FROM req r JOIN folded f USING (run_id))"""
+
+_LWITH = "WITH " + LEDGER_CTE
+
+ORACLES["latest_config"] = _LWITH + """
+SELECT tenant_id, max(config_version) AS config_version, arg_max(config, config_version) AS config,
+       max(config_version) + 1 AS next_version
+FROM versions GROUP BY tenant_id"""
+
+ORACLES["pinned_config"] = _LWITH + """
+SELECT r.run_id, r.tenant_id, r.config_version, v.config IS NOT NULL AS config_found, v.config,
+       CASE WHEN v.config IS NULL THEN 'missing_tenant_config' END AS error_code
+FROM req r LEFT JOIN versions v USING (tenant_id, config_version)"""
+
+ORACLES["run_ledger"] = _LWITH + f"""
+SELECT run_id, tenant_id, status, stage, {iso_ts('started_at')} AS started_at,
+       {iso_ts('finished_at')} AS finished_at, failed_stage, error_code, error_message,
+       errors_artifact_key, error_report_key
+FROM ledger"""
+
+ORACLES["active_runs"] = _LWITH + """
+SELECT r.run_id, r.tenant_id,
+       (SELECT min(l.run_id) FROM ledger l WHERE l.tenant_id = r.tenant_id AND l.status = 'RUNNING'
+          AND l.run_id <> r.run_id) IS NOT NULL AS blocked,
+       (SELECT min(l.run_id) FROM ledger l WHERE l.tenant_id = r.tenant_id AND l.status = 'RUNNING'
+          AND l.run_id <> r.run_id) AS active_run_id
+FROM req r"""
+
+ORACLES["run_metrics"] = _LWITH + """,
+done AS (
+  SELECT tenant_id, run_id, CASE WHEN status = 'SUCCEEDED' THEN 1.0 ELSE 0.0 END AS ok,
+         coalesce((epoch_us(finished_at) - epoch_us(started_at)) / 1e6, 0.0) AS duration,
+         CAST(n_events AS DOUBLE) AS rows_processed
+  FROM ledger WHERE status IN ('SUCCEEDED', 'FAILED'))
+SELECT tenant_id, run_id, 'RunSucceeded' AS metric_name, round(ok, 3) AS value, 'Count' AS unit FROM done
+UNION ALL SELECT tenant_id, run_id, 'RunFailed', round(1 - ok, 3), 'Count' FROM done
+UNION ALL SELECT tenant_id, run_id, 'RunDurationSeconds', round(duration, 3), 'Seconds' FROM done
+UNION ALL SELECT tenant_id, run_id, 'RowsProcessed', round(rows_processed, 3), 'Count' FROM done"""
