@@ -581,3 +581,56 @@ def q_run_metrics(spark, sf_dir):
         F.count(F.lit(1)).cast("bigint").alias("rows_processed"))
     m = lg.run_metrics(_ledger(spark, sf_dir), events)
     return m.select("tenant_id", "run_id", "metric_name", F.round("value", 3).alias("value"), "unit")
+
+
+# ---------------------------------------------------------------------------
+# Alarms (R6), batch form.  Fixed test parameters: 1-hour periods.
+# ---------------------------------------------------------------------------
+from feedmerge.operators import alarms as al  # noqa: E402
+
+HOUR = 3600
+
+
+def _alarm_rows(df, dims=()):
+    return df.select(*dims, format_datetime(F.col("window_start")).alias("window_start"),
+                     format_datetime(F.col("window_end")).alias("window_end"),
+                     F.round("stat", 4).alias("stat"))
+
+
+@register("alarm_consecutive")
+def q_alarm_consecutive(spark, sf_dir):
+    """Consecutive failures: RunFailed Maximum >= 1 in 3 of 3 hourly periods,
+    per tenant."""
+    fired = al.evaluate(dv.run_outcomes(spark, sf_dir), value="run_failed", statistic="Maximum",
+                        period_seconds=HOUR, periods=3, threshold=1, dims=("tenant_id",))
+    return _alarm_rows(fired, ("tenant_id",)).withColumn(
+        "alarm", al.alarm_name("feedmerge", "consecutive-failures", F.col("tenant_id")))
+
+
+@register("alarm_sum")
+def q_alarm_sum(spark, sf_dir):
+    """Error rate: Sum of error values >= 100 in one hourly period, per tenant."""
+    errors = dv.metric_points(spark, sf_dir).where(F.col("event_type") == "error")
+    fired = al.evaluate(errors, value="value", statistic="Sum", period_seconds=HOUR, periods=1,
+                        threshold=100, dims=("tenant_id",))
+    return _alarm_rows(fired, ("tenant_id",))
+
+
+@register("alarm_avg")
+def q_alarm_avg(spark, sf_dir):
+    """Backlog: Average of view values >= 45 in 3 of 3 hourly periods (global)."""
+    views = dv.metric_points(spark, sf_dir).where(F.col("event_type") == "view")
+    fired = al.evaluate(views, value="value", statistic="Average", period_seconds=HOUR, periods=3,
+                        threshold=45)
+    return _alarm_rows(fired)
+
+
+@register("heartbeat_gap")
+def q_heartbeat_gap(spark, sf_dir):
+    """Missing heartbeat: a worker (user) silent for 3 days or more between
+    clicks."""
+    beats = dv.metric_points(spark, sf_dir).where(F.col("event_type") == "click")
+    gaps = al.heartbeat_gaps(beats, min_gap_seconds=3 * 24 * HOUR)
+    return gaps.select("worker_id", format_datetime(F.col("gap_start")).alias("gap_start"),
+                       format_datetime(F.col("gap_end")).alias("gap_end"),
+                       F.round("gap_seconds", 3).alias("gap_seconds"))

@@ -415,3 +415,25 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("error_report_key"),
         F.lit(None).cast("map<string,string>").alias("artifacts"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Metric streams from ``events``.
+# ---------------------------------------------------------------------------
+def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RunFailed datapoints: error events are failed runs (1), purchases
+    successful ones (0); tenant T<user mod 5>."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "purchase"))
+    return ev.select(
+        F.concat(F.lit("T"), (F.col("user_id") % N_TENANTS).cast("string")).alias("tenant_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        (F.col("event_type") == "error").cast("double").alias("run_failed"),
+        F.col("value").alias("value"), F.col("event_type"))
+
+
+def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.concat(F.lit("T"), (F.col("user_id") % N_TENANTS).cast("string")).alias("tenant_id"),
+        F.col("user_id").cast("bigint").alias("worker_id"),
+        F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")

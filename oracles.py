@@ -694,3 +694,49 @@ SELECT tenant_id, run_id, 'RunSucceeded' AS metric_name, round(ok, 3) AS value,
 UNION ALL SELECT tenant_id, run_id, 'RunFailed', round(1 - ok, 3), 'Count' FROM done
 UNION ALL SELECT tenant_id, run_id, 'RunDurationSeconds', round(duration, 3), 'Seconds' FROM done
 UNION ALL SELECT tenant_id, run_id, 'RowsProcessed', round(rows_processed, 3), 'Count' FROM done"""
+
+
+# ---------------------------------------------------------------------------
+# Alarms (hourly periods).
+# ---------------------------------------------------------------------------
+def _alarm_sql(source: str, stat: str, threshold: str, periods: int, dims: str) -> str:
+    part = f"PARTITION BY {dims}" if dims else ""
+    dsel = f"{dims}, " if dims else ""
+    return f"""
+WITH src AS ({source}),
+per AS (
+  SELECT {dsel}time_bucket(INTERVAL '1 hour', ts) AS ws, CAST({stat} AS DOUBLE) AS stat
+  FROM src GROUP BY ALL),
+br AS (SELECT * FROM per WHERE stat >= {threshold}),
+fired AS (
+  SELECT *, lag(ws, {periods - 1}) OVER ({part} ORDER BY ws) AS first_ws FROM br)
+SELECT {dsel}{iso_ts('ws')} AS window_start, {iso_ts("ws + INTERVAL '1 hour'")} AS window_end,
+       round(stat, 4) AS stat
+FROM fired WHERE {'true' if periods == 1 else f"first_ws = ws - INTERVAL '{periods - 1} hour'"}"""
+
+
+_RUN_OUTCOMES = ("SELECT 'T' || CAST(user_id % 5 AS VARCHAR) AS tenant_id, CAST(ts AS TIMESTAMP) AS ts, "
+                 "CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS run_failed, value "
+                 "FROM events WHERE event_type IN ('error', 'purchase')")
+
+ORACLES["alarm_consecutive"] = (
+    _alarm_sql(_RUN_OUTCOMES, "max(run_failed)", "1", 3, "tenant_id").replace(
+        "round(stat, 4) AS stat",
+        "round(stat, 4) AS stat, 'feedmerge-' || tenant_id || '-consecutive-failures' AS alarm"))
+
+ORACLES["alarm_sum"] = _alarm_sql(
+    "SELECT 'T' || CAST(user_id % 5 AS VARCHAR) AS tenant_id, CAST(ts AS TIMESTAMP) AS ts, value "
+    "FROM events WHERE event_type = 'error'", "sum(value)", "100", 1, "tenant_id")
+
+ORACLES["alarm_avg"] = _alarm_sql(
+    "SELECT CAST(ts AS TIMESTAMP) AS ts, value FROM events WHERE event_type = 'view'",
+    "avg(value)", "45", 3, "")
+
+ORACLES["heartbeat_gap"] = f"""
+WITH b AS (
+  SELECT CAST(user_id AS BIGINT) AS worker_id, CAST(ts AS TIMESTAMP) AS ts,
+         lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) AS prev
+  FROM events WHERE event_type = 'click')
+SELECT worker_id, {iso_ts('prev')} AS gap_start, {iso_ts('ts')} AS gap_end,
+       round((epoch_us(ts) - epoch_us(prev)) / 1e6, 3) AS gap_seconds
+FROM b WHERE prev IS NOT NULL AND epoch_us(ts) - epoch_us(prev) >= CAST(3 * 24 * 3600 AS BIGINT) * 1000000"""
