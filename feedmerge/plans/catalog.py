@@ -355,10 +355,7 @@ def q_bronze_copy(spark, sf_dir):
             .groupBy("tenant_id", "vendor_id", "bucket").agg(F.count(F.lit(1)).alias("n_lines")))
 
 
-@register("scan_feed")
-def q_scan_feed(spark, sf_dir):
-    """S1 + P1-P8 end to end: vendor CSV files -> valid canonical records."""
-    files, rows = _scanned(spark, sf_dir)
+def _valid_from_files(spark, sf_dir, files, rows):
     vendors = dv.vendor_feeds(spark, sf_dir).select(
         "tenant_id", "vendor_id", "vendor_ordinal", "column_map", "default_condition")
     layout = nz.resolve_positions(files.join(vendors, ["tenant_id", "vendor_id"]))
@@ -368,6 +365,13 @@ def q_scan_feed(spark, sf_dir):
     return _canonical_view(valid.withColumn("l_suppkey", F.expr("cast(substring(vendor_id, 2) as bigint)")))
 
 
+@register("scan_feed")
+def q_scan_feed(spark, sf_dir):
+    """S1 + P1-P8 end to end: vendor CSV files -> valid canonical records."""
+    files, rows = _scanned(spark, sf_dir)
+    return _valid_from_files(spark, sf_dir, files, rows)
+
+
 def _merged_feed_dir(spark, sf_dir):
     merged = merged_priced(spark, sf_dir)
     rules = dv.tenant_rules(spark, sf_dir)
@@ -634,3 +638,48 @@ def q_heartbeat_gap(spark, sf_dir):
     return gaps.select("worker_id", format_datetime(F.col("gap_start")).alias("gap_start"),
                        format_datetime(F.col("gap_end")).alias("gap_end"),
                        F.round("gap_seconds", 3).alias("gap_seconds"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming (R6 streaming form, R7).
+# ---------------------------------------------------------------------------
+from feedmerge.streaming import alarms as sa  # noqa: E402
+from feedmerge.streaming.ingest import ingest_stream  # noqa: E402
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Feed files picked up by a file stream, parsed per micro-batch
+    into the normalised table (idempotent partition overwrite), read back."""
+    root = ff.write_feed_files(spark, sf_dir, scratch_path(spark, "inbound"))
+    out = scratch_path(spark, "normalized-table")
+
+    def process(spark_, paths):
+        files, rows = src.scan_feeds(spark_, paths)
+        files = files.select("*", *ff.file_identity())
+        return _valid_from_files(spark_, sf_dir, files, rows)
+
+    ingest_stream(spark, root, out, scratch_path(spark, "ingest-ckpt"), process, ("tenant_id",))
+    return spark.read.parquet(out).select(
+        "tenant_id", "vendor_id", *[F.col(c).cast("bigint").alias(c) for c in LINE_KEYS], "sku",
+        "quantity_available", "lead_time_days", "cost", "map_price", "price", "condition", "updated_at")
+
+
+@register("alarm_stream")
+def q_alarm_stream(spark, sf_dir):
+    """R6 streaming: consecutive-failure alarm evaluated by a streaming
+    query over the events file (periods still open at the end are not yet
+    emitted, so this is a subset of ``alarm_consecutive``)."""
+    schema = dv.table(spark, sf_dir, "events").schema
+    points = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+              .where(F.col("event_type").isin("error", "purchase"))
+              .select(F.concat(F.lit("T"), (F.col("user_id") % dv.N_TENANTS).cast("string")).alias("tenant_id"),
+                      F.col("ts").cast("timestamp").alias("ts"),
+                      (F.col("event_type") == "error").cast("double").alias("run_failed")))
+    fired = sa.alarm_stream(points, value="run_failed", statistic="Maximum", period_seconds=HOUR, periods=3,
+                            threshold=1, dims=("tenant_id",))
+    sink = scratch_path(spark, "alarm-sink")
+    sa.run_to_completion(fired, sink, scratch_path(spark, "alarm-ckpt"))
+    out = spark.read.schema("tenant_id string, window_start timestamp, window_end timestamp").parquet(sink)
+    return out.select("tenant_id", format_datetime(F.col("window_start")).alias("window_start"),
+                      format_datetime(F.col("window_end")).alias("window_end"))

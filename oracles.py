@@ -740,3 +740,8 @@ WITH b AS (
 SELECT worker_id, {iso_ts('prev')} AS gap_start, {iso_ts('ts')} AS gap_end,
        round((epoch_us(ts) - epoch_us(prev)) / 1e6, 3) AS gap_seconds
 FROM b WHERE prev IS NOT NULL AND epoch_us(ts) - epoch_us(prev) >= CAST(3 * 24 * 3600 AS BIGINT) * 1000000"""
+
+ORACLES["stream_ingest"] = ORACLES["split_valid"]
+
+ORACLES["alarm_stream"] = (
+    "SELECT tenant_id, window_start, window_end FROM (" + ORACLES["alarm_consecutive"] + ")")
