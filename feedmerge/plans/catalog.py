@@ -683,3 +683,45 @@ def q_alarm_stream(spark, sf_dir):
     out = spark.read.schema("tenant_id string, window_start timestamp, window_end timestamp").parquet(sink)
     return out.select("tenant_id", format_datetime(F.col("window_start")).alias("window_start"),
                       format_datetime(F.col("window_end")).alias("window_end"))
+
+
+# ---------------------------------------------------------------------------
+# Config documents (S5, P13, P14) and output projection.
+# ---------------------------------------------------------------------------
+from feedmerge.sources import config as cfg  # noqa: E402
+
+
+@register("load_config")
+def q_load_config(spark, sf_dir):
+    """Tenant documents written as JSON, read with the declared schema
+    and flattened to the vendors table (defaults applied)."""
+    path = scratch_path(spark, "configs")
+    dv.config_documents(spark, sf_dir).write.mode("overwrite").text(path)
+    configs = cfg.read_configs(spark, path)
+    vendors = cfg.vendors_from_configs(configs)
+    rules = cfg.rules_from_configs(configs).select("tenant_id", "base_margin_pct", "rounding_increment",
+                                                   "fallback_lead_time_days", "merge_ok")
+    return (vendors.join(rules, "tenant_id").join(configs.select("tenant_id", "schema_version", "version_ok"),
+                                                  "tenant_id")
+            .select("tenant_id", "schema_version", "version_ok", "vendor_id", "vendor_ordinal", "required",
+                    "s3_prefix", "encoding", F.size("column_map").cast("bigint").alias("n_mapped"),
+                    "has_sku_map", format_money_string(F.col("base_margin_pct")).alias("base_margin_pct"),
+                    format_money_string(F.col("rounding_increment")).alias("rounding_increment"),
+                    "fallback_lead_time_days", "merge_ok"))
+
+
+@register("project_output")
+def q_project_output(spark, sf_dir):
+    """Merged records projected on each tenant's output columns (all
+    canonical columns when the list is empty), one row per printed value."""
+    from feedmerge.sinks.csv import _columns_or_all, _value_map
+    from feedmerge.schema import CANONICAL_COLUMNS
+    merged = merged_priced(spark, sf_dir)
+    rules = dv.tenant_rules(spark, sf_dir).select("tenant_id", "output_columns")
+    j = merged.join(F.broadcast(rules), "tenant_id")
+    vals = _value_map(j, CANONICAL_COLUMNS)
+    cols = _columns_or_all(F.col("output_columns"))
+    cells = F.transform(cols, lambda c, i: F.struct(i.alias("position"), c.alias("column"),
+                                                    F.coalesce(vals[c], F.lit("")).alias("value")))
+    return j.select("tenant_id", "sku", F.explode(cells).alias("c")).select(
+        "tenant_id", "sku", F.col("c.position").cast("bigint").alias("position"), "c.column", "c.value")

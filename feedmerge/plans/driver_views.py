@@ -437,3 +437,45 @@ def metric_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("T"), (F.col("user_id") % N_TENANTS).cast("string")).alias("tenant_id"),
         F.col("user_id").cast("bigint").alias("worker_id"),
         F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+
+
+def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON config document per tenant (region), vendors = its suppliers
+    in key order; some optional fields are left out to exercise defaults;
+    tenant T4's document is schema version 2 (refused)."""
+    s = F.col("s_suppkey")
+    vend = table(spark, sf_dir, "supplier").select(
+        (s % N_TENANTS).cast("int").alias("_k"), s.alias("_s"),
+        F.struct(
+            F.concat(F.lit("V"), s.cast("string")).alias("vendor_id"),
+            F.when(s % 2 == 0, F.lit(None).cast("boolean")).otherwise(s % 7 != 0).alias("required"),
+            F.struct(F.lit("s3").alias("type"),
+                     F.concat(F.lit("inbound/T"), (s % N_TENANTS).cast("string"), F.lit("/V"), s.cast("string"),
+                              F.lit("/")).alias("s3_prefix")).alias("inbound"),
+            F.struct(F.lit("csv").alias("format"),
+                     F.when(s % 4 == 1, F.lit("latin-1")).alias("encoding"),
+                     F.when(s % 3 == 1, F.create_map(F.lit("sku"), F.lit("ITEM"), F.lit("quantity_available"),
+                                                     F.lit("QTY"))).alias("column_map")).alias("parser"),
+            F.when(s % 3 == 1, F.struct(F.lit("s3").alias("type"),
+                                        F.concat(F.lit("maps/V"), s.cast("string"), F.lit(".csv")).alias("s3_key")))
+            .alias("sku_map")).alias("v"))
+    by_key = (lambda a, b: F.when(a["_s"] < b["_s"], -1).when(a["_s"] > b["_s"], 1).otherwise(0))
+    per_tenant = vend.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_s", "v")), by_key).alias("_vs"))
+    rules = tenant_rules(spark, sf_dir).withColumn("_k", F.expr("cast(substring(tenant_id, 2) as int)"))
+    doc = rules.join(per_tenant, "_k").select(
+        F.to_json(F.struct(
+            F.when(F.col("_k") == 4, F.lit(2)).otherwise(F.lit(1)).alias("schema_version"),
+            "tenant_id", F.lit("UTC").alias("timezone"), F.lit("USD").alias("default_currency"),
+            F.transform("_vs", lambda x: x["v"]).alias("vendors"),
+            F.struct(F.col("base_margin_pct").cast("string").alias("base_margin_pct"),
+                     F.col("min_price").cast("string").alias("min_price"),
+                     F.col("shipping_handling_flat").cast("string").alias("shipping_handling_flat"),
+                     F.struct(F.col("map_enforce").alias("enforce")).alias("map_policy"),
+                     F.struct(F.col("rounding_increment").cast("string").alias("increment")).alias("rounding"))
+            .alias("pricing"),
+            F.struct(F.lit("best_offer").alias("strategy"),
+                     F.struct(F.struct(F.col("include_shipping_handling").alias("include_shipping_handling"))
+                              .alias("landed_cost")).alias("best_offer")).alias("merge"),
+            F.struct(F.col("output_columns").alias("columns")).alias("output"),
+        )).alias("value"))
+    return doc

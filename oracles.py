@@ -745,3 +745,34 @@ ORACLES["stream_ingest"] = ORACLES["split_valid"]
 
 ORACLES["alarm_stream"] = (
     "SELECT tenant_id, window_start, window_end FROM (" + ORACLES["alarm_consecutive"] + ")")
+
+ORACLES["load_config"] = """
+WITH s AS (
+  SELECT *, s_suppkey % 5 AS k, row_number() OVER (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey) - 1 AS pos
+  FROM supplier)
+SELECT 'T' || CAST(k AS VARCHAR) AS tenant_id, CAST(CASE WHEN k = 4 THEN 2 ELSE 1 END AS BIGINT) AS schema_version,
+       k <> 4 AS version_ok, 'V' || CAST(s_suppkey AS VARCHAR) AS vendor_id, CAST(pos AS BIGINT) AS vendor_ordinal,
+       CASE WHEN s_suppkey % 2 = 0 THEN true ELSE s_suppkey % 7 <> 0 END AS required,
+       'inbound/T' || CAST(k AS VARCHAR) || '/V' || CAST(s_suppkey AS VARCHAR) || '/' AS s3_prefix,
+       CASE WHEN s_suppkey % 4 = 1 THEN 'latin-1' ELSE 'utf-8' END AS encoding,
+       CAST(CASE WHEN s_suppkey % 3 = 1 THEN 2 ELSE 0 END AS BIGINT) AS n_mapped,
+       s_suppkey % 3 = 1 AS has_sku_map,
+       CASE k % 3 WHEN 0 THEN '0.15' WHEN 1 THEN '0.20' ELSE '0.25' END AS base_margin_pct,
+       CASE k WHEN 0 THEN '0.99' WHEN 1 THEN '0.01' WHEN 2 THEN '0.05' WHEN 3 THEN '0.00' ELSE '1.00' END
+         AS rounding_increment,
+       CAST(7 AS BIGINT) AS fallback_lead_time_days, true AS merge_ok
+FROM s"""
+
+_CELLS_ALL = [("sku", "sku"), ("vendor_sku", "'P' || CAST(l_partkey AS VARCHAR)"), ("vendor_id", "vendor_id"),
+              ("quantity_available", "CAST(quantity_available AS VARCHAR)"),
+              ("lead_time_days", "CAST(coalesce(lead_time_days, fallback_lt) AS VARCHAR)"),
+              ("cost", f"coalesce({cents_str('cost_c')}, '')"), ("map_price", f"coalesce({cents_str('map_c')}, '')"),
+              ("price", _SELL), ("msrp", "''"), ("condition", "condition"), ("brand", "''"), ("title", "''"),
+              ("updated_at", iso_ts("updated_at"))]
+_CELLS_T2 = ["sku", "quantity_available", "price", "vendor_id", "updated_at"]
+_cell_sql = dict(_CELLS_ALL)
+ORACLES["project_output"] = _WITH + "\n" + "\nUNION ALL\n".join(
+    [f"SELECT tenant_id, sku, CAST({i} AS BIGINT) AS position, '{c}' AS column, {e} AS value "
+     f"FROM best WHERE tenant_id <> 'T2'" for i, (c, e) in enumerate(_CELLS_ALL)]
+    + [f"SELECT tenant_id, sku, CAST({i} AS BIGINT), '{c}', {_cell_sql[c]} FROM best WHERE tenant_id = 'T2'"
+       for i, c in enumerate(_CELLS_T2)])
