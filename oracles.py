@@ -393,16 +393,16 @@ WHERE s_suppkey % 3 = 1
 # CSV sources and sinks.
 # ---------------------------------------------------------------------------
 ORACLES["row_number"] = """
-SELECT 'V' || CAST(l_suppkey AS VARCHAR) AS vendor_id, CAST(l_orderkey // 5000 AS BIGINT) AS bucket,
+SELECT 'V' || CAST(l_suppkey AS VARCHAR) AS vendor_id, CAST(l_orderkey // 1000000 AS BIGINT) AS bucket,
        CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
        CAST(l_partkey AS BIGINT) AS l_partkey,
-       CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey // 5000
+       CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey // 1000000
                                ORDER BY l_orderkey, l_linenumber, l_partkey) + 1 AS BIGINT) AS row_number
 FROM lineitem"""
 
 ORACLES["bronze_copy"] = """
 SELECT 'T' || CAST(l_suppkey % 5 AS VARCHAR) AS tenant_id, 'V' || CAST(l_suppkey AS VARCHAR) AS vendor_id,
-       CAST(l_orderkey // 5000 AS BIGINT) AS bucket, CAST(count(*) + 1 AS BIGINT) AS n_lines
+       CAST(l_orderkey // 1000000 AS BIGINT) AS bucket, CAST(count(*) + 1 AS BIGINT) AS n_lines
 FROM lineitem GROUP BY ALL"""
 
 ORACLES["scan_feed"] = ORACLES["split_valid"]
