@@ -38,6 +38,7 @@ class RunInputs:
     sku_maps: DataFrame | None = None   # tenant_id, vendor_id, vendor_sku, sku, row_number
     decode_errors: DataFrame | None = None  # tenant_id, vendor_id, error_message
     schema_versions: DataFrame | None = None  # tenant_id, schema_version
+    received: DataFrame | None = None  # tenant_id, vendor_id with an input (default: files)
 
 
 @dataclass
@@ -106,7 +107,7 @@ def engine(inputs: RunInputs, now: Column, *, worker_flow: bool = True,
     rules, vendors, files = inputs.rules, inputs.vendors, inputs.files
 
     # -- inputs present / missing -------------------------------------------------
-    missing = missing_vendors(vendors, files)
+    missing = missing_vendors(vendors, inputs.received if inputs.received is not None else files)
     vendor_missing = missing_vendor_entries(missing, rules)
 
     # -- header check per file (one row per file) --------------------------------
