@@ -256,8 +256,7 @@ def q_split_rejects(spark, sf_dir):
     rej = nz.split_rejects(_normalized(spark, sf_dir)).join(F.broadcast(maps), "vendor_id")
     data = F.col("row_data")
     return rej.select("tenant_id", "vendor_id", *_keys(), "reason",
-                      data.getItem(F.coalesce(F.col("column_map").getItem("sku"), F.lit("sku")))
-                      .alias("raw_sku"),
+                      data[F.coalesce(F.col("column_map")["sku"], F.lit("sku"))].alias("raw_sku"),
                       F.size(data).cast("bigint").alias("n_fields"))
 
 

@@ -10,7 +10,7 @@ import hashlib
 import sys
 import time
 
-import duckdb
+import duckdb  # noqa: I001
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
