@@ -408,7 +408,11 @@ def q_roundtrip_csv(spark, sf_dir):
 def q_decode_guard(spark, sf_dir):
     """Feed files whose bytes are not valid UTF-8."""
     root = ff.write_encoded_files(spark, sf_dir, scratch_path(spark, "encoded"))
-    bad = src.decode_failures(spark, root)
+    files, rows = src.scan_feeds(spark, root)
+    suspects = src.suspicious_files(rows, files)
+    if not suspects:
+        return spark.createDataFrame([], "vendor_id string")
+    bad = src.decode_failures(spark, suspects)
     return bad.select(F.regexp_extract("source_file", r"vendor_id=([^/]+)/", 1).alias("vendor_id"))
 
 

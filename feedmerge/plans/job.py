@@ -8,8 +8,9 @@
   for map files.
 
 Files are grouped by (delimiter, charset) -- one positional scan per group,
-all tenants together.  UTF-8 feeds are checked for invalid bytes first; a
-bad file fails its tenant (DECODE_ERROR), not the job.  Outputs per tenant
+all tenants together.  UTF-8 files whose decoded text holds a replacement
+character get an exact byte check; a file with invalid bytes fails its
+tenant (DECODE_ERROR), not the job.  Outputs per tenant
 under ``out_dir``: normalised feeds per vendor, the merged feed (succeeded
 tenants only), errors, summary and the gate table.
 """
@@ -49,13 +50,16 @@ def _scan_groups(spark: SparkSession, received: DataFrame):
         except src.DecodeError as exc:
             decode_parts.append(sel.select("tenant_id", "vendor_id", F.lit(str(exc)).alias("error_message")))
             continue
-        if charset == "UTF-8":
-            bad = src.decode_failures(spark, paths)
-            decode_parts.append(
-                bad.join(sel.select(F.col("path").alias("source_file"), "tenant_id", "vendor_id"),
-                         "source_file").select("tenant_id", "vendor_id",
-                                               F.lit("invalid utf-8 bytes").alias("error_message")))
         files, rows = src.scan_feeds(spark, paths, delimiter=g.delimiter, encoding=charset)
+        if charset == "UTF-8":
+            # exact byte check only for files the decoder had to repair
+            suspects = src.suspicious_files(rows, files)
+            if suspects:
+                bad = src.decode_failures(spark, suspects)
+                decode_parts.append(
+                    bad.join(sel.select(F.col("path").alias("source_file"), "tenant_id", "vendor_id"),
+                             "source_file").select("tenant_id", "vendor_id",
+                                                   F.lit("invalid utf-8 bytes").alias("error_message")))
         files_parts.append(files)
         rows_parts.append(rows)
     def union(parts):
