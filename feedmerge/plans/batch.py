@@ -23,9 +23,11 @@ from feedmerge.operators.pricing import price_offers
 from feedmerge.operators.quality import vendor_entry
 from feedmerge.operators.rules import attach_rules, drop_rules
 from feedmerge.operators.skumap import apply_sku_map, clean_sku_map, missing_sku_maps
-from feedmerge.session import materialize
+from feedmerge.session import bounded_broadcast, materialize
 
 ERROR_COLUMNS = ["tenant_id", "vendor_id", "row_number", "reason", "row_data"]
+# Per-file layout rows (~ a few hundred bytes each) broadcast up to this count.
+MAX_BROADCAST_FILES = 500_000
 
 
 @dataclass
@@ -120,8 +122,10 @@ def engine(inputs: RunInputs, now: Column, *, worker_flow: bool = True,
                           F.col("missing_columns").alias("reason"), vendor_entry().alias("row_data")))
 
     # -- parse + validate, once ---------------------------------------------------
-    good = layout.where(F.col("missing_columns").isNull()).drop("header_truncated")
-    feed = inputs.rows.join(good, "source_file")
+    good = layout.where(F.col("missing_columns").isNull()).drop("header_truncated", "column_map")
+    # one row per input file: broadcast within a checked bound, so the feed
+    # rows are not shuffled by file (a huge file would be one hot key)
+    feed = inputs.rows.join(bounded_broadcast(good, MAX_BROADCAST_FILES), "source_file")
     normalized = materialize(nz.normalize(feed, now), "normalized")
     valid = nz.split_valid(normalized)
     rejects = nz.split_rejects(normalized).select(*ERROR_COLUMNS)

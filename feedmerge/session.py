@@ -102,3 +102,13 @@ def materialize(df, name: str = "stage"):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def bounded_broadcast(df, max_rows: int):
+    """``broadcast(df)`` when a count shows at most ``max_rows`` rows, else
+    ``df`` unchanged (the join then shuffles; AQE splits skewed keys).
+
+    For per-file / per-split tables whose size follows the number of input
+    files, not the data volume; the count runs on that small table only."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.count() <= max_rows else df
