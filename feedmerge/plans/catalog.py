@@ -660,9 +660,12 @@ def q_stream_ingest(spark, sf_dir):
     def process(spark_, paths):
         files, rows = src.scan_feeds(spark_, paths)
         files = files.select("*", *ff.file_identity())
-        return _valid_from_files(spark_, sf_dir, files, rows)
+        valid = _valid_from_files(spark_, sf_dir, files, rows)
+        return valid.withColumn("bucket", F.expr(f"l_orderkey div {ff.BUCKET_ORDERS}"))
 
-    ingest_stream(spark, root, out, scratch_path(spark, "ingest-ckpt"), process, ("tenant_id",))
+    # one slot per (tenant, vendor, bucket) file
+    ingest_stream(spark, root, out, scratch_path(spark, "ingest-ckpt"), process,
+                  ("tenant_id", "vendor_id", "bucket"))
     return spark.read.parquet(out).select(
         "tenant_id", "vendor_id", *[F.col(c).cast("bigint").alias(c) for c in LINE_KEYS], "sku",
         "quantity_available", "lead_time_days", "cost", "map_price", "price", "condition", "updated_at")
