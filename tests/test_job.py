@@ -173,3 +173,10 @@ def test_many_tenants_one_job(spark, tmpdir_path):
     assert sorted((g.tenant_id, g.status) for g in job.gates) == [("ta", "SUCCEEDED"), ("tb", "SUCCEEDED")]
     merged = {r.tenant_id: r for r in job.result.merged.collect()}
     assert merged["ta"].quantity_available == 1 and merged["tb"].quantity_available == 2
+
+
+def test_valid_utf8_with_replacement_char_is_not_a_decode_error(spark, tmpdir_path):
+    f = _write(os.path.join(tmpdir_path, "a.csv"), "sku,quantity_available,price\nSKU�,1,1.00\n")
+    job, _ = _run(spark, tmpdir_path, [_policy_config()], [("test_tenant", "vendor-a", f)])
+    assert job.gates[0].status == "SUCCEEDED"
+    assert [r.sku for r in job.result.records.collect()] == ["SKU�"]
