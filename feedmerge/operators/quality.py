@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedmerge import schema as S
 
 
 def vendor_entry(vendor_col="vendor_id"):
@@ -24,16 +23,3 @@ def vendor_errors(files: DataFrame, rules: DataFrame) -> DataFrame:
         .select("tenant_id", "vendor_id", F.lit(0).cast("bigint").alias("row_number"),
                 F.col("missing_columns").alias("reason"), vendor_entry().alias("row_data"))
     )
-
-
-def missing_columns_failures(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Tenants whose run fails on a missing required column (first message
-    in vendor order)."""
-    strict = rules.where(F.col("fail_on_missing_required_columns")).select("tenant_id")
-    return (
-        files.where(F.col("missing_columns").isNotNull())
-        .join(F.broadcast(strict), "tenant_id", "left_semi")
-        .groupBy("tenant_id")
-        .agg(F.min_by("missing_columns", "vendor_ordinal").alias("error_message"))
-        .select("tenant_id", F.lit(S.MISSING_REQUIRED_COLUMNS).alias("error_code"), "error_message")
-    )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -76,20 +75,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/feedmerge/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def is_local(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_local_dir(path: str) -> str:
-    p = local_path(path)
-    os.makedirs(p, exist_ok=True)
-    return p
-
-
 def materialize(df, name: str = "stage"):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     read it back.

@@ -2,8 +2,6 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from feedmerge.operators import alarms as al
 from feedmerge.operators import ledger as lg
 
