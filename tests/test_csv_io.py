@@ -81,3 +81,21 @@ def test_header_case_sensitive_and_last_duplicate_wins(spark):
     got = df.select(header_position(F.lit("sku")).alias("a"), header_position(F.lit("SKU")).alias("b"),
                     header_position(F.lit("qty")).alias("c")).first()
     assert (got.a, got.b, got.c) == (4, 1, 0)
+
+
+def test_filesystem_listing_latest_per_prefix(spark, tmpdir_path):
+    import time
+    from feedmerge.sources.listing import latest_inbound, list_files
+    for vendor, names in (("v1", ["a.csv", "b.csv"]), ("v2", ["c.csv"])):
+        d = os.path.join(tmpdir_path, "inbound", vendor)
+        os.makedirs(d)
+        for n in names:
+            with open(os.path.join(d, n), "w") as f:
+                f.write("sku\n")
+            time.sleep(1.1)
+    listing = list_files(spark, os.path.join(tmpdir_path, "inbound"))
+    root = "file:" + os.path.join(tmpdir_path, "inbound")
+    vendors = spark.createDataFrame([("t", "v1", f"{root}/v1/"), ("t", "v2", f"{root}/v2/"), ("t", "v3", f"{root}/v3/")],
+                                    "tenant_id string, vendor_id string, s3_prefix string")
+    got = {r.vendor_id: os.path.basename(r.key) for r in latest_inbound(listing, vendors).collect()}
+    assert got == {"v1": "b.csv", "v2": "c.csv"}
