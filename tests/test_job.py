@@ -180,3 +180,15 @@ def test_valid_utf8_with_replacement_char_is_not_a_decode_error(spark, tmpdir_pa
     job, _ = _run(spark, tmpdir_path, [_policy_config()], [("test_tenant", "vendor-a", f)])
     assert job.gates[0].status == "SUCCEEDED"
     assert [r.sku for r in job.result.records.collect()] == ["SKU�"]
+
+
+def test_invalid_rows_exactly_at_the_limit_pass(spark, tmpdir_path):
+    # 1 invalid of 2: 1 > 1 is false and 0.5 > 0.5 is false (strict comparisons)
+    f = _write(os.path.join(tmpdir_path, "a.csv"),
+               "sku,quantity_available,price\nSKU1,10,5.00\nSKU2,-1,4.00\n")
+    job, _ = _run(spark, tmpdir_path, [_policy_config(max_invalid_rows=1, max_invalid_row_pct=0.5)],
+                  [("test_tenant", "vendor-a", f)])
+    g = job.gates[0]
+    assert (g.status, g.invalid_rows, g.total_rows) == ("SUCCEEDED", 1, 2)
+    assert [e.reason for e in job.result.errors.collect()] == [
+        "quantity_available: quantity_available must be >= 0"]
