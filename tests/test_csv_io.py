@@ -99,3 +99,23 @@ def test_filesystem_listing_latest_per_prefix(spark, tmpdir_path):
                                     "tenant_id string, vendor_id string, s3_prefix string")
     got = {r.vendor_id: os.path.basename(r.key) for r in latest_inbound(listing, vendors).collect()}
     assert got == {"v1": "b.csv", "v2": "c.csv"}
+
+
+def test_range_partitioned_parts_concatenate_to_sorted_feed(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+    df = spark.range(5000).select(
+        F.lit("t").alias("tenant_id"), F.format_string("SKU-%05d", (F.col("id") * 7919) % 5000).alias("sku"),
+        F.lit("v").alias("vendor_id"), F.lit(0).cast("bigint").alias("vendor_ordinal"),
+        F.col("id").alias("row_number")).repartition(6)
+    lay = spark.createDataFrame([("t", ["sku", "vendor_id"])], "tenant_id string, output_columns array<string>")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # keep several ranges at this tiny size
+    try:
+        write_feed(df, tmpdir_path, lay)
+    finally:
+        spark.conf.set(key, "true")
+    parts = sorted(glob.glob(os.path.join(tmpdir_path, "tenant_id=t", "part-*")))
+    assert len(parts) > 1
+    lines = _read_text(tmpdir_path, "tenant_id=t").splitlines()
+    assert lines[0] == "sku,vendor_id"
+    assert lines[1:] == sorted(f"SKU-{i:05d},v" for i in range(5000))
