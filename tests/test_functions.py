@@ -123,3 +123,12 @@ def test_format_datetime(spark):
 def test_stage_index(spark):
     df = spark.createDataFrame([("QUEUE",), ("COMPLETE",), ("NOPE",)], "s string")
     assert [r.i for r in df.select(stage_index(F.col("s")).alias("i")).collect()] == [0, 5, -1]
+
+
+def test_basename_matches_posix_path(spark):
+    from pathlib import PurePosixPath
+    from feedmerge.functions import basename
+    keys = ["inbound/t/v/feed.csv", "a/b/", "x.csv", "", "a//b", "/"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = [r.b for r in df.select(basename(F.col("k")).alias("b")).collect()]
+    assert got == [PurePosixPath(k).name or "inbound" for k in keys]
