@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmerge.llm import byte_bpe, pii, token_counts, toxicity
+from feedmerge.llm import byte_bpe, decontamination, jaccard_join, pii, token_counts, toxicity
 from feedmerge.llm.runtime import held_out, read
 
 
@@ -37,11 +37,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return jaccard_join.cluster(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_decontamination": decontamination.ORACLE,
+}
