@@ -78,7 +78,9 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, _print, item_id) of pairs with enough sketch values in common."""
     cut = _keyed(docs.select("doc_id", "text")).select("doc_id", "_print", words(F.col("text")).alias("_words"))
     sets = cut.select("doc_id", "_print", hashed_shingles("_words").alias("_hashes"))
-    probes = sets.select("doc_id", "_print", F.size("_hashes").alias("n"), F.explode("_hashes").alias("token"))
+    # explode() would add a filter on the array, which moves below the projections
+    # and cuts the text anew for every shingle; the join drops the outer nulls
+    probes = sets.select("doc_id", "_print", F.size("_hashes").alias("n"), F.explode_outer("_hashes").alias("token"))
     # sketch values in common that 75 % containment cannot go below
     least = F.size("sketch") - (F.col("q") - F.col("need"))
     sketches = materialize(items.select("item_id", "need", F.greatest(least, F.lit(1)).alias("least"),
@@ -127,19 +129,19 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH dw AS (
   SELECT DISTINCT doc_id, text, list_filter(string_split_regex(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 iw AS (
   SELECT DISTINCT item_id, text, list_filter(string_split_regex(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM benchmark),
 ds AS (
   SELECT DISTINCT doc_id, text, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
-    i -> array_to_string(list_slice(w, i, i + 4), ' '))) AS s
+    lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s
   FROM dw WHERE len(w) > 0),
 it AS (
   SELECT DISTINCT item_id, text, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
-    i -> array_to_string(list_slice(w, i, i + 4), ' '))) AS s
+    lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s
   FROM iw WHERE len(w) > 0),
 sizes AS (SELECT item_id, text, count(*) AS n_item FROM it GROUP BY 1, 2),
 shared AS (
