@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmerge.llm import byte_bpe, decontamination, jaccard_join, pii, token_counts, toxicity
-from feedmerge.llm.runtime import held_out, read
+from feedmerge.llm import byte_bpe, decontamination, jaccard_join, kneser_ney, pii, token_counts, toxicity
+from feedmerge.llm.runtime import fold, held_out, read
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.where(fold("doc_id", 7) != 2))
+    return kneser_ney.score(docs, model).select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens",
+                                                "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     coded = byte_bpe.decode_documents(byte_bpe.encode_documents(docs))
@@ -48,6 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_kneser_ney": op2_kneser_ney,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
