@@ -93,11 +93,12 @@ def _pieces(text: bytes) -> Iterator[bytes]:
         at = to
 
 
-def hashed(texts: list[bytes], lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, word hashes, word bounds) for runs of consecutive texts.
+def hashed_spans(texts: list[bytes], lower: bool = False) -> Iterator[tuple]:
+    """(first text, data, word starts, word ends, word hashes, word bounds) for
+    runs of consecutive texts; starts and ends are places in ``data``.
 
     ``bounds`` has one entry more than the run has texts: text ``first + k``
-    owns ``hashes[bounds[k]:bounds[k + 1]]``.
+    owns the words ``bounds[k]`` to ``bounds[k + 1]``.
     """
     i = 0
     while i < len(texts):
@@ -106,21 +107,29 @@ def hashed(texts: list[bytes], lower: bool = False) -> Iterator[tuple[int, np.nd
             size += len(texts[j]) + 1
             j += 1
         if size > CHUNK:
-            text = texts[i].lower() if lower else texts[i]
-            parts = [_hash_buffer(p)[2] if len(p) <= CHUNK + LONG_WORD else
-                     np.array([_long_hash(w) for w in p.split()], np.uint64) for p in _pieces(text)]
-            h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield i, h, np.array([0, len(h)])
+            data = texts[i].lower() if lower else texts[i]
+            starts, ends, hashes, at = [], [], [], 0
+            for piece in _pieces(data):
+                start, end, h = _hash_buffer(piece)
+                starts.append(start + at)
+                ends.append(end + at)
+                hashes.append(h)
+                at += len(piece)
+            h = np.concatenate(hashes)
+            yield i, data, np.concatenate(starts), np.concatenate(ends), h, np.array([0, len(h)])
         else:
             data = b" ".join(texts[i:j])
-            start, _, h = _hash_buffer(data.lower() if lower else data)
+            data = data.lower() if lower else data
+            start, end, h = _hash_buffer(data)
             lengths = np.fromiter((len(t) + 1 for t in texts[i:j]), np.int64, j - i)
-            yield i, h, np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))
+            yield i, data, start, end, h, np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))
         i = j
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.split()
+def hashed(texts: list[bytes], lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, word hashes, word bounds), see ``hashed_spans``."""
+    for first, _, _, _, h, bounds in hashed_spans(texts, lower):
+        yield first, h, bounds
 
 
 _COEF = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 64, 64, dtype=np.uint64) | _U(1)
