@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmerge.llm import byte_bpe, decontamination, jaccard_join, kneser_ney, pii, substring_dedup, token_counts, toxicity
+from feedmerge.llm import byte_bpe, decontamination, jaccard_join, kneser_ney, pii, quality, substring_dedup, token_counts, toxicity
 from feedmerge.llm.runtime import fold, held_out, read
 
 
@@ -38,6 +38,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"),
+                                             "score", "predicted")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kneser_ney": op2_kneser_ney,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
