@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmerge.llm import byte_bpe, decontamination, jaccard_join, kneser_ney, pii, quality, substring_dedup, token_counts, toxicity
+from feedmerge.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, kneser_ney, pii, quality, substring_dedup, token_counts, toxicity
 from feedmerge.llm.runtime import fold, held_out, read
 
 
@@ -57,6 +57,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.deduplicate(read(spark, sf_dir, "embeddings"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return jaccard_join.cluster(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
 }
