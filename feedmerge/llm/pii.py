@@ -126,10 +126,10 @@ class Graph:
         near = [k for k in range(n - 1) if not text[nodes[k][1]:nodes[k + 1][0]].strip()]
         self.chain = np.array([(k, k + 1) for k in near], np.int64).reshape(-1, 2)
         seen: dict[str, int] = {}
-        skip = []
+        skip, chained = [], set(near)
         for k, t in enumerate(tokens):
             if key := key_of(t):
-                if key in seen and seen[key] != k - 1:
+                if key in seen and not (seen[key] == k - 1 and k - 1 in chained):
                     skip.append((seen[key], k))
                 seen[key] = k
         self.skip = np.array(skip, np.int64).reshape(-1, 2)
