@@ -10,10 +10,12 @@
    form one group.
 3. Pairs of groups that share a prefix shingle and whose sizes allow the
    threshold are expanded into member pairs and verified by exact intersection.
-   First each set is verified against one anchor of its posting lists; sets that
-   are then connected need no more pairs among themselves, so a large family of
-   near copies costs a number of pairs in proportion to its members.  All pairs
-   that are still in different components are then verified.
+   First, in ``ROUNDS`` rounds, each set is verified against one anchor of its
+   posting lists: the set of another component whose shingles are the most
+   frequent, that is the middle of a family of near copies.  Sets that are then
+   connected need no more pairs among themselves, so a large family costs a
+   number of pairs in proportion to its members.  All pairs that are still in
+   different components are then verified, so no link between them is lost.
 4. Components of the verified links.
 
 Hash collisions: a shingle is 56 bits, so a pair of sets of 1000 shingles gets
@@ -42,6 +44,7 @@ WORDS = 5
 PERCENT = 75
 BLOCK_TOKENS = 2_000_000
 BLOCK_DOCS = 60_000
+ROUNDS = 2
 _U = np.uint64
 
 
@@ -167,7 +170,7 @@ def _reply(table: pa.Table) -> pa.Table:
                     [pa.array([], t) for t in _REPLY_KINDS], names=_REPLY_NAMES)
 
 
-SETS = "id long, n_shingles long, print long, prefix array<long>, tokens array<long>"
+SETS = "id long, n_shingles long, print long, central double, prefix array<long>, tokens array<long>"
 
 
 def _assemble(table: pa.Table) -> pa.Table:
@@ -191,17 +194,21 @@ def _assemble(table: pa.Table) -> pa.Table:
     offsets = np.r_[0, np.cumsum(np.where(keep, shared, 0))]
     kept = token[np.repeat(keep, shared)]
     tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(kept))
+    # how much a set is made of shingles that many others hold
+    central = np.bincount(doc, weights=np.log2(df[order]), minlength=len(ids)) / np.maximum(size, 1)
     ahead = np.arange(len(kept)) - np.repeat(offsets[:-1], np.diff(offsets)) < np.repeat(prefix, np.diff(offsets))
     heads = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(kept[ahead]))
-    return pa.table([pa.array(ids, pa.int64()), pa.array(size), pa.array(prints, mask=size == 0), heads, tokens],
-                    names=["id", "n_shingles", "print", "prefix", "tokens"])
+    return pa.table([pa.array(ids, pa.int64()), pa.array(size), pa.array(prints, mask=size == 0), pa.array(central),
+                     heads, tokens], names=["id", "n_shingles", "print", "central", "prefix", "tokens"])
 
 
 def shingle_sets(docs: DataFrame, name: str = "shingle-sets") -> DataFrame:
-    """(id, n_shingles, print, prefix, tokens) for (id, text): a written table.
+    """(id, n_shingles, print, central, prefix, tokens) for (id, text): a
+    written table.
 
     ``print`` identifies equal sets (null for none); ``prefix`` and ``tokens``
-    are filled for one document of each set that may join another set."""
+    are filled for one document of each set that may join another set;
+    ``central`` is the mean log frequency of its shingles."""
     buckets = 4 * shuffle_partitions(docs.sparkSession)
     sent = docs.select("id", "text").mapInArrow(_forward(buckets), FORWARD)
     replied = sent.groupBy("key").applyInArrow(_reply, REPLY)
@@ -225,34 +232,58 @@ def _fits(a: str, b: str):
     return F.lit(100) * least >= F.lit(PERCENT) * most
 
 
+def _parts(member: DataFrame, parts: DataFrame) -> DataFrame:
+    """(print, g, part) of every set."""
+    return (member.join(parts, member["print"] == parts["node"], "left")
+            .select("print", "g", F.coalesce("component", "print").alias("part")))
+
+
+def _anchor_pairs(posting: DataFrame, part_of: DataFrame) -> DataFrame:
+    """(a, b): each group with the anchor that it shares the most prefix
+    shingles with.  Anchors are, by shingle and size class, the most central
+    group and the most central one of another component."""
+    place = ["token", "class"]
+    tagged = posting.join(part_of.groupBy("g").agg(F.min("part").alias("part")), "g")
+    best = F.max(F.struct("central", "g")).alias("best")
+    by_part = tagged.groupBy(*place, "part").agg(best)
+    first = (by_part.groupBy(*place).agg(F.max(F.struct("best", "part")).alias("one"), F.count("*").alias("parts"))
+             .where("parts > 1"))
+    second = (by_part.join(first, place).where("part <> one.part").groupBy(*place)
+              .agg(F.max("best").alias("two"), F.first("one").alias("one")))
+    anchor = F.when(F.col("part") == F.col("one.part"), F.col("two.g")).otherwise(F.col("one.best.g"))
+    near = (tagged.join(second, place).select("g", anchor.alias("h"))
+            .groupBy("g", "h").agg(F.count("*").alias("common"))
+            .groupBy("g").agg(F.max(F.struct("common", "h")).alias("best")))
+    return near.select(F.least("g", "best.h").alias("a"), F.greatest("g", "best.h").alias("b")).distinct()
+
+
 def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, components) between prints: links (a, b) connect exactly the
     sets that the full set of links connects; components (node, component)."""
     live = materialize(sets.where(F.size("prefix") > 0)
-                       .select("print", F.col("n_shingles").alias("n"), "prefix", "tokens"), "prefix-sets")
+                       .select("print", F.col("n_shingles").alias("n"), "central", "prefix", "tokens"), "prefix-sets")
     # sets of one prefix and size are one group, named by its least member
-    groups = live.groupBy("n", "prefix").agg(F.min("print").alias("g"), F.count("*").alias("members"))
-    member = materialize(live.select("print", "n", "prefix").join(groups, ["n", "prefix"])
-                         .select("print", "g", "members"), "prefix-groups")
-    posting = materialize(groups.select(F.explode("prefix").alias("token"), "g", "n"), "postings")
-
-    # one anchor for each set: the first group of its posting lists, by size class
+    groups = live.groupBy("n", "prefix").agg(F.min("print").alias("g"), F.max("central").alias("central"))
+    member = materialize(live.select("print", "n", "prefix").join(groups, ["n", "prefix"]).select("print", "g"),
+                         "prefix-groups")
     step = float(np.log(100 / PERCENT))
-    sized = posting.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)))
-    anchors = sized.groupBy("token", "class").agg(F.min(F.struct("n", "g")).alias("anchor"), F.count("*").alias("m"))
-    near = (sized.join(anchors.where("m > 1"), ["token", "class"]).where(F.col("g") != F.col("anchor.g"))
-            .groupBy("g", F.col("anchor.g").alias("h")).agg(F.count("*").alias("common"))
-            .groupBy("g").agg(F.max(F.struct("common", "h")).alias("best")))
-    first = near.select(F.col("g").alias("a"), F.col("best.h").alias("b"))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
+    posting = materialize(groups.select(F.explode("prefix").alias("token"), "g", "n", "central",
+                                        size_class.alias("class")), "postings")
+
     inside = member.where("print <> g").select(F.col("print").alias("a"), F.col("g").alias("b"))
-    found = materialize(_verified(first.unionByName(inside), live), "anchor-links")
+    found = materialize(_verified(inside, live), "group-links")
     parts = components(found)
+    for _ in range(ROUNDS):
+        part_of = _parts(member, parts)
+        found = materialize(found.unionByName(_verified(_anchor_pairs(posting, part_of), live)).distinct(),
+                            "anchor-links")
+        parts = components(found)
 
     # every pair of groups with a common prefix shingle that is not connected yet
-    part_of = (member.join(parts, member["print"] == parts["node"], "left")
-               .select("print", "g", F.coalesce("component", "print").alias("part")))
+    part_of = _parts(member, parts)
     spread = part_of.groupBy("g").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    tagged = posting.join(spread, "g")
+    tagged = posting.select("token", "g", "n").join(spread, "g")
     open_tokens = (tagged.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y"))
                    .where("x <> y").select("token"))
     tagged = materialize(tagged.join(open_tokens, "token", "left_semi"), "open-postings")
