@@ -8,14 +8,16 @@
    ``n - ceil(0.75 n) + 1`` are its prefix.  Two sets with Jaccard similarity of
    0.75 or more share a prefix shingle.  Sets with identical prefix and size
    form one group.
-3. Pairs of groups that share a prefix shingle and whose sizes allow the
-   threshold are expanded into member pairs and verified by exact intersection.
-   First, in ``ROUNDS`` rounds, each set is verified against one anchor of its
-   posting lists: the set of another component whose shingles are the most
-   frequent, that is the middle of a family of near copies.  Sets that are then
-   connected need no more pairs among themselves, so a large family costs a
-   number of pairs in proportion to its members.  All pairs that are still in
-   different components are then verified, so no link between them is lost.
+3. Pairs of groups that share a prefix shingle, whose sizes allow the threshold
+   and whose sketches do not rule it out (sets of n and m shingles link only if
+   they differ in at most (n + m) / 7 of them; differing sketch bits and shingles
+   of one set only are a lower bound of that) are expanded into member pairs and
+   verified by exact intersection.  First each set is verified against one anchor
+   of its posting lists: the set of another component whose shingles are the most
+   frequent, that is the middle of a family of near copies.  Then pairs that meet
+   in the rarest shared shingles of both, then all.  Sets that are connected by
+   then need no more pairs among themselves, so a large family costs a number of
+   pairs in proportion to its members, and no link between components is lost.
 4. Components of the verified links.
 
 Hash collisions: a shingle is 56 bits, so a pair of sets of 1000 shingles gets
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedmerge.llm.runtime import components, materialize, shuffle_partitions
@@ -44,7 +46,8 @@ WORDS = 5
 PERCENT = 75
 BLOCK_TOKENS = 2_000_000
 BLOCK_DOCS = 60_000
-ROUNDS = 2
+SKETCH = 512      # bits
+FIRST = 2         # open shingles of the second round
 _U = np.uint64
 
 
@@ -170,7 +173,21 @@ def _reply(table: pa.Table) -> pa.Table:
                     [pa.array([], t) for t in _REPLY_KINDS], names=_REPLY_NAMES)
 
 
-SETS = "id long, n_shingles long, print long, central double, prefix array<long>, tokens array<long>"
+SETS = "id long, n_shingles long, print long, central double, sketch array<long>, prefix array<long>, tokens array<long>"
+
+
+def parity_sketch(doc: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+    """Per document SKETCH bits: the parity of its tokens that fall on each bit.
+    Sketches of two sets differ in at most as many bits as the sets differ in
+    tokens, whatever the hashes do."""
+    out = np.zeros((n, SKETCH // 64), np.int64)
+    for a in range(0, n, 4096):
+        b = min(a + 4096, n)
+        x, y = np.searchsorted(doc, [a, b])
+        bit = (doc[x:y].astype(np.int64) - a) * SKETCH + (token[x:y] & (SKETCH - 1))
+        odd = (np.bincount(bit, minlength=(b - a) * SKETCH) & 1).astype(np.uint8).reshape(b - a, SKETCH)
+        out[a:b] = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+    return out
 
 
 def _assemble(table: pa.Table) -> pa.Table:
@@ -194,21 +211,25 @@ def _assemble(table: pa.Table) -> pa.Table:
     offsets = np.r_[0, np.cumsum(np.where(keep, shared, 0))]
     kept = token[np.repeat(keep, shared)]
     tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(kept))
+    sketch = pa.FixedSizeListArray.from_arrays(pa.array(parity_sketch(doc, token, len(ids)).reshape(-1)), SKETCH // 64)
+    sketch = sketch.cast(pa.list_(pa.int64()))
     # how much a set is made of shingles that many others hold
     central = np.bincount(doc, weights=np.log2(df[order]), minlength=len(ids)) / np.maximum(size, 1)
     ahead = np.arange(len(kept)) - np.repeat(offsets[:-1], np.diff(offsets)) < np.repeat(prefix, np.diff(offsets))
     heads = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(kept[ahead]))
     return pa.table([pa.array(ids, pa.int64()), pa.array(size), pa.array(prints, mask=size == 0), pa.array(central),
-                     heads, tokens], names=["id", "n_shingles", "print", "central", "prefix", "tokens"])
+                     sketch, heads, tokens],
+                    names=["id", "n_shingles", "print", "central", "sketch", "prefix", "tokens"])
 
 
 def shingle_sets(docs: DataFrame, name: str = "shingle-sets") -> DataFrame:
-    """(id, n_shingles, print, central, prefix, tokens) for (id, text): a
+    """(id, n_shingles, print, central, sketch, prefix, tokens) for (id, text): a
     written table.
 
     ``print`` identifies equal sets (null for none); ``prefix`` and ``tokens``
     are filled for one document of each set that may join another set;
-    ``central`` is the mean log frequency of its shingles."""
+    ``central`` is the mean log frequency of its shingles, ``sketch`` the parity
+    sketch of its shared ones."""
     buckets = 4 * shuffle_partitions(docs.sparkSession)
     sent = docs.select("id", "text").mapInArrow(_forward(buckets), FORWARD)
     replied = sent.groupBy("key").applyInArrow(_reply, REPLY)
@@ -257,48 +278,68 @@ def _anchor_pairs(posting: DataFrame, part_of: DataFrame) -> DataFrame:
     return near.select(F.least("g", "best.h").alias("a"), F.greatest("g", "best.h").alias("b")).distinct()
 
 
+def _open_pairs(posting: DataFrame, sketches: DataFrame, part_of: DataFrame, first: int | None) -> DataFrame:
+    """(a, b): sets of different components whose groups share a prefix shingle
+    (one of the ``first`` rarest open ones of each, if given)."""
+    spread = part_of.groupBy("g").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    tagged = posting.select("token", "at", "g", "n").join(spread, "g")
+    # open: a shingle that is in more than one component
+    open_tokens = (tagged.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y"))
+                   .where("x <> y").select("token"))
+    tagged = tagged.join(open_tokens, "token", "left_semi")
+    if first is not None:
+        # a group has at most as many rows as its prefix is long
+        rank = F.row_number().over(Window.partitionBy("g").orderBy("at"))
+        tagged = tagged.withColumn("_rank", rank).where(F.col("_rank") <= first)
+    tagged = materialize(tagged.join(sketches, "g"), "open-postings")
+    bits = [f"s{k}" for k in range(SKETCH // 64)]
+    one = tagged.select("token", "g", "n", "low", "high", "single", *bits)
+    two = tagged.select("token", *[F.col(c).alias(f"{c}_") for c in ("g", "n", "low", "high", "single", *bits)])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in bits), F.col("single") + F.col("single_"))
+    may = F.coalesce(7 * apart <= F.col("n") + F.col("n_"), F.lit(True))
+    meets = ((one["token"] == two["token"]) & (F.col("g") <= F.col("g_")) & _fits("n", "n_") & may
+             & F.expr("not (low = high and low_ = high_ and low = low_)"))
+    pairs = one.join(two, meets).select("g", "g_").distinct()
+    left = part_of.select("g", F.col("print").alias("a"), F.col("part").alias("pa"))
+    right = part_of.select(F.col("g").alias("g_"), F.col("print").alias("b"), F.col("part").alias("pb"))
+    return (pairs.join(left, "g").join(right, "g_").where("a <> b and pa <> pb")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, components) between prints: links (a, b) connect exactly the
     sets that the full set of links connects; components (node, component)."""
-    live = materialize(sets.where(F.size("prefix") > 0)
-                       .select("print", F.col("n_shingles").alias("n"), "central", "prefix", "tokens"), "prefix-sets")
-    # sets of one prefix and size are one group, named by its least member
-    groups = live.groupBy("n", "prefix").agg(F.min("print").alias("g"), F.max("central").alias("central"))
-    member = materialize(live.select("print", "n", "prefix").join(groups, ["n", "prefix"]).select("print", "g"),
-                         "prefix-groups")
+    words = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]
+    live = materialize(sets.where(F.size("prefix") > 0).select(
+        "print", F.col("n_shingles").alias("n"), "central",
+        (F.col("n_shingles") - F.size("tokens")).alias("single"), *words, "prefix", "tokens"), "prefix-sets")
+    # sets of one prefix and size are one group, named by its least member; a
+    # group of several has no sketch of its own
+    alone = F.count("*") == 1
+    groups = live.groupBy("n", "prefix").agg(
+        F.min("print").alias("g"), F.max("central").alias("central"), F.when(alone, F.min("single")).alias("single"),
+        *[F.when(alone, F.min(f"s{k}")).alias(f"s{k}") for k in range(SKETCH // 64)])
+    groups = materialize(groups, "groups")
+    member = materialize(live.select("print", "n", "prefix").join(groups.select("n", "prefix", "g"), ["n", "prefix"])
+                         .select("print", "g"), "prefix-groups")
     step = float(np.log(100 / PERCENT))
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
-    posting = materialize(groups.select(F.explode("prefix").alias("token"), "g", "n", "central",
+    posting = materialize(groups.select(F.posexplode("prefix").alias("at", "token"), "g", "n", "central",
                                         size_class.alias("class")), "postings")
+    sketches = groups.drop("prefix", "central", "n")
 
     inside = member.where("print <> g").select(F.col("print").alias("a"), F.col("g").alias("b"))
     found = materialize(_verified(inside, live), "group-links")
     parts = components(found)
-    for _ in range(ROUNDS):
-        part_of = _parts(member, parts)
-        found = materialize(found.unionByName(_verified(_anchor_pairs(posting, part_of), live)).distinct(),
-                            "anchor-links")
-        parts = components(found)
-
-    # every pair of groups with a common prefix shingle that is not connected yet
-    part_of = _parts(member, parts)
-    spread = part_of.groupBy("g").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    tagged = posting.select("token", "g", "n").join(spread, "g")
-    open_tokens = (tagged.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y"))
-                   .where("x <> y").select("token"))
-    tagged = materialize(tagged.join(open_tokens, "token", "left_semi"), "open-postings")
-    one = tagged.select("token", "g", "n", "low", "high")
-    two = tagged.select("token", F.col("g").alias("h"), F.col("n").alias("m"), F.col("low").alias("low2"),
-                        F.col("high").alias("high2"))
-    pairs = (one.join(two, "token").where((F.col("g") <= F.col("h")) & _fits("n", "m"))
-             .where("not (low = high and low2 = high2 and low = low2)").select("g", "h").distinct())
-    expanded = (pairs.join(part_of.select(F.col("g"), F.col("print").alias("a"), F.col("part").alias("pa")), "g")
-                .join(part_of.select(F.col("g").alias("h"), F.col("print").alias("b"), F.col("part").alias("pb")), "h")
-                .where("a <> b and pa <> pb")
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = materialize(_verified(expanded, live), "cross-links")
-    every = found.unionByName(more)
-    return every, components(every)
+    steps = (lambda part_of: _anchor_pairs(posting, part_of),
+             lambda part_of: _open_pairs(posting, sketches, part_of, FIRST),
+             lambda part_of: _open_pairs(posting, sketches, part_of, None))
+    for pairs in steps:
+        new = materialize(_verified(pairs(_parts(member, parts)), live), "new-links")
+        found = found.unionByName(new)
+        if new.limit(1).count():
+            parts = components(found)
+    return found, parts
 
 
 def cluster(docs: DataFrame) -> DataFrame:
