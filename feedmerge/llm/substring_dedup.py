@@ -35,7 +35,7 @@ from feedmerge.llm.textarrays import as_bytes, hashed_spans, mix, ngram_hashes
 WINDOW = 35
 RUN = 4                        # words of a minimiser
 SPAN = WINDOW - RUN + 1        # runs of a window: a power of two
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 BLOCK_DOCS = 60_000
 _U = np.uint64
 
@@ -163,8 +163,8 @@ def _groups(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
     view = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
     wrong = []
     at = np.flatnonzero(same)
-    for k in range(0, len(at), 100_000):
-        part = at[k:k + 100_000]
+    for k in range(0, len(at), 20_000):
+        part = at[k:k + 20_000]
         equal = (view[place[order[part]]] == view[place[order[part + 1]]]).all(axis=1)
         wrong.append(part[~equal])
     group = np.empty(len(place), np.int64)
@@ -201,6 +201,7 @@ def _count(table: pa.Table) -> pa.Table:
             lengths.append(len(words))
             ids += [number.setdefault(w, len(number)) for w in words]
         rows.append(np.full(len(sizes), k))
+    number.clear()
     ids, length, row = np.array(ids, np.int32), np.array(lengths, np.int64), np.concatenate(rows)
     doc = np.concatenate([np.frombuffer(x, np.uint32) for x in table["c"].to_pylist()])
     word = np.concatenate([np.frombuffer(x, np.uint32) for x in table["d"].to_pylist()]).astype(np.int64)
@@ -255,7 +256,7 @@ def _assemble(table: pa.Table) -> pa.Table:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, _print, starts, stops): covered words of documents that have any."""
-    buckets = 8 * shuffle_partitions(docs.sparkSession)
+    buckets = 16 * shuffle_partitions(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_print"), "text")
     sent = keyed.mapInArrow(_forward(buckets), FORWARD)
     counted = sent.groupBy("key").applyInArrow(_count, REPLY)
