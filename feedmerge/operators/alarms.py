@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RUN_SLICE = 1000  # periods ordered by one task
+
 STATS = {
     "Maximum": F.max,
     "Minimum": F.min,
@@ -49,11 +51,19 @@ def consecutive(breaching: DataFrame, *, periods: int, period_seconds: int,
     """Periods ending a run of ``periods`` consecutive breaching periods."""
     if periods <= 1:
         return breaching
-    w = Window.partitionBy(*dims).orderBy("window_start")
+    # Slices of time, so that an alarm without dimensions is no single task.
+    # The last periods of a slice also go to the next one, as history only.
+    length = period_seconds * max(RUN_SLICE, periods)
+    second = F.unix_seconds("window_start")
+    own = F.floor(second / length)
+    until = F.floor((second + period_seconds * (periods - 1)) / length)
+    sliced = breaching.withColumn("_slice", F.explode(F.sequence(own, until))).withColumn(
+        "_history", F.col("_slice") != own)
+    w = Window.partitionBy(*dims, "_slice").orderBy("window_start")
     first = F.lag("window_start", periods - 1).over(w)
     span = F.make_dt_interval(secs=F.lit(period_seconds * (periods - 1)))
-    return breaching.where(F.lit(True)).withColumn("_first", first).where(
-        F.col("_first") == F.col("window_start") - span).drop("_first")
+    return sliced.withColumn("_first", first).where(
+        (F.col("_first") == F.col("window_start") - span) & ~F.col("_history")).drop("_first", "_slice", "_history")
 
 
 def evaluate(metrics: DataFrame, *, value: str, statistic: str, period_seconds: int, periods: int,
@@ -65,21 +75,25 @@ def evaluate(metrics: DataFrame, *, value: str, statistic: str, period_seconds:
                        periods=periods, period_seconds=period_seconds, dims=dims)
 
 
-def heartbeat_gaps(beats: DataFrame, *, min_gap_seconds: int, key: str = "worker_id",
-                   ts: str = "ts", bucket: str = "1 hour") -> DataFrame:
-    """Silences longer than ``min_gap_seconds`` between consecutive
-    heartbeats of a worker.
+def heartbeat_gaps(beats: DataFrame, *, min_gap_seconds: int = 300, key: str = "worker_id",
+                   ts: str = "ts", bucket: str = "1 hour", as_of: Column | None = None) -> DataFrame:
+    """Silences of ``min_gap_seconds`` or more between consecutive heartbeats
+    of a worker (5 minutes by default) and, with ``as_of`` (a timestamp), from
+    a worker's last heartbeat up to then: missing data is a breach.
 
-    Heartbeats are first reduced to (first, last) per worker and hour, so
-    the ordered window runs over at most one row per worker-hour, however
-    many heartbeats there are.  ``min_gap_seconds`` must be at least the
-    bucket length (shorter silences inside a bucket are not reported)."""
+    Beats are ordered within a worker and hour; silences across hours come
+    from each hour's first and last beat.  So no ordered window holds more
+    than one hour of a worker, or one row per hour of it."""
     t = F.col(ts).cast("timestamp")
-    per_bucket = beats.groupBy(key, F.window(t, bucket).alias("b")).agg(
-        F.min(t).alias("_first"), F.max(t).alias("_last"))
-    w = Window.partitionBy(key).orderBy(F.col("b.start"))
-    prev = F.lag("_last").over(w)
-    gaps = per_bucket.select(key, prev.alias("gap_start"), F.col("_first").alias("gap_end"))
+    timed = beats.select(key, t.alias("_t"), F.window(t, bucket)["start"].alias("_b")).where("_t is not null")
+    before = F.lag("_t").over(Window.partitionBy(key, "_b").orderBy("_t"))
+    inside = timed.select(key, before.alias("gap_start"), F.col("_t").alias("gap_end"))
+    per_bucket = timed.groupBy(key, "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    prev = F.lag("_last").over(Window.partitionBy(key).orderBy("_b"))
+    gaps = inside.unionByName(per_bucket.select(key, prev.alias("gap_start"), F.col("_first").alias("gap_end")))
+    if as_of is not None:
+        gaps = gaps.unionByName(per_bucket.groupBy(key).agg(F.max("_last").alias("gap_start"))
+                                .select(key, "gap_start", as_of.cast("timestamp").alias("gap_end")))
     seconds = (F.unix_micros("gap_end") - F.unix_micros("gap_start")) / 1e6
     return gaps.where(F.col("gap_start").isNotNull()).select(
         key, "gap_start", "gap_end", seconds.alias("gap_seconds")).where(

@@ -19,7 +19,7 @@ def vendor_errors(files: DataFrame, rules: DataFrame) -> DataFrame:
     lenient = rules.where(~F.col("fail_on_missing_required_columns")).select("tenant_id")
     return (
         files.where(F.col("missing_columns").isNotNull())
-        .join(F.broadcast(lenient), "tenant_id", "left_semi")
+        .join(lenient, "tenant_id", "left_semi")
         .select("tenant_id", "vendor_id", F.lit(0).cast("bigint").alias("row_number"),
                 F.col("missing_columns").alias("reason"), vendor_entry().alias("row_data"))
     )

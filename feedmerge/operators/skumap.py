@@ -48,11 +48,13 @@ def apply_sku_map(records: DataFrame, sku_map: DataFrame) -> DataFrame:
     return joined.withColumn("sku", F.coalesce(F.col("_mapped"), F.col("sku"))).drop("_code", "_mapped")
 
 
-def missing_sku_maps(vendors: DataFrame, sku_map: DataFrame) -> DataFrame:
+def missing_sku_maps(vendors: DataFrame, received: DataFrame | None) -> DataFrame:
     """Vendors configured with a map whose map input is absent: one error
-    entry each (row 0, "missing sku map"); their records stay unmapped."""
+    entry each (row 0, "missing sku map"); their records stay unmapped.
+    ``received``: the vendors with a map file (None: there is no map at all)."""
     configured = vendors.where(F.col("has_sku_map"))
-    present = sku_map.select(*MAP_KEYS).distinct()
-    return configured.join(present, list(MAP_KEYS), "left_anti").select(
+    if received is not None:
+        configured = configured.join(received.select(*MAP_KEYS).distinct(), list(MAP_KEYS), "left_anti")
+    return configured.select(
         "tenant_id", "vendor_id", F.lit(0).cast("bigint").alias("row_number"),
         F.lit(S.REASON_MISSING_SKU_MAP).alias("reason"), vendor_entry().alias("row_data"))

@@ -23,11 +23,9 @@ from feedmerge.operators.pricing import price_offers
 from feedmerge.operators.quality import vendor_entry
 from feedmerge.operators.rules import attach_rules, drop_rules
 from feedmerge.operators.skumap import apply_sku_map, clean_sku_map, missing_sku_maps
-from feedmerge.session import bounded_broadcast, materialize
+from feedmerge.session import materialize
 
 ERROR_COLUMNS = ["tenant_id", "vendor_id", "row_number", "reason", "row_data"]
-# Per-file layout rows (~ a few hundred bytes each) broadcast up to this count.
-MAX_BROADCAST_FILES = 500_000
 
 
 @dataclass
@@ -41,6 +39,7 @@ class RunInputs:
     decode_errors: DataFrame | None = None  # tenant_id, vendor_id, error_message
     schema_versions: DataFrame | None = None  # tenant_id, schema_version
     received: DataFrame | None = None  # tenant_id, vendor_id with an input (default: files)
+    maps_received: DataFrame | None = None  # tenant_id, vendor_id with a map file, even an empty one
 
 
 @dataclass
@@ -67,7 +66,7 @@ def missing_vendor_entries(missing: DataFrame, rules: DataFrame) -> DataFrame:
     required vendors give ``REQUIRED_VENDOR_MISSING`` entries only under
     the ``warn_only`` policy (otherwise the tenant fails, see
     ``missing_vendor_failures``)."""
-    m = missing.join(F.broadcast(rules.select("tenant_id", "missing_required_vendor_policy")), "tenant_id")
+    m = missing.join(rules.select("tenant_id", "missing_required_vendor_policy"), "tenant_id")
     warn_only = F.col("missing_required_vendor_policy") == "warn_only"
     prefix = F.coalesce(F.col("s3_prefix"), F.lit(""))
     kept = m.where(~F.col("required") | warn_only)
@@ -95,7 +94,7 @@ def missing_vendor_failures(missing: DataFrame, rules: DataFrame) -> DataFrame:
     every missing required vendor in config order (a per-tenant list, bounded
     by the tenant's configuration)."""
     strict = rules.where(F.col("missing_required_vendor_policy") != "warn_only").select("tenant_id")
-    req = missing.where(F.col("required")).join(F.broadcast(strict), "tenant_id", "left_semi")
+    req = missing.where(F.col("required")).join(strict, "tenant_id", "left_semi")
     item = F.struct(F.col("vendor_ordinal").alias("ord"),
                     F.concat(F.col("vendor_id"), F.lit(" (expected prefix "),
                              F.coalesce(F.col("s3_prefix"), F.lit("")), F.lit(")")).alias("text"))
@@ -117,36 +116,35 @@ def engine(inputs: RunInputs, now: Column, *, worker_flow: bool = True,
         files.join(vendors.drop("header"), ["tenant_id", "vendor_id"]))
     lenient = rules.where(~F.col("fail_on_missing_required_columns")).select("tenant_id")
     col_errors = (layout.where(F.col("missing_columns").isNotNull())
-                  .join(F.broadcast(lenient), "tenant_id", "left_semi")
+                  .join(lenient, "tenant_id", "left_semi")
                   .select("tenant_id", "vendor_id", F.lit(0).cast("bigint").alias("row_number"),
                           F.col("missing_columns").alias("reason"), vendor_entry().alias("row_data")))
 
     # -- parse + validate, once ---------------------------------------------------
     good = layout.where(F.col("missing_columns").isNull()).drop("header_truncated", "column_map")
-    # one row per input file: broadcast within a checked bound, so the feed
-    # rows are not shuffled by file (a huge file would be one hot key)
-    feed = inputs.rows.join(bounded_broadcast(good, MAX_BROADCAST_FILES), "source_file")
+    # one row per input file, small beside the rows: Spark broadcasts it by its
+    # measured size, or shuffles and splits a huge file's rows (skew join)
+    feed = inputs.rows.join(good, "source_file")
     normalized = materialize(nz.normalize(feed, now), "normalized")
     valid = nz.split_valid(normalized)
     rejects = nz.split_rejects(normalized).select(*ERROR_COLUMNS)
 
     # -- SKU maps -------------------------------------------------------------------
-    map_errors = None
+    # checked for vendors whose file passed the header check; a map file
+    # without rows is there all the same
+    parsed = good.select("tenant_id", "vendor_id").distinct()
+    with_map = inputs.maps_received if inputs.maps_received is not None else inputs.sku_maps
+    expected = vendors.join(parsed, ["tenant_id", "vendor_id"], "left_semi")
+    map_errors = missing_sku_maps(expected, with_map)
+    parsed_rows = valid
     if inputs.sku_maps is not None:
-        cleaned = clean_sku_map(inputs.sku_maps)
-        # checked for vendors whose file passed the header check
-        parsed = good.select("tenant_id", "vendor_id").distinct()
-        map_errors = missing_sku_maps(vendors.join(parsed, ["tenant_id", "vendor_id"], "left_semi"),
-                                      inputs.sku_maps)
-        valid = apply_sku_map(valid, cleaned)
+        valid = apply_sku_map(valid, clean_sku_map(inputs.sku_maps))
 
     # -- engine-level missing inbound entries (direct engine calls only) ---------
-    parts = [col_errors]
-    if map_errors is not None:
-        parts.append(map_errors)
+    parts = [col_errors, map_errors]
     if not worker_flow:
         strict_missing = missing.join(
-            F.broadcast(rules.where(F.col("missing_required_vendor_policy") != "warn_only")
+            (rules.where(F.col("missing_required_vendor_policy") != "warn_only")
                         .select("tenant_id")), "tenant_id", "left_semi").where(F.col("required"))
         parts.append(strict_missing.select("tenant_id", "vendor_id", F.lit(0).cast("bigint").alias("row_number"),
                                            F.lit(S.REASON_MISSING_INBOUND).alias("reason"),
@@ -161,13 +159,15 @@ def engine(inputs: RunInputs, now: Column, *, worker_flow: bool = True,
 
     # -- counts and summary ---------------------------------------------------------
     vendor_counts = vendors.select("tenant_id", "vendor_id").join(
-        valid.groupBy("tenant_id", "vendor_id").agg(F.count(F.lit(1)).alias("n_valid")),
+        parsed_rows.groupBy("tenant_id", "vendor_id").agg(F.count(F.lit(1)).alias("n_valid")),
         ["tenant_id", "vendor_id"], "left").fillna(0, ["n_valid"])
     error_counts = errors.groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("invalid_rows"),
         F.count(F.when(F.col("reason") != S.REASON_MISSING_INBOUND, 1)).alias("_counted_errors"))
     valid_counts = vendor_counts.groupBy("tenant_id").agg(F.sum("n_valid").alias("_valid"))
-    merged_counts = merged.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("record_count"))
+    # one merged record for each SKU: counted without ranking and pricing
+    merged_counts = (valid.select("tenant_id", "sku").distinct()
+                     .groupBy("tenant_id").agg(F.count(F.lit(1)).alias("record_count")))
     configured = vendors.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("vendor_count"))
     summary = (
         rules.select("tenant_id").join(configured, "tenant_id", "left")
@@ -201,7 +201,7 @@ def _gates(inputs: RunInputs, summary: DataFrame, missing: DataFrame, vendor_mis
     rules = inputs.rules
     fail_vendor = missing_vendor_failures(missing, rules).withColumn("_code", F.lit(S.REQUIRED_VENDOR_MISSING))
     strict = rules.where(F.col("fail_on_missing_required_columns")).select("tenant_id")
-    col_fail = layout.where(F.col("missing_columns").isNotNull()).join(F.broadcast(strict), "tenant_id", "left_semi")
+    col_fail = layout.where(F.col("missing_columns").isNotNull()).join(strict, "tenant_id", "left_semi")
     normalize_fail = col_fail.select("tenant_id", "vendor_ordinal",
                                      F.lit(S.MISSING_REQUIRED_COLUMNS).alias("_c"),
                                      F.col("missing_columns").alias("_m"))
@@ -212,6 +212,12 @@ def _gates(inputs: RunInputs, summary: DataFrame, missing: DataFrame, vendor_mis
             "tenant_id", "vendor_ordinal", F.lit(S.DECODE_ERROR).alias("_c"),
             F.concat(F.lit("decode error for vendor "), F.col("vendor_id"), F.lit(": "),
                      F.col("error_message")).alias("_m")))
+    if "merge_ok" in rules.columns:
+        # refused when merging, that is after every vendor has been parsed
+        bad = rules.where(~F.coalesce(F.col("merge_ok"), F.lit(False)))
+        normalize_fail = normalize_fail.unionByName(bad.select(
+            "tenant_id", F.lit(2**62).cast("bigint").alias("vendor_ordinal"), F.lit(S.INVALID_INPUT).alias("_c"),
+            F.lit("Unsupported merge strategy").alias("_m")))
     first_norm = normalize_fail.groupBy("tenant_id").agg(
         F.min_by(F.struct("_c", "_m"), "vendor_ordinal").alias("_f"))
     version_fail = None

@@ -155,7 +155,7 @@ def q_landed_cost(spark, sf_dir):
 def q_round_increment(spark, sf_dir):
     """(cost + shipping) x (1 + margin) rounded half-up to each tenant's
     increment (increment 0 leaves the value)."""
-    df = _offers_with_rules(spark, sf_dir).where(F.col("cost").isNotNull())
+    df = _offers_with_rules(spark, sf_dir)
     cand = (F.col("cost") + rule("shipping_handling_flat")) * (F.lit(1) + rule("base_margin_pct"))
     rounded = round_increment(cand, rule("rounding_increment"))
     return df.select("tenant_id", "sku", "vendor_id",
@@ -253,7 +253,7 @@ def q_split_valid(spark, sf_dir):
 def q_split_rejects(spark, sf_dir):
     """Rejected rows with their reason and raw row."""
     maps = dv.vendor_feeds(spark, sf_dir).select("vendor_id", "column_map")
-    rej = nz.split_rejects(_normalized(spark, sf_dir)).join(F.broadcast(maps), "vendor_id")
+    rej = nz.split_rejects(_normalized(spark, sf_dir)).join(maps, "vendor_id")
     data = F.col("row_data")
     return rej.select("tenant_id", "vendor_id", *_keys(), "reason",
                       data[F.coalesce(F.col("column_map")["sku"], F.lit("sku"))].alias("raw_sku"),
@@ -408,11 +408,7 @@ def q_roundtrip_csv(spark, sf_dir):
 def q_decode_guard(spark, sf_dir):
     """Feed files whose bytes are not valid UTF-8."""
     root = ff.write_encoded_files(spark, sf_dir, scratch_path(spark, "encoded"))
-    files, rows = src.scan_feeds(spark, root)
-    suspects = src.suspicious_files(rows, files)
-    if not suspects:
-        return spark.createDataFrame([], "vendor_id string")
-    bad = src.decode_failures(spark, suspects)
+    bad = src.decode_failures(spark, root)
     return bad.select(F.regexp_extract("source_file", r"vendor_id=([^/]+)/", 1).alias("vendor_id"))
 
 
@@ -503,7 +499,10 @@ def q_error_report(spark, sf_dir):
     from feedmerge.sinks.reports import read_error_report, write_error_report
     run = stand_in_run(spark, sf_dir)
     out = scratch_path(spark, "errors")
-    write_error_report(run, out)
+    none = F.lit(None).cast("string")
+    write_error_report(run, out, run.summary.select(
+        "tenant_id", F.lit("stand-in").alias("run_id"), none.alias("failed_stage"), none.alias("error_code"),
+        none.alias("error_message")))
     back = read_error_report(spark, out)
     return back.select("tenant_id", F.col("entry_section").cast("bigint").alias("entry_section"), "error_code", "vendor_id",
                        F.col("row_number").cast("bigint").alias("row_number"), "reason")
@@ -635,9 +634,11 @@ def q_alarm_avg(spark, sf_dir):
 @register("heartbeat_gap")
 def q_heartbeat_gap(spark, sf_dir):
     """Missing heartbeat: a worker (user) silent for 3 days or more between
-    clicks."""
-    beats = dv.metric_points(spark, sf_dir).where(F.col("event_type") == "click")
-    gaps = al.heartbeat_gaps(beats, min_gap_seconds=3 * 24 * HOUR)
+    clicks, or from the last click to the end of the stream."""
+    points = dv.metric_points(spark, sf_dir)
+    end = points.agg(F.max(F.col("ts").cast("timestamp")).cast("string")).first()[0]
+    beats = points.where(F.col("event_type") == "click")
+    gaps = al.heartbeat_gaps(beats, min_gap_seconds=3 * 24 * HOUR, as_of=F.lit(end))
     return gaps.select("worker_id", format_datetime(F.col("gap_start")).alias("gap_start"),
                        format_datetime(F.col("gap_end")).alias("gap_end"),
                        F.round("gap_seconds", 3).alias("gap_seconds"))
@@ -724,7 +725,7 @@ def q_project_output(spark, sf_dir):
     from feedmerge.schema import CANONICAL_COLUMNS
     merged = merged_priced(spark, sf_dir)
     rules = dv.tenant_rules(spark, sf_dir).select("tenant_id", "output_columns")
-    j = merged.join(F.broadcast(rules), "tenant_id")
+    j = merged.join(rules, "tenant_id")
     vals = _value_map(j, CANONICAL_COLUMNS)
     cols = _columns_or_all(F.col("output_columns"))
     cells = F.transform(cols, lambda c, i: F.struct(i.alias("position"), c.alias("column"),

@@ -8,58 +8,60 @@
   for map files.
 
 Files are grouped by (delimiter, charset) -- one positional scan per group,
-all tenants together.  UTF-8 files whose decoded text holds a replacement
-character get an exact byte check; a file with invalid bytes fails its
-tenant (DECODE_ERROR), not the job.  Outputs per tenant
-under ``out_dir``: normalised feeds per vendor, the merged feed (succeeded
-tenants only), errors, summary and the gate table.
+all tenants together.  The bytes of UTF-8 files are checked; a file with
+invalid ones fails its tenant (DECODE_ERROR), not the job.  ``run_batch`` takes
+run requests, config versions and a listing instead of ready paths.  Outputs
+below ``<artifact>/run_id=<id>/tenant_id=<id>``: normalised feeds per vendor,
+the merged feed (succeeded tenants only), errors, summary, config snapshot,
+input manifest and status events.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedmerge.functions.text import basename
+from feedmerge.operators import ledger
 from feedmerge.operators.normalize import header_position
 from feedmerge.plans.batch import RunInputs, RunResult, engine
-from feedmerge.session import configure, materialize
+from feedmerge.schema import STAGES
+from feedmerge.session import configure, materialize, scratch_path
 from feedmerge.sinks.csv import write_feed
-from feedmerge.sinks.reports import write_error_report, write_json_rows
+from feedmerge.sinks.reports import write_error_report
 from feedmerge.sources import config as cfg
 from feedmerge.sources import feeds as src
-from feedmerge.sources.feeds import charset_for
+from feedmerge.sources import listing as lst
 
 
 @dataclass
 class JobOutput:
     result: RunResult
     gates: list  # collected gate rows (one per tenant)
+    events: DataFrame  # status events for the run ledger
 
 
 def _scan_groups(spark: SparkSession, received: DataFrame):
-    groups = received.select("delimiter", "encoding").distinct().collect()  # a few layouts
-    files_parts, rows_parts, decode_parts = [], [], []
+    received = received.withColumn("charset", src.charset(F.col("encoding")))
+    unsupported = received.where("charset is null").select(
+        "tenant_id", "vendor_id",
+        F.concat(F.lit("unsupported encoding '"), "encoding", F.lit("' for vendor "), "vendor_id").alias("error_message"))
+    groups = received.where("charset is not null").select("delimiter", "charset").distinct().collect()  # a few layouts
+    files_parts, rows_parts, decode_parts = [], [], [unsupported]
     for g in groups:
-        sel = received.where((F.col("delimiter") == g.delimiter) & (F.col("encoding") == g.encoding))
-        paths = [r.path for r in sel.select("path").collect()]  # file names only
-        try:
-            charset = charset_for(g.encoding)
-        except src.DecodeError as exc:
-            decode_parts.append(sel.select("tenant_id", "vendor_id", F.lit(str(exc)).alias("error_message")))
-            continue
-        files, rows = src.scan_feeds(spark, paths, delimiter=g.delimiter, encoding=charset)
-        if charset == "UTF-8":
-            # exact byte check only for files the decoder had to repair
-            suspects = src.suspicious_files(rows, files)
-            if suspects:
-                bad = src.decode_failures(spark, suspects)
-                decode_parts.append(
-                    bad.join(sel.select(F.col("path").alias("source_file"), "tenant_id", "vendor_id"),
-                             "source_file").select("tenant_id", "vendor_id",
-                                                   F.lit("invalid utf-8 bytes").alias("error_message")))
+        sel = received.where((F.col("delimiter") == g.delimiter) & (F.col("charset") == g.charset))
+        paths = [r.path for r in sel.select("path").distinct().collect()]  # file names only
+        files, rows = src.scan_feeds(spark, paths, delimiter=g.delimiter, encoding=g.charset)
+        if g.charset == "UTF-8":
+            bad = src.decode_failures(spark, paths)
+            decode_parts.append(
+                bad.join(sel.select(F.col("path").alias("source_file"), "tenant_id", "vendor_id"),
+                         "source_file").select("tenant_id", "vendor_id",
+                                               F.lit("invalid utf-8 bytes").alias("error_message")))
         files_parts.append(files)
         rows_parts.append(rows)
     def union(parts):
@@ -81,6 +83,7 @@ def read_sku_maps(spark: SparkSession, maps: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "tenant_id string, vendor_id string, vendor_sku string, sku string, "
                                          "row_number bigint")
     files, rows = src.scan_feeds(spark, paths)
+
     def pos(name):
         return header_position(F.lit(name))  # last column of that name wins
     j = rows.join(files, "source_file").join(maps.withColumnRenamed("path", "source_file"), "source_file")
@@ -91,10 +94,30 @@ def read_sku_maps(spark: SparkSession, maps: DataFrame) -> DataFrame:
                     "row_number")
 
 
-def run_job(spark: SparkSession, config_path: str, feeds: DataFrame, out_dir: str, *, run_id: str,
-            now: str, sku_maps: DataFrame | None = None, one_file_per_tenant: bool = False) -> JobOutput:
-    configure(spark)
-    configs = cfg.read_configs(spark, config_path)
+def _single_documents(configs: DataFrame) -> DataFrame:
+    """The configs, refused if a tenant has two: which one holds is the
+    caller's choice (see ``run_batch``), never a join's."""
+    twice = configs.groupBy("tenant_id").count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError("more than one config document for " + ", ".join(str(r["tenant_id"]) for r in twice)
+                         + ": pass one each, or config versions and runs to run_batch")
+    return configs
+
+
+def _write_rows(df: DataFrame, path: str, *by: str) -> None:
+    """JSON rows; only the partitions that ``df`` has are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(path)
+
+
+def _execute(spark: SparkSession, configs: DataFrame, runs: DataFrame, feeds: DataFrame, out_dir: str, now: str,
+             sku_maps: DataFrame | None, one_file_per_tenant: bool) -> JobOutput:
+    """Engine and outputs of one run for each tenant of ``configs``.
+
+    ``runs``: tenant_id, run_id, config_version.  Every artifact lies below
+    ``<artifact>/run_id=<id>/tenant_id=<id>/`` and only those folders are
+    replaced, so a run never touches what another one wrote.
+    """
+    started = time.time()
     rules = cfg.rules_from_configs(configs)
     vendors = cfg.vendors_from_configs(configs)
     feeds = _qualified(spark, feeds)
@@ -104,29 +127,126 @@ def run_job(spark: SparkSession, config_path: str, feeds: DataFrame, out_dir: st
     if files is None:
         files = spark.createDataFrame([], "source_file string, header array<string>, header_truncated boolean")
         rows = spark.createDataFrame([], "source_file string, row_number bigint, values array<string>")
-    ident = feeds.select(F.col("path").alias("source_file"), "tenant_id", "vendor_id")
-    files = files.join(ident, "source_file")
-    if decode is not None:
-        # files that failed decoding are not parsed
-        files = files.join(decode.select("tenant_id", "vendor_id"), ["tenant_id", "vendor_id"], "left_anti")
-        decode = materialize(decode, "decode-errors")
+    ident = received.select(F.col("path").alias("source_file"), "tenant_id", "vendor_id")
+    decode = materialize(decode, "decode-errors")
+    # a received file without a single line has no header: all columns are missing
+    files = (ident.join(files, "source_file", "left")
+             .withColumn("header", F.coalesce("header", F.array().cast("array<string>")))
+             .join(decode.select("tenant_id", "vendor_id"), ["tenant_id", "vendor_id"], "left_anti"))
     inputs = RunInputs(rules=rules, vendors=vendors, files=files, rows=rows,
                        sku_maps=read_sku_maps(spark, sku_maps) if sku_maps is not None else None,
                        decode_errors=decode,
                        schema_versions=configs.select("tenant_id", "schema_version"),
-                       received=feeds.select("tenant_id", "vendor_id"))
+                       received=feeds.select("tenant_id", "vendor_id"),
+                       maps_received=sku_maps.select("tenant_id", "vendor_id") if sku_maps is not None else None)
     result = engine(inputs, F.lit(now).cast("timestamp"))
-    gates = materialize(result.gates.withColumn("run_id", F.lit(run_id)), "gates")
+    # read by the summary, the normalised feeds and the merge
+    result = replace(result, vendor_counts=materialize(result.vendor_counts, "vendor-counts"))
+    gates = materialize(result.gates.join(runs, "tenant_id"), "gates")
     gate_rows = gates.collect()  # one row per tenant
+    parsed_s = time.time() - started
 
     base = out_dir.rstrip("/")
-    ok = gates.where(F.col("status") == "SUCCEEDED").select("tenant_id")
-    layouts = rules.select("tenant_id", "output_columns").join(ok, "tenant_id", "left_semi")
-    write_feed(result.merged.join(ok, "tenant_id", "left_semi"), f"{base}/outputs/merged_inventory", layouts,
+    tag = runs.select("tenant_id", "run_id")
+    by_run = ("run_id", "tenant_id")
+    ok = gates.where(F.col("status") == "SUCCEEDED").select(*by_run)
+    write_feed(result.merged.join(ok, "tenant_id"), f"{base}/outputs/merged_inventory",
+               rules.select("tenant_id", "output_columns").join(ok, "tenant_id"), partition_cols=by_run,
                one_file_per_partition=one_file_per_tenant)
-    vendor_layouts = vendors.select("tenant_id", "vendor_id", F.array().cast("array<string>").alias("output_columns"))
-    write_feed(result.records, f"{base}/normalized", vendor_layouts, partition_cols=("tenant_id", "vendor_id"),
-               one_file_per_partition=one_file_per_tenant)
-    write_error_report(result, f"{base}/reports/errors")
-    write_json_rows(gates, f"{base}/reports/run_summary")
-    return JobOutput(result=result, gates=gate_rows)
+    # normalised feeds: vendors with an input, of tenants that got past parsing
+    past = gates.where("failed_stage is null or failed_stage not in ('FETCH_INPUTS', 'NORMALIZE')").select(*by_run)
+    delivered = received.select("tenant_id", "vendor_id").distinct()
+    layouts = delivered.join(past, "tenant_id").withColumn("output_columns", F.array().cast("array<string>"))
+    write_feed(result.records.join(past, "tenant_id"), f"{base}/normalized", layouts,
+               partition_cols=(*by_run, "vendor_id"), one_file_per_partition=one_file_per_tenant)
+    write_error_report(result, f"{base}/reports/errors", gates)
+
+    counts = result.vendor_counts.groupBy("tenant_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("vendor_id", "n_valid"))).alias("vendor_record_counts"))
+    took = time.time() - started
+    summary = (gates.join(counts, "tenant_id", "left")
+               .withColumn("duration_seconds", F.lit(took))
+               .withColumn("stage_times", F.create_map(F.lit("engine_seconds"), F.lit(parsed_s),
+                                                       F.lit("output_seconds"), F.lit(took - parsed_s)))
+               .withColumn("completed_at", F.lit(now)))
+    _write_rows(summary, f"{base}/reports/run_summary", *by_run)
+    snapshot = configs.select("tenant_id", F.to_json(F.struct(*configs.columns)).alias("config")).join(tag, "tenant_id")
+    _write_rows(snapshot, f"{base}/reports/config_snapshot", *by_run)
+    events = status_events(gates, now)
+    _write_rows(events, f"{base}/events", *by_run)
+    return JobOutput(result=result, gates=gate_rows, events=events)
+
+
+def status_events(gates: DataFrame, now: str) -> DataFrame:
+    """Ledger events of the runs (see ``ledger.fold_runs``): RUNNING at each
+    stage that was reached, then the outcome."""
+    stages = F.array(*[F.lit(s) for s in STAGES])
+    reached = F.transform(F.slice(stages, 1, F.col("stage_index") + 1), lambda s, i: F.struct(
+        i.cast("bigint").alias("seq"), F.lit("RUNNING").alias("status"), s.alias("stage")))
+    last = F.array(F.struct(F.lit(len(STAGES)).cast("bigint").alias("seq"), F.col("status").alias("status"),
+                            F.col("stage").alias("stage")))
+    e = gates.withColumn("e", F.explode(F.concat(reached, last)))
+    final = F.col("e.seq") == len(STAGES)
+    when_final = lambda c: F.when(final, F.col(c))
+    return e.select("run_id", "tenant_id", "config_version", F.col("e.seq").alias("seq"),
+                    F.col("e.status").alias("status"), F.col("e.stage").alias("stage"),
+                    F.lit(now).cast("timestamp").alias("started_at"),
+                    F.when(final, F.lit(now).cast("timestamp")).alias("finished_at"),
+                    when_final("failed_stage").alias("failed_stage"), when_final("error_code").alias("error_code"),
+                    when_final("error_message").alias("error_message"))
+
+
+def run_job(spark: SparkSession, config_path: str, feeds: DataFrame, out_dir: str, *, run_id: str,
+            now: str, sku_maps: DataFrame | None = None, one_file_per_tenant: bool = False) -> JobOutput:
+    """One run (``run_id``) over ready file paths and one config per tenant."""
+    configure(spark)
+    configs = _single_documents(cfg.read_configs(spark, config_path))
+    runs = configs.select("tenant_id", F.lit(run_id).alias("run_id"), F.lit(None).cast("bigint").alias("config_version"))
+    return _execute(spark, configs, runs, feeds, out_dir, now, sku_maps, one_file_per_tenant)
+
+
+def run_batch(spark: SparkSession, requests: DataFrame, versions: DataFrame, listing: DataFrame, out_dir: str, *,
+              now: str, one_file_per_tenant: bool = False) -> JobOutput:
+    """Run requests against their pinned configs and the inbound listing.
+
+    * ``requests``: run_id, tenant_id, config_version (one active run a tenant);
+    * ``versions``: tenant_id, config_version, config (JSON document), seq;
+    * ``listing``: key, etag, size, last_modified (``listing.list_files``).
+
+    The newest object of each vendor's prefix is its feed, the object of the
+    configured key its SKU map; the input manifest, config snapshot and status
+    events are written with the other artifacts.  A run whose version does not
+    exist gets a failure-form error report and a FAILED event.
+    """
+    configure(spark)
+    pinned = materialize(ledger.pinned_config(requests, ledger.config_versions(versions)), "pinned-configs")
+    found = pinned.where("config_found")
+    documents = scratch_path(spark, "config-documents")
+    # the run's tenant is the tenant, whatever the document says
+    found.select("config").write.text(documents)
+    configs = _single_documents(cfg.read_configs(spark, documents))
+    runs = found.select("tenant_id", "run_id", "config_version")
+    configs = materialize(configs.join(runs.select("tenant_id"), "tenant_id", "left_semi"), "configs")
+    vendors = cfg.vendors_from_configs(configs)
+    manifest = materialize(lst.input_manifest(listing, vendors), "manifest")
+    feeds = manifest.where("status = 'found'").select("tenant_id", "vendor_id", F.col("s3_key").alias("path"))
+    maps = vendors.where("has_sku_map").select("tenant_id", "vendor_id", F.col("sku_map_key").alias("path"))
+    maps = maps.join(listing.select(F.col("key").alias("path")), "path").select("tenant_id", "vendor_id", "path")
+    out = _execute(spark, configs, runs, feeds, out_dir, now, materialize(maps, "map-files"), one_file_per_tenant)
+
+    base = out_dir.rstrip("/")
+    by_run = ("run_id", "tenant_id")
+    tagged = manifest.join(runs.select("tenant_id", "run_id"), "tenant_id")
+    copied = F.when(F.col("s3_key").isNotNull(), F.concat_ws(
+        "/", "run_id", F.lit("tenants"), "tenant_id", F.lit("inbound"), "vendor_id", basename(F.col("s3_key"))))
+    _write_rows(tagged.withColumn("run_copy_key", copied), f"{base}/reports/input_manifest", *by_run)
+    lost = pinned.where("not config_found")
+    _write_rows(lost.select(*by_run, "error_code", F.lit("tenant config not found").alias("error_message")),
+                f"{base}/reports/errors", *by_run)
+    failed = lost.select(*by_run, "config_version", F.lit(len(STAGES)).cast("bigint").alias("seq"),
+                         F.lit("FAILED").alias("status"), F.lit(STAGES[0]).alias("stage"),
+                         F.lit(now).cast("timestamp").alias("started_at"), F.lit(now).cast("timestamp").alias("finished_at"),
+                         F.lit(STAGES[0]).alias("failed_stage"), "error_code",
+                         F.lit("tenant config not found").alias("error_message"))
+    _write_rows(failed, f"{base}/events", *by_run)
+    return replace(out, events=out.events.unionByName(failed))

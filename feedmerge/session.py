@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -56,11 +57,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment (a path every executor can
-    reach).  Only when it is unset -- local tests, the driver's smoke run --
-    do we pick a fresh local folder.
+    reach); without it a job there is refused, because a local folder would
+    be a different one on every executor.  Only a ``local[...]`` session (a
+    test, a laptop) gets a fresh local folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         current = tempfile.mkdtemp(prefix="feedmerge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     sc = spark.sparkContext
@@ -89,11 +94,8 @@ def materialize(df, name: str = "stage"):
     return spark.read.parquet(path)
 
 
-def bounded_broadcast(df, max_rows: int):
-    """``broadcast(df)`` when a count shows at most ``max_rows`` rows, else
-    ``df`` unchanged (the join then shuffles; AQE splits skewed keys).
-
-    For per-file / per-split tables whose size follows the number of input
-    files, not the data volume; the count runs on that small table only."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.count() <= max_rows else df
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is (no error if absent)."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -25,15 +25,26 @@ def error_entries(run) -> DataFrame:
     return missing.unionByName(engine)
 
 
-def write_error_report(run, path: str) -> None:
-    """JSON lines per tenant in report order.
-
-    Range-partitioned on the report order, so a tenant with a huge number
-    of rejects is written by many tasks (its part files, read in name
-    order, are the report) instead of one."""
+def write_error_report(run, path: str, gates: DataFrame) -> None:
+    """JSON lines per run and tenant in report order; ``gates``: run_id,
+    tenant_id, failed_stage, error_code, error_message.
+
+    A tenant that failed before merging gets the failure form, one entry with
+    ``error_code`` and ``error_message``; the others their entries.
+    Range-partitioned on the report order, so a tenant with a huge number of
+    rejects is written by many tasks (its part files, read in name order, are
+    the report) instead of one."""
+    early = F.coalesce(F.col("failed_stage").isin("FETCH_INPUTS", "NORMALIZE", "MERGE_PRICE")
+                       & (F.col("error_code") != "validation_errors"), F.lit(False))
     entries = error_entries(run)
-    (entries.orderBy("tenant_id", "entry_section", "_order", "vendor_id", "row_number")
-     .drop("_order").write.mode("overwrite").partitionBy("tenant_id").json(path))
+    normal = entries.join(gates.where(~early).select("run_id", "tenant_id"), "tenant_id")
+    blank = [c for c in entries.columns if c not in ("tenant_id", "entry_section", "error_code", "error_message")]
+    failed = gates.where(early).select(
+        "tenant_id", F.lit(0).alias("entry_section"), "error_code", "error_message",
+        *[F.lit(None).cast(entries.schema[c].dataType).alias(c) for c in blank], "run_id")
+    (normal.unionByName(failed).orderBy("run_id", "tenant_id", "entry_section", "_order", "vendor_id", "row_number")
+     .drop("_order").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "tenant_id").json(path))
 
 
 ERROR_REPORT_SCHEMA = (
@@ -46,7 +57,3 @@ def read_error_report(spark, path: str) -> DataFrame:
     """Read error reports back with their declared schema (``row_data`` keys
     are vendor headers and may differ only by case)."""
     return spark.read.schema(ERROR_REPORT_SCHEMA).json(path)
-
-
-def write_json_rows(df: DataFrame, path: str, partition_cols=("tenant_id",)) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_cols).json(path)

@@ -59,6 +59,7 @@ def vendors_from_configs(configs: DataFrame) -> DataFrame:
         F.coalesce(F.col("v.parser.delimiter"), F.lit(",")).alias("delimiter"),
         F.coalesce(F.col("v.parser.encoding"), F.lit("utf-8")).alias("encoding"),
         F.coalesce(F.col("v.parser.column_map"), F.create_map().cast("map<string,string>")).alias("column_map"),
-        (F.col("v.sku_map.s3_key").isNotNull() | F.col("v.sku_map.local_path").isNotNull()).alias("has_sku_map"),
+        F.col("v.sku_map.s3_key").isNotNull().alias("has_sku_map"),
+        F.col("v.sku_map.s3_key").alias("sku_map_key"),
         F.lit(None).cast("string").alias("default_condition"),
     )

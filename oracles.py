@@ -241,7 +241,7 @@ SELECT tenant_id, sku, vendor_id, CAST(l_orderkey AS BIGINT) AS l_orderkey,
        CAST(CASE WHEN inc_c <= 0 THEN (cost_c + ship_c) * (100 + margin_pct)
                  ELSE ((2 * (cost_c + ship_c) * (100 + margin_pct) + inc_c * 100) // (2 * inc_c * 100)) * inc_c * 100
             END AS BIGINT) AS rounded_units4
-FROM priced WHERE cost_c IS NOT NULL"""
+FROM priced"""
 
 ORACLES["format_decimal"] = f"""
 WITH x AS (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) AS amt_u
@@ -739,7 +739,12 @@ WITH b AS (
   FROM events WHERE event_type = 'click')
 SELECT worker_id, {iso_ts('prev')} AS gap_start, {iso_ts('ts')} AS gap_end,
        round((epoch_us(ts) - epoch_us(prev)) / 1e6, 3) AS gap_seconds
-FROM b WHERE prev IS NOT NULL AND epoch_us(ts) - epoch_us(prev) >= CAST(3 * 24 * 3600 AS BIGINT) * 1000000"""
+FROM b WHERE prev IS NOT NULL AND epoch_us(ts) - epoch_us(prev) >= CAST(3 * 24 * 3600 AS BIGINT) * 1000000
+UNION ALL
+SELECT worker_id, {iso_ts('last')}, {iso_ts('until')}, round((epoch_us("until") - epoch_us(last)) / 1e6, 3)
+FROM (SELECT worker_id, max(ts) AS last FROM b GROUP BY worker_id)
+CROSS JOIN (SELECT max(CAST(ts AS TIMESTAMP)) AS "until" FROM events)
+WHERE epoch_us("until") - epoch_us(last) >= CAST(3 * 24 * 3600 AS BIGINT) * 1000000"""
 
 ORACLES["stream_ingest"] = ORACLES["split_valid"]
 

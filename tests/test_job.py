@@ -39,20 +39,21 @@ def _write(path, text, encoding="utf-8"):
     return path
 
 
-def _run(spark, tmp, configs, feeds, maps=None):
+def _run(spark, tmp, configs, feeds, maps=None, run="run-1"):
     cpath = os.path.join(tmp, "configs")
     os.makedirs(cpath, exist_ok=True)
     _write(os.path.join(cpath, "c.json"), "\n".join(json.dumps(c) for c in configs) + "\n")
     fdf = spark.createDataFrame(feeds, "tenant_id string, vendor_id string, path string")
     mdf = spark.createDataFrame(maps or [], "tenant_id string, vendor_id string, path string")
     out = os.path.join(tmp, "out")
-    job = run_job(spark, cpath, fdf, out, run_id="run-1", now="2020-01-01 00:00:00", sku_maps=mdf,
+    job = run_job(spark, cpath, fdf, out, run_id=run, now="2020-01-01 00:00:00", sku_maps=mdf,
                   one_file_per_tenant=True)
     return job, out
 
 
-def _merged_text(out, tenant):
-    files = sorted(glob.glob(os.path.join(out, "outputs", "merged_inventory", f"tenant_id={tenant}", "part-*")))
+def _merged_text(out, tenant, run="run-1"):
+    files = sorted(glob.glob(os.path.join(out, "outputs", "merged_inventory", f"run_id={run}", f"tenant_id={tenant}",
+                                          "part-*")))
     return "".join(open(f).read() for f in files)
 
 
@@ -72,7 +73,7 @@ def test_golden_end_to_end(spark, tmpdir_path):
            "title,updated_at\n"
 
     def normalized(vendor):
-        files = sorted(glob.glob(os.path.join(out, "normalized", "tenant_id=test_tenant", f"vendor_id={vendor}",
+        files = sorted(glob.glob(os.path.join(out, "normalized", "run_id=run-1", "tenant_id=test_tenant", f"vendor_id={vendor}",
                                               "part-*")))
         return "".join(open(f).read() for f in files)
     assert normalized("vendor_1") == head + "SKU-001,,vendor_1,5,,10.00,25.00,0.00,,,,,2020-01-01T00:00:00Z\n"
@@ -88,22 +89,22 @@ def _policy_config(**policy):
 
 def test_bad_row_within_threshold_succeeds(spark, tmpdir_path):
     f = _write(os.path.join(tmpdir_path, "a.csv"),
-               "sku,quantity_available,price\nSKU1,10,5.00\nSKU2,not-a-number,4.00\n")
-    job, _ = _run(spark, tmpdir_path, [_policy_config(max_invalid_rows=1, max_invalid_row_pct=0.6,
+               "sku,quantity_available,price\nBOLT,7,2.50\nNUT,seven,0.40\nPIN,3,0.10\n")
+    job, _ = _run(spark, tmpdir_path, [_policy_config(max_invalid_rows=2, max_invalid_row_pct=0.4,
                                                       fail_on_missing_required_columns=True)],
                   [("test_tenant", "vendor-a", f)])
     g = job.gates[0]
-    assert (g.status, g.invalid_rows, g.total_rows) == ("SUCCEEDED", 1, 2)
+    assert (g.status, g.invalid_rows, g.total_rows) == ("SUCCEEDED", 1, 3)
     assert "invalid_rows_within_threshold" in g.warnings
     err = job.result.errors.collect()
-    assert [(e.row_number, e.reason) for e in err] == [(3, "invalid int: not-a-number")]
-    assert err[0].row_data == {"sku": "SKU2", "quantity_available": "not-a-number", "price": "4.00"}
+    assert [(e.row_number, e.reason) for e in err] == [(3, "invalid int: seven")]
+    assert err[0].row_data == {"sku": "NUT", "quantity_available": "seven", "price": "0.40"}
 
 
 def test_bad_row_over_threshold_fails(spark, tmpdir_path):
     f = _write(os.path.join(tmpdir_path, "a.csv"),
-               "sku,quantity_available,price\nSKU1,10,5.00\nSKU2,not-a-number,4.00\n")
-    job, out = _run(spark, tmpdir_path, [_policy_config(max_invalid_rows=0, max_invalid_row_pct=0.1)],
+               "sku,quantity_available,price\nBOLT,7,2.50\nNUT,seven,0.40\nPIN,3,0.10\n")
+    job, out = _run(spark, tmpdir_path, [_policy_config(max_invalid_rows=0, max_invalid_row_pct=0.2)],
                     [("test_tenant", "vendor-a", f)])
     g = job.gates[0]
     assert (g.status, g.stage, g.error_code) == ("FAILED", "MERGE_PRICE", "validation_errors")
@@ -111,7 +112,7 @@ def test_bad_row_over_threshold_fails(spark, tmpdir_path):
 
 
 def test_missing_required_column_fails(spark, tmpdir_path):
-    f = _write(os.path.join(tmpdir_path, "a.csv"), "sku,price\nSKU1,5.00\n")
+    f = _write(os.path.join(tmpdir_path, "a.csv"), "sku,price\nBOLT,2.50\n")
     job, _ = _run(spark, tmpdir_path, [_policy_config(max_invalid_rows=1, max_invalid_row_pct=0.5,
                                                       fail_on_missing_required_columns=True)],
                   [("test_tenant", "vendor-a", f)])
@@ -121,7 +122,7 @@ def test_missing_required_column_fails(spark, tmpdir_path):
 
 
 def test_missing_column_lenient_is_an_error_entry(spark, tmpdir_path):
-    f = _write(os.path.join(tmpdir_path, "a.csv"), "sku,price\nSKU1,5.00\n")
+    f = _write(os.path.join(tmpdir_path, "a.csv"), "sku,price\nBOLT,2.50\n")
     job, _ = _run(spark, tmpdir_path, [_policy_config(max_invalid_rows=5, max_invalid_row_pct=1.0,
                                                       fail_on_missing_required_columns=False)],
                   [("test_tenant", "vendor-a", f)])
@@ -201,3 +202,121 @@ def test_invalid_rows_exactly_at_the_limit_pass(spark, tmpdir_path):
     assert (g.status, g.invalid_rows, g.total_rows) == ("SUCCEEDED", 1, 2)
     assert [e.reason for e in job.result.errors.collect()] == [
         "quantity_available: quantity_available must be >= 0"]
+
+
+def _gate(job):
+    g = job.gates[0]
+    return g.status, g.stage, g.error_code
+
+
+FEED = "sku,quantity_available,price,cost\nBOLT,7,2.50,1.00\n"
+
+
+def test_a_second_run_leaves_the_first_untouched(spark, tmpdir_path):
+    fa = _write(os.path.join(tmpdir_path, "a.csv"), FEED)
+    one = dict(_policy_config(), tenant_id="ta")
+    two = dict(_policy_config(), tenant_id="tb")
+    _run(spark, tmpdir_path, [one], [("ta", "vendor-a", fa)])
+    before = _merged_text(os.path.join(tmpdir_path, "out"), "ta")
+    _run(spark, tmpdir_path, [two], [("tb", "vendor-a", fa)], run="run-2")
+    _run(spark, tmpdir_path, [two], [("tb", "vendor-a", fa)], run="run-2")
+    out = os.path.join(tmpdir_path, "out")
+    assert before and _merged_text(out, "ta") == before
+    assert _merged_text(out, "tb", "run-2")
+    assert {r.run_id for r in spark.read.json(os.path.join(out, "reports", "run_summary")).collect()} == {"run-1", "run-2"}
+
+
+def test_empty_feed_lacks_every_required_column(spark, tmpdir_path):
+    f = _write(os.path.join(tmpdir_path, "a.csv"), "")
+    job, _ = _run(spark, tmpdir_path, [_policy_config(fail_on_missing_required_columns=True)],
+                  [("test_tenant", "vendor-a", f)])
+    assert _gate(job) == ("FAILED", "NORMALIZE", "missing_required_columns")
+
+
+def _mapped_config():
+    c = _policy_config(max_invalid_rows=9, max_invalid_row_pct=1.0)
+    c["vendors"][0]["sku_map"] = {"type": "file", "s3_key": "maps/a.csv"}
+    return c
+
+
+def test_absent_sku_map_is_an_error_and_an_empty_one_is_not(spark, tmpdir_path):
+    f = _write(os.path.join(tmpdir_path, "a.csv"), FEED)
+    m = _write(os.path.join(tmpdir_path, "m.csv"), "vendor_sku,sku\n")
+    for maps, reasons in (([], ["missing sku map"]), ([("test_tenant", "vendor-a", m)], [])):
+        job, _ = _run(spark, tmpdir_path, [_mapped_config()], [("test_tenant", "vendor-a", f)], maps)
+        assert [e.reason for e in job.result.errors.collect()] == reasons
+        assert job.gates[0].status == "SUCCEEDED"
+
+
+def test_unsupported_strategy_is_invalid_input_with_a_failure_report(spark, tmpdir_path):
+    f = _write(os.path.join(tmpdir_path, "a.csv"), FEED)
+    c = _policy_config()
+    c["merge"] = dict(c["merge"], strategy="cheapest")
+    job, out = _run(spark, tmpdir_path, [c], [("test_tenant", "vendor-a", f)])
+    assert _gate(job) == ("FAILED", "NORMALIZE", "invalid_input")
+    report = spark.read.json(os.path.join(out, "reports", "errors")).select("error_code", "error_message").collect()
+    assert [tuple(r) for r in report] == [("invalid_input", "Unsupported merge strategy")]
+    assert not glob.glob(os.path.join(out, "normalized", "run_id=*"))
+
+
+def test_absent_vendor_gets_no_normalized_feed(spark, tmpdir_path):
+    f = _write(os.path.join(tmpdir_path, "a.csv"), FEED)
+    c = _policy_config()
+    c["vendors"].append(dict(c["vendors"][0], vendor_id="vendor-z", required=False))
+    job, out = _run(spark, tmpdir_path, [c], [("test_tenant", "vendor-a", f)])
+    assert [os.path.basename(p) for p in glob.glob(os.path.join(out, "normalized", "*", "*", "vendor_id=*"))] == [
+        "vendor_id=vendor-a"]
+
+
+def test_two_configs_of_a_tenant_are_refused(spark, tmpdir_path):
+    import pytest
+    with pytest.raises(ValueError, match="more than one config"):
+        _run(spark, tmpdir_path, [_policy_config(), _policy_config()], [])
+
+
+def test_bad_byte_past_the_header_is_a_decode_error(spark, tmpdir_path):
+    f = _write(os.path.join(tmpdir_path, "a.csv"), b"sku,quantity_available,price\nBOLT,1,1.00" + b"," * 30 + b"\xff\n")
+    job, _ = _run(spark, tmpdir_path, [_policy_config()], [("test_tenant", "vendor-a", f)])
+    assert _gate(job) == ("FAILED", "NORMALIZE", "DECODE_ERROR")
+
+
+def test_a_header_of_5000_columns_is_read_whole(spark, tmpdir_path):
+    head = [f"c{k}" for k in range(4997)] + ["sku", "quantity_available", "price"]
+    line = ["x"] * 4997 + ["BOLT", "4", "1.00"]
+    f = _write(os.path.join(tmpdir_path, "a.csv"), ",".join(head) + "\n" + ",".join(line) + "\n")
+    job, _ = _run(spark, tmpdir_path, [_policy_config()], [("test_tenant", "vendor-a", f)])
+    assert job.gates[0].status == "SUCCEEDED"
+    assert [(r.sku, r.quantity_available) for r in job.result.records.collect()] == [("BOLT", 4)]
+
+
+def test_run_batch_resolves_config_listing_and_writes_reports(spark, tmpdir_path):
+    from feedmerge.plans.job import run_batch
+    from feedmerge.sources.listing import list_files
+    inbound = os.path.join(tmpdir_path, "in")
+    os.makedirs(inbound)
+    _write(os.path.join(inbound, "a-old.csv"), FEED)
+    _write(os.path.join(inbound, "a-new.csv"), FEED.replace("BOLT", "NUT"))
+    os.utime(os.path.join(inbound, "a-old.csv"), (1, 1))
+    old, new = _policy_config(), _policy_config()
+    for c in (old, new):
+        c["vendors"][0]["inbound"]["s3_prefix"] = f"file:{inbound}/a"
+    new["vendors"][0]["vendor_id"] = "vendor-b"
+    versions = spark.createDataFrame([("test_tenant", 1, json.dumps(old), 1), ("test_tenant", 2, json.dumps(new), 2)],
+                                     "tenant_id string, config_version bigint, config string, seq bigint")
+    requests = spark.createDataFrame([("r1", "test_tenant", 1), ("r2", "nobody", 5)],
+                                     "run_id string, tenant_id string, config_version bigint")
+    out = os.path.join(tmpdir_path, "out")
+    job = run_batch(spark, requests, versions, list_files(spark, inbound), out, now="2020-01-01 00:00:00")
+    assert [(g.run_id, g.status, g.config_version) for g in job.gates] == [("r1", "SUCCEEDED", 1)]
+    assert "NUT" in _merged_text(out, "test_tenant", "r1") and "BOLT" not in _merged_text(out, "test_tenant", "r1")
+    manifest = spark.read.json(os.path.join(out, "reports", "input_manifest")).collect()
+    assert [(m.status, m.run_copy_key) for m in manifest] == [
+        ("found", "r1/tenants/test_tenant/inbound/vendor-a/a-new.csv")]
+    summary = spark.read.json(os.path.join(out, "reports", "run_summary")).first()
+    assert summary.vendor_record_counts["vendor-a"] == 1 and summary.config_version == 1
+    assert json.loads(spark.read.json(os.path.join(out, "reports", "config_snapshot")).first().config)["tenant_id"] \
+        == "test_tenant"
+    events = job.events
+    state = {r.run_id: (r.status, r.error_code) for r in events.groupBy("run_id").agg(
+        {"seq": "max"}).join(events, "run_id").where("seq = `max(seq)`").collect()}
+    assert state == {"r1": ("SUCCEEDED", None), "r2": ("FAILED", "missing_tenant_config")}
