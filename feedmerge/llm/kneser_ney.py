@@ -25,6 +25,7 @@ pass through and those named like the added ones are replaced.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -168,6 +169,11 @@ def _classes(count: np.ndarray) -> list[int]:
     return [int((count == k).sum()) for k in (1, 2, 3, 4)]
 
 
+def word_shards(shards: int) -> int:
+    """Word shards: few enough that shards times word shards stay few rows."""
+    return 2 * max(1, math.isqrt(shards))
+
+
 def _merge_shard(folder: str, hot: np.ndarray, shards: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
@@ -199,7 +205,8 @@ def _merge_shard(folder: str, hot: np.ndarray, shards: int):
         w, c = w[order], c[order]
         at = _runs(w)
         word, contexts, times = w[at], np.diff(np.r_[at, len(w)]), np.add.reduceat(c, at)
-        first = np.searchsorted(word_shard(word, shards), np.arange(shards + 1))
+        parts = word_shards(shards)
+        first = np.searchsorted(word_shard(word, parts), np.arange(parts + 1))
         for s in np.flatnonzero(np.diff(first)).tolist():
             a, b = first[s], first[s + 1]
             rows.append(("w", s, pack(word[a:b]), contexts[a:b].astype(np.uint32).tobytes(),
@@ -273,7 +280,7 @@ class Model:
     def score(self, v: np.ndarray, w: np.ndarray, maps: dict) -> tuple[np.ndarray, np.ndarray]:
         """Count of each token and log10 of its probability after its context."""
         word, index = np.unique(w, return_inverse=True)
-        got = self._find("word", word_shard(word, self.shards), word, {"contexts": ("i8", 1), "counts": ("i8", 1)}, maps)
+        got = self._find("word", word_shard(word, word_shards(self.shards)), word, {"contexts": ("i8", 1), "counts": ("i8", 1)}, maps)
         count = got["counts"][index]
         types = got["contexts"]
         low = np.maximum(types - self.single[np.minimum(types, 3)], 0) / max(self.types, 1) + self.uniform
