@@ -185,8 +185,6 @@ def q_format_datetime(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Normalisation (P1-P9, U1, U2) over the raw stand-in feeds.
 # ---------------------------------------------------------------------------
-from functools import reduce  # noqa: E402
-
 from feedmerge.operators import normalize as nz  # noqa: E402
 from feedmerge.operators.quality import vendor_errors  # noqa: E402
 
@@ -262,11 +260,9 @@ def q_split_rejects(spark, sf_dir):
 
 @register("union_feeds")
 def q_union_feeds(spark, sf_dir):
-    """Vendors normalised per header layout, then unioned by name."""
-    feed = dv.raw_feed(spark, sf_dir)
-    parts = [nz.split_valid(_normalized(spark, sf_dir, feed.where(F.col("style") == st)))
-             .select("tenant_id", "vendor_id", *_keys(), "sku") for st in sorted(dv.HEADER_STYLES)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Vendors of every header layout normalised in one pass; the layout is
+    a column, so no part is scanned again for each."""
+    return nz.split_valid(_normalized(spark, sf_dir)).select("tenant_id", "vendor_id", *_keys(), "sku")
 
 
 @register("all_errors")
@@ -322,7 +318,7 @@ from feedmerge.sources import feeds as src  # noqa: E402
 
 
 def _scanned(spark, sf_dir):
-    root = ff.write_feed_files(spark, sf_dir, scratch_path(spark, "feeds"))
+    root = ff.prepared_feed_files(spark, sf_dir)
     files, rows = src.scan_feeds(spark, root)
     return files.select("*", *ff.file_identity()), rows
 
