@@ -5,7 +5,8 @@ spans that the patterns miss: every token with a digit or an ``@`` is a node
 with one label of O, email, ip, card, phone.  A node has a potential from its
 shape, adjacent nodes share a chain potential, and distant nodes with the same
 key (the digits, or the lower-cased letters and digits, of the token) share a
-skip potential.  Nodes inside base spans are observed; loopy sum-product
+skip potential.  Nodes inside base spans are observed, and only nodes that edges
+connect with an observed one are labelled; loopy sum-product
 message passing over chain and skip edges then gives the labels of the others,
 so that an entity keeps one label in the whole document.  Repeats of a key are
 linked in order of occurrence, so edges grow with the tokens.
@@ -104,8 +105,11 @@ def shape_of(token: str) -> int:
 
 
 def key_of(token: str) -> str:
+    """What repeats of an entity have in common; empty for tokens too short to
+    name one (a house number is no phone number)."""
     digits = "".join(c for c in token if "0" <= c <= "9")
-    return digits if len(digits) >= 7 else "".join(c for c in token.lower() if c.isalnum())
+    name = "".join(c for c in token.lower() if c.isalnum())
+    return digits if len(digits) >= 7 else name if len(name) >= 6 else ""
 
 
 class Graph:
@@ -144,6 +148,22 @@ class Graph:
         return out
 
 
+    def near_observed(self) -> np.ndarray:
+        """Nodes that edges connect with a node inside a base span."""
+        part = list(range(len(self.labels)))
+
+        def root(k: int) -> int:
+            while part[k] != k:
+                part[k] = part[part[k]]
+                k = part[k]
+            return k
+
+        for a, b in np.concatenate([self.chain, self.skip]).tolist():
+            part[root(a)] = root(b)
+        roots = np.array([root(k) for k in range(len(part))], np.int64)
+        return np.isin(roots, roots[self.labels > 0])
+
+
 def _nodes(text: str) -> list[tuple[int, int]]:
     """Tokens (runs without white space) that hold a digit or an at sign."""
     return [m.span() for m in _NODE.finditer(text)]
@@ -196,8 +216,8 @@ def _touches(spans: list[tuple[int, int]], starts: np.ndarray, a: int, b: int) -
 
 def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict) -> list[tuple[str, int, int]]:
     """Spans of nodes that message passing labels, outside the base spans."""
-    if not base and "@" not in text and not _DIGIT.search(text):
-        return []
+    if not base:
+        return []  # labels spread from what the patterns are sure of
     graph = Graph(text, base)
     if not len(graph.labels) or (graph.labels > 0).all():
         return []
@@ -206,7 +226,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict) -> l
     reach = _joined(base)
     starts = np.array([a for a, _ in reach], np.int64)
     out: list[tuple[str, int, int]] = []
-    for k in np.flatnonzero((graph.labels == 0) & (best > 0) & (belief.max(axis=1) >= SURE)):
+    sure = (graph.labels == 0) & (best > 0) & (belief.max(axis=1) >= SURE) & graph.near_observed()
+    for k in np.flatnonzero(sure):
         a, b = graph.spans[k]
         token = text[a:b]
         a += len(token) - len(token.lstrip(".,;:!?()[]\"'<>|"))
