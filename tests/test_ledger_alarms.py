@@ -1,6 +1,8 @@
 """Config versions, run-ledger fold, active runs and alarm evaluation."""
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import functions as F
 
 from feedmerge.operators import alarms as al
 from feedmerge.operators import ledger as lg
@@ -73,3 +75,21 @@ def test_heartbeat_gaps(spark):
                                 (2, t0)], "worker_id bigint, ts timestamp")
     got = [(r.worker_id, r.gap_seconds) for r in al.heartbeat_gaps(df, min_gap_seconds=86400).collect()]
     assert got == [(1, (30 * 3600 - 600.0))]
+
+
+def test_heartbeat_gaps_inside_an_hour_and_at_the_end(spark):
+    t0 = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, t0), (1, t0 + timedelta(minutes=49)), (2, t0)], "worker_id bigint, ts timestamp")
+    end = F.lit("2024-01-01 00:52:00")
+    got = sorted((r.worker_id, r.gap_seconds) for r in al.heartbeat_gaps(df, as_of=end).collect())
+    assert got == [(1, 49 * 60.0), (2, 52 * 60.0)]
+
+
+def test_run_of_periods_across_time_slices(spark):
+    """A run that crosses a slice's border fires as any other."""
+    hour = timedelta(hours=1)
+    border = datetime.fromtimestamp(al.RUN_SLICE * 3600 * 400, tz=timezone.utc).replace(tzinfo=None)
+    points = [(border + k * hour, 1.0) for k in range(-3, 3)]
+    df = spark.createDataFrame(points, "ts timestamp, v double")
+    fired = al.evaluate(df, value="v", statistic="Maximum", period_seconds=3600, periods=3, threshold=1)
+    assert sorted(r.window_start for r in fired.collect()) == [border + k * hour for k in range(-1, 3)]

@@ -40,3 +40,35 @@ def test_incremental_ingest_replaces_only_its_slot(spark, tmp_path):
     _feed(root, "a", "f2.csv", [("A9", 9)])
     ingest_stream(spark, root, out, ckpt, _process, ("tenant_id", "vendor_id"))
     assert table() == [("a", "A9", "9"), ("b", "B1", "5")]
+
+
+def test_late_older_file_and_empty_newest_file(spark, tmp_path):
+    root, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+
+    def deliver(name, lines, mtime):
+        _feed(root, "a", name, lines)
+        os.utime(os.path.join(root, "tenant_id=t", "vendor_id=a", name), (mtime, mtime))
+        ingest_stream(spark, root, out, ckpt, _process, ("tenant_id", "vendor_id"))
+        return sorted((r.sku, r.qty) for r in spark.read.schema("sku string, qty string, tenant_id string, "
+                                                                "vendor_id string").parquet(out).collect())
+    assert deliver("new.csv", [("NEW", 1)], 2_000_000_000) == [("NEW", "1")]
+    # it arrives later, but is older (and from 2001: no age limit applies)
+    assert deliver("old.csv", [("OLD", 2)], 1_000_000_000) == [("NEW", "1")]
+    assert deliver("empty.csv", [], 2_000_000_100) == []
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    import pytest
+
+    from feedmerge.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
