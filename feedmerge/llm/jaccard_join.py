@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -354,10 +355,19 @@ def cluster(docs: DataFrame) -> DataFrame:
         "id", "n_shingles", F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def _with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, which names a row by its file and place there: the
+    same in every plan, also after executors are lost."""
+    try:
+        return docs.withColumn("_row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:  # not a table on disk
+        return _with_row_key(materialize(docs, "rows"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one row of each component: the least doc_id
-    (null last), then the first row.  ``docs`` must be a table on disk."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    (null last), of repeated ids any one row."""
+    numbered = _with_row_key(docs)
     parts = cluster(numbered.select(F.col("_row").alias("id"), "text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
     kept = (numbered.select("_row", "doc_id").join(parts.select(F.col("id").alias("_row"), "component_id"), "_row")
