@@ -25,11 +25,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedmerge.llm.pretokens import SPACE, byte_groups, pieces
+from feedmerge.llm.pretokens import SPACE, byte_groups, pieces, shrink
 from feedmerge.llm.textarrays import hash_spans
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES = 800_000
+CACHE_PIECES = 250_000
 
 
 def pretoken_pattern():
@@ -166,9 +166,9 @@ class BytePairCodec:
         out = []
         for first, stop in byte_groups(texts):
             cut = [pieces(t) for t in texts[first:stop]]
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
-            new = list(set().union(*cut).difference(cache))
+            used = set().union(*cut)
+            shrink(cache, CACHE_PIECES, used)
+            new = list(used.difference(cache))
             for i in range(0, len(new), 20_000):
                 self.encode_pieces(new[i:i + 20_000], pattern, cache)
             out += [b"".join(map(cache.__getitem__, c)) for c in cut]

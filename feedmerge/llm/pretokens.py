@@ -25,6 +25,14 @@ def pieces(text: str) -> list[str]:
     return _PIECE.findall(text)
 
 
+def shrink(cache: dict, limit: int, used: set) -> None:
+    """Keep a cache of more than ``limit`` entries to those of ``used``."""
+    if len(cache) > limit:
+        kept = {k: cache[k] for k in used if k in cache}
+        cache.clear()
+        cache.update(kept)
+
+
 def byte_groups(texts: list[str], limit: int = 1 << 20):
     """Consecutive runs of texts of about ``limit`` characters: (first, end)."""
     first, size = 0, 0

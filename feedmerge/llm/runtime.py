@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from feedmerge.session import scratch_path
 
 
+#: Rows of whole texts that go to Python at once (Spark's default of 10,000 may
+#: be a large part of an executor's memory).
+ARROW_ROWS = "1000"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

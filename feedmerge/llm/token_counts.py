@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedmerge.llm.pretokens import byte_groups, pieces
+from feedmerge.llm.pretokens import byte_groups, pieces, shrink
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-CACHE_PIECES = 800_000
+CACHE_PIECES = 400_000
 BATCH_BYTES = 1 << 16
 
 
@@ -68,9 +68,9 @@ def count_texts(tokenizer, texts: list[str], cache: dict[str, int]) -> list[int]
     out = []
     for first, end in byte_groups(texts):
         cut = [pieces(t) for t in texts[first:end]]
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        _count_pieces(tokenizer, sorted(set().union(*cut).difference(cache)), cache)
+        used = set().union(*cut)
+        shrink(cache, CACHE_PIECES, used)
+        _count_pieces(tokenizer, sorted(used.difference(cache)), cache)
         out += [sum(map(cache.__getitem__, c)) for c in cut]
     return out
 

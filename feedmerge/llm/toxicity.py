@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedmerge.llm.pretokens import shrink
 from feedmerge.llm.runtime import fold, materialize
 from feedmerge.llm.textarrays import as_bytes, mix
 
@@ -33,7 +34,7 @@ SLOT_BITS = 20
 LENGTHS = (3, 4, 5, 6)
 MAX_ROWS = 8_000
 N_FEATURES = 5_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,14 +78,14 @@ class ToxicityModel:
             group.append(set(text.lower().split()))
             size += len(text)
             if size >= 1 << 20 or k == len(texts) - 1:
-                self._learn(set().union(*group), cache)
+                used = set().union(*group)
+                shrink(cache, CACHE_WORDS, used)
+                self._learn(used, cache)
                 for i, words in enumerate(group):
                     kept = [f for w in words if (f := cache[w]) is not None]
                     if kept:
                         out[at + i] += self.weights[np.unique(np.concatenate(kept))].sum()
                 at, size, group = k + 1, 0, []
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
         return out
 
     def _learn(self, words: set[bytes], cache: dict) -> None:
