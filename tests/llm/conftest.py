@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from edge import edge_rows, prose
+from llm.edge import edge_rows, prose
 
 
 @pytest.fixture(scope="session")

@@ -8,9 +8,9 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from brute import (KINDS, base_spans, contained, fold, jaccard_components, kneser_ney, remove_windows, sha, span_text,
+from llm.brute import (KINDS, base_spans, contained, fold, jaccard_components, kneser_ney, remove_windows, sha, span_text,
                    vector_links)
-from edge import SMALL, edge_rows
+from llm.edge import SMALL, edge_rows
 from feedmerge.llm import (byte_bpe, decontamination, embedding_dedup, jaccard_join, kneser_ney as lm, pii, quality,
                            substring_dedup, token_counts, toxicity)
 from feedmerge.llm.queries import QUERIES

@@ -5,8 +5,8 @@ import tiktoken
 
 import corpus_pipeline
 import public_tokenizers
-from brute import contained, jaccard_components
-from edge import SMALL
+from llm.brute import contained, jaccard_components
+from llm.edge import SMALL
 from feedmerge.llm import byte_bpe, pii, toxicity
 from feedmerge.llm.runtime import read
 
