@@ -280,9 +280,9 @@ def test_bad_byte_past_the_header_is_a_decode_error(spark, tmpdir_path):
     assert _gate(job) == ("FAILED", "NORMALIZE", "DECODE_ERROR")
 
 
-def test_a_header_of_5000_columns_is_read_whole(spark, tmpdir_path):
-    head = [f"c{k}" for k in range(4997)] + ["sku", "quantity_available", "price"]
-    line = ["x"] * 4997 + ["BOLT", "4", "1.00"]
+def test_a_header_past_the_first_width_is_read_whole(spark, tmpdir_path):
+    head = [f"c{k}" for k in range(297)] + ["sku", "quantity_available", "price"]
+    line = ["x"] * 297 + ["BOLT", "4", "1.00"]
     f = _write(os.path.join(tmpdir_path, "a.csv"), ",".join(head) + "\n" + ",".join(line) + "\n")
     job, _ = _run(spark, tmpdir_path, [_policy_config()], [("test_tenant", "vendor-a", f)])
     assert job.gates[0].status == "SUCCEEDED"
