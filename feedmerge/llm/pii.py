@@ -8,12 +8,14 @@ key (the digits, or the lower-cased letters and digits, of the token) share a
 skip potential.  Nodes inside base spans are observed, and only nodes that edges
 connect with an observed one are labelled; loopy sum-product
 message passing over chain and skip edges then gives the labels of the others,
-so that an entity keeps one label in the whole document.  Repeats of a key are
-linked in order of occurrence, so edges grow with the tokens.
+so that an entity keeps one label in the whole document.  For that every repeat
+of a key is linked with one node (the first observed one, else the first), so
+edges grow with the tokens and distance does not weaken a label.  Messages pass
+until they stop changing, in rounds that grow with the connected part.
 
 Training: pseudo-likelihood with the base spans as labels.  Its sufficient
 statistics are counts of (label, shape, neighbours' labels), all categorical,
-so Spark counts them over all documents and only the bounded table of distinct
+(repeats in order of occurrence), so Spark counts them over all documents and only the bounded table of distinct
 combinations (``MAX_CONFIGS`` by construction) reaches the driver.
 
 Defined cases: null and empty texts have no spans; very long texts are
@@ -38,7 +40,7 @@ LABELS = ("O", *KINDS)
 NONE = len(LABELS)              # no such neighbour
 N_SHAPES = 3 * 8 * 4 * 2 * 2    # see shape_of
 MAX_CONFIGS = len(LABELS) * N_SHAPES * 6**4
-ROUNDS = 8
+SETTLED = 1e-6                  # change of a message below which it has stopped
 SURE = 0.8
 
 # Equal to the base patterns: lookbehinds and possessive repeats only skip
@@ -130,13 +132,19 @@ class Graph:
         near = [k for k in range(n - 1) if not text[nodes[k][1]:nodes[k + 1][0]].strip()]
         self.chain = np.array([(k, k + 1) for k in near], np.int64).reshape(-1, 2)
         seen: dict[str, int] = {}
-        skip, chained = [], set(near)
+        hub: dict[str, int] = {}
+        skip, chained, repeats = [], set(near), []
         for k, t in enumerate(tokens):
             if key := key_of(t):
                 if key in seen and not (seen[key] == k - 1 and k - 1 in chained):
                     skip.append((seen[key], k))
                 seen[key] = k
-        self.skip = np.array(skip, np.int64).reshape(-1, 2)
+                if not self.labels[hub.setdefault(key, k)]:
+                    hub[key] = k if self.labels[k] else hub[key]
+                repeats.append((key, k))
+        self.skip = np.array(skip, np.int64).reshape(-1, 2)    # in order: what training counts
+        self.links = np.array([(hub[key], k) for key, k in repeats if k != hub[key] and not self.labels[k]],
+                              np.int64).reshape(-1, 2)         # to the hub: where messages pass
 
     def around(self) -> np.ndarray:
         """Labels of the left, right, previous and next linked node."""
@@ -148,8 +156,8 @@ class Graph:
         return out
 
 
-    def near_observed(self) -> np.ndarray:
-        """Nodes that edges connect with a node inside a base span."""
+    def parts(self) -> np.ndarray:
+        """For each node one node of its connected part."""
         part = list(range(len(self.labels)))
 
         def root(k: int) -> int:
@@ -158,9 +166,13 @@ class Graph:
                 k = part[k]
             return k
 
-        for a, b in np.concatenate([self.chain, self.skip]).tolist():
+        for a, b in np.concatenate([self.chain, self.links]).tolist():
             part[root(a)] = root(b)
-        roots = np.array([root(k) for k in range(len(part))], np.int64)
+        return np.array([root(k) for k in range(len(part))], np.int64)
+
+    def near_observed(self) -> np.ndarray:
+        """Nodes that edges connect with a node inside a base span."""
+        roots = self.parts()
         return np.isin(roots, roots[self.labels > 0])
 
 
@@ -175,23 +187,31 @@ def _marginals(graph: Graph, weights: dict) -> np.ndarray:
     known = graph.labels > 0
     unary[known] = -30.0
     unary[known, graph.labels[known]] = 30.0
-    edges = np.concatenate([graph.chain, graph.skip])
-    if not len(edges):
-        belief = unary
-    else:
+    edges = np.concatenate([graph.chain, graph.links])
+    belief = unary
+    if len(edges):
         pair = np.concatenate([np.broadcast_to(weights["chain"], (len(graph.chain), k, k)),
-                               np.broadcast_to(weights["skip"], (len(graph.skip), k, k))])
+                               np.broadcast_to(weights["skip"], (len(graph.links), k, k))])
         source = np.concatenate([edges[:, 0], edges[:, 1]])
         target = np.concatenate([edges[:, 1], edges[:, 0]])
         both = np.concatenate([pair, pair.transpose(0, 2, 1)])   # [edge, source label, target label]
         back = np.r_[len(edges):2 * len(edges), 0:len(edges)]
         message = np.zeros((2 * len(edges), k))
-        for _ in range(ROUNDS):
+        roots = graph.parts()
+        part, limit = roots[target], 4 * np.bincount(roots, minlength=n) + 64
+        live = np.flatnonzero(~known[target])   # nothing changes an observed label
+        done = 0
+        while len(live):
             belief = unary.copy()
             np.add.at(belief, target, message)
-            out = belief[source] - message[back]
-            new = np.logaddexp.reduce(out[:, :, None] + both, axis=1)
-            message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+            out = belief[source[live]] - message[back[live]]
+            new = np.logaddexp.reduce(out[:, :, None] + both[live], axis=1)
+            step = 0.5 * (new - new.max(axis=1, keepdims=True) - message[live])
+            message[live] += step
+            done += 1
+            moving = np.zeros(n, bool)
+            moving[part[live][np.abs(step).max(axis=1) > SETTLED]] = True
+            live = live[(moving & (done < limit))[part[live]]]
         belief = unary.copy()
         np.add.at(belief, target, message)
     p = np.exp(belief - belief.max(axis=1, keepdims=True))

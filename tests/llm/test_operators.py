@@ -183,6 +183,39 @@ def test_skip_chain_labels_a_repeat_without_its_pattern():
     assert [k for k, _, _ in pii.find_spans(text, weights)[0]] == ["phone"]
 
 
+def test_every_repeat_of_an_entity_gets_its_label():
+    weights = {"shape": np.zeros((pii.N_SHAPES, 5)), "chain": np.zeros((5, 5)), "skip": np.zeros((5, 5))}
+    weights["shape"][:, 0] = 2.0
+    weights["skip"][range(1, 5), range(1, 5)] = 6.0
+    phone, mail = ("+12125550100", "12125550100", " or "), ("a.smith9@example.com", "a.smith9@example-com", " ")
+    for kind, (known, repeat, between) in (("phone", phone), ("email", mail)):
+        for tokens in ([known, *[repeat] * 59], [*[repeat] * 30, known, *[repeat] * 30]):
+            text = between.join(["ring", *tokens, "now"])
+            base, every = pii.find_spans(text, weights)
+            assert len(base) == 1 and len(every) == len(tokens)
+            assert pii.replace_spans(text, every) == between.join(["ring", *[f"<{kind}>"] * len(tokens), "now"])
+
+
+def test_messages_pass_to_the_end_of_a_long_chain():
+    """On a line the messages give the exact marginals (forwards, then backwards)."""
+    rng = np.random.default_rng(5)
+    weights = {"shape": rng.normal(0, 0.3, (pii.N_SHAPES, 5)), "chain": np.eye(5) * 4.0, "skip": np.zeros((5, 5))}
+    text = "+12125550100 " + " ".join(str(k) for k in range(10, 70))
+    graph = pii.Graph(text, pii.base_spans("+12125550100"))
+    unary = np.exp(weights["shape"][graph.shapes])
+    unary[0] = [0, 0, 0, 0, 1]
+    link, n = np.exp(weights["chain"]), len(unary)
+    ahead, behind = unary.copy(), np.ones_like(unary)
+    for k in range(1, n):
+        ahead[k] *= ahead[k - 1] @ link
+        ahead[k] /= ahead[k].sum()
+    for k in range(n - 2, -1, -1):
+        behind[k] = link @ (unary[k + 1] * behind[k + 1])
+        behind[k] /= behind[k].sum()
+    exact = ahead * behind
+    assert n == 61 and np.allclose(pii._marginals(graph, weights), exact / exact.sum(axis=1, keepdims=True), atol=1e-4)
+
+
 def test_base_patterns_equal_the_plain_ones():
     rng = np.random.default_rng(9)
     alphabet = list("0123456789.+-@ ()abZ%_ 411")
