@@ -4,7 +4,9 @@ Datapoints -> watermark -> tumbling period statistic -> breach filter ->
 sliding window of N periods (step one period) over ``window_time`` ->
 fire when all N periods breached.  Two chained stateful aggregations in
 append mode; a period is emitted once the watermark passes its end, so
-the latest periods (still open) appear in later triggers.
+the latest periods (still open) appear in later triggers.  When a stream
+has ended, ``run_to_end`` closes them with a mark: one row without values
+whose time lies behind that of any datapoint.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 from feedmerge.operators.alarms import COMPARISONS, STATS
 
+END = "9999-01-01 00:00:00"  # the time of the end mark; its own period never closes
+
 
 def alarm_stream(points: DataFrame, *, value: str, statistic: str, period_seconds: int, periods: int,
                  threshold: float, comparison: str = "GreaterThanOrEqualToThreshold",
@@ -37,3 +41,21 @@ def run_to_completion(stream: DataFrame, sink_path: str, checkpoint: str) -> Non
          .option("path", sink_path).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def with_end_mark(points: DataFrame, marks: str) -> DataFrame:
+    """``points`` and the rows that ``run_to_end`` puts into the folder ``marks``."""
+    spark = points.sparkSession
+    spark.createDataFrame([], points.schema).write.mode("overwrite").parquet(marks)
+    return points.unionByName(spark.readStream.schema(points.schema).parquet(marks))
+
+
+def run_to_end(stream: DataFrame, sink_path: str, checkpoint: str, marks: str, *, ts: str = "ts") -> None:
+    """As ``run_to_completion``, for a stream that has ended: when all is
+    processed, the end mark moves the watermark past every open period."""
+    spark = stream.sparkSession
+    run_to_completion(stream, sink_path, checkpoint)
+    schema = spark.read.parquet(marks).schema
+    spark.range(1).select(*[F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in schema]
+                          ).write.mode("append").parquet(marks)
+    run_to_completion(stream, sink_path, checkpoint)

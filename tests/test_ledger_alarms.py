@@ -69,6 +69,29 @@ def test_stream_alarm_equals_batch(spark, tmp_path):
     assert a <= b and len(b - a) <= 1
 
 
+def test_stream_alarm_closes_the_last_periods(spark, tmp_path):
+    """Every hour breaches up to the last row of the stream."""
+    from feedmerge.plans.catalog import REGISTRY
+    start = datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(minutes=20 * k), k % 3, "error", 1.0) for k in range(200)]
+    rows += [(200 + k, start + timedelta(minutes=20 * k), 1, "purchase", 1.0) for k in range(200)]
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{sf}/events")
+    next((tmp_path / "events").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    got = sorted(tuple(r) for r in REGISTRY["alarm_stream"](spark, sf).collect())
+    want = sorted((r.tenant_id, r.window_start, r.window_end) for r in REGISTRY["alarm_consecutive"](spark, sf).collect())
+    assert len(want) > 0 and got == want
+
+
+def test_stream_alarm_equals_batch_exactly(spark):
+    from feedmerge.plans.catalog import REGISTRY
+    sf = "/root/testdata/sf0.001"
+    got = sorted(tuple(r) for r in REGISTRY["alarm_stream"](spark, sf).collect())
+    assert got == sorted((r.tenant_id, r.window_start, r.window_end)
+                         for r in REGISTRY["alarm_consecutive"](spark, sf).collect())
+
+
 def test_heartbeat_gaps(spark):
     t0 = datetime(2024, 1, 1)
     df = spark.createDataFrame([(1, t0), (1, t0 + timedelta(minutes=10)), (1, t0 + timedelta(hours=30)),
