@@ -3,11 +3,11 @@
 Base spans (email, ip, card, phone) come from fixed patterns.  The field adds
 spans that the patterns miss: every token with a digit or an ``@`` is a node
 with one label of O, email, ip, card, phone.  A node has a potential from its
-shape, adjacent nodes share a chain potential, and distant nodes with the same
+shape (with the card check sum), adjacent nodes share a chain potential, and distant nodes with the same
 key (the digits, or the lower-cased letters and digits, of the token) share a
-skip potential.  Nodes inside base spans are observed, and only nodes that edges
-connect with an observed one are labelled; loopy sum-product
-message passing over chain and skip edges then gives the labels of the others,
+skip potential.  Nodes inside base spans are observed; loopy sum-product
+message passing over chain and skip edges then gives the labels of the others, in
+every document, with base spans or without,
 so that an entity keeps one label in the whole document.  For that every repeat
 of a key is linked with one node (the first observed one, else the first), so
 edges grow with the tokens and distance does not weaken a label.  Messages pass
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 NONE = len(LABELS)              # no such neighbour
-N_SHAPES = 3 * 8 * 4 * 2 * 2    # see shape_of
+N_SHAPES = 3 * 8 * 4 * 2 * 2 * 2    # see shape_of
 MAX_CONFIGS = len(LABELS) * N_SHAPES * 6**4
 SETTLED = 1e-6                  # change of a message below which it has stopped
 SURE = 0.8
@@ -50,7 +50,7 @@ _EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NODE = re.compile(r"[^\s0-9@]*+[0-9@]\S*+")
+_NODE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 _DIGIT = re.compile("[0-9]")
 
 
@@ -97,13 +97,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def shape_of(token: str) -> int:
-    """A categorical shape: at sign, digits, dots, leading plus, letters."""
-    digits = sum("0" <= c <= "9" for c in token)
+    """A categorical shape: at sign, digits, dots, leading plus, letters, and
+    whether digits as many as a card's fail its check sum (then it is none)."""
+    found = "".join(_DIGIT.findall(token))
+    digits = len(found)
     at = 0 if "@" not in token else 2 if "." in token.rpartition("@")[2] else 1
     size = (digits > 0) + (digits > 2) + (digits > 4) + (digits > 6) + (digits > 8) + (digits > 12) + (digits > 19)
     dots = min(token.strip(".").count("."), 3)
     letters = any(c.isalpha() for c in token)
-    return (((at * 8 + size) * 4 + dots) * 2 + token.startswith("+")) * 2 + letters
+    no_card = 13 <= digits <= 19 and not luhn(found)
+    return ((((at * 8 + size) * 4 + dots) * 2 + token.startswith("+")) * 2 + letters) * 2 + no_card
 
 
 def key_of(token: str) -> str:
@@ -170,11 +173,6 @@ class Graph:
             part[root(a)] = root(b)
         return np.array([root(k) for k in range(len(part))], np.int64)
 
-    def near_observed(self) -> np.ndarray:
-        """Nodes that edges connect with a node inside a base span."""
-        roots = self.parts()
-        return np.isin(roots, roots[self.labels > 0])
-
 
 def _nodes(text: str) -> list[tuple[int, int]]:
     """Tokens (runs without white space) that hold a digit or an at sign."""
@@ -236,8 +234,8 @@ def _touches(spans: list[tuple[int, int]], starts: np.ndarray, a: int, b: int) -
 
 def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict) -> list[tuple[str, int, int]]:
     """Spans of nodes that message passing labels, outside the base spans."""
-    if not base:
-        return []  # labels spread from what the patterns are sure of
+    if not base and "@" not in text and not _DIGIT.search(text):
+        return []
     graph = Graph(text, base)
     if not len(graph.labels) or (graph.labels > 0).all():
         return []
@@ -246,7 +244,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], weights: dict) -> l
     reach = _joined(base)
     starts = np.array([a for a, _ in reach], np.int64)
     out: list[tuple[str, int, int]] = []
-    sure = (graph.labels == 0) & (best > 0) & (belief.max(axis=1) >= SURE) & graph.near_observed()
+    sure = (graph.labels == 0) & (best > 0) & (belief.max(axis=1) >= SURE)
     for k in np.flatnonzero(sure):
         a, b = graph.spans[k]
         token = text[a:b]
@@ -278,7 +276,7 @@ def _configs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                      + [pa.array([counts[k] for k in keys], pa.int64())], names=[*names, "n"])
 
 
-def train(docs: DataFrame, steps: int = 200) -> dict:
+def train(docs: DataFrame, steps: int = 800) -> dict:
     """Potentials by weighted pseudo-likelihood over all documents.
 
     The prior of chain and skip weights favours agreement (skip more than

@@ -196,6 +196,16 @@ def test_every_repeat_of_an_entity_gets_its_label():
             assert pii.replace_spans(text, every) == between.join(["ring", *[f"<{kind}>"] * len(tokens), "now"])
 
 
+def test_the_field_runs_without_a_base_span():
+    weights = {"shape": np.zeros((pii.N_SHAPES, 5)), "chain": np.zeros((5, 5)), "skip": np.zeros((5, 5))}
+    weights["shape"][:, 0] = 2.0
+    weights["shape"][pii.shape_of("12125550100"), 4] = 6.0
+    base, every = pii.find_spans("x" * 200_000 + " only 12125550100 here", weights)   # no square time either
+    assert base == [] and every == [("phone", 200_006, 200_017)]
+    assert pii.shape_of("4111111111111111") != pii.shape_of("4111111111111112")       # the second is no card
+    assert pii.shape_of("4111111111111112") == pii.shape_of("9870157079875996")
+
+
 def test_messages_pass_to_the_end_of_a_long_chain():
     """On a line the messages give the exact marginals (forwards, then backwards)."""
     rng = np.random.default_rng(5)
