@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmerge.llm import byte_bpe, decontamination, embedding_dedup, jaccard_join, kneser_ney, pii, quality, substring_dedup, token_counts, toxicity
+from feedmerge.llm import (byte_bpe, decontamination, embedding_dedup, importance, jaccard_join, kneser_ney, pii, quality,
+                           substring_dedup, token_counts, toxicity)
 from feedmerge.llm.runtime import fold, held_out, read
 
 
@@ -70,6 +71,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_kneser_ney": op2_kneser_ney,
@@ -81,8 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "op11_importance": op11_importance,
 }
 
 ORACLES: dict[str, str] = {
     "op10_decontamination": decontamination.ORACLE,
+    "op11_importance": importance.ORACLE,
 }
