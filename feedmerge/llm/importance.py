@@ -17,8 +17,8 @@
    ``SEGMENT_ROWS`` is cut again with a finer sample of its own, so no task holds
    more, whatever the order of the scores is.
 
-The driver holds one gain a bucket, at most ``SAMPLE_ROWS`` sample rows (and one
-a run) at a time, and one splitter a segment.  Runs are written below
+The driver holds one gain a bucket, ``SAMPLES`` sample rows a segment, at most
+``SAMPLE_ROWS`` (and one a run) at a time, and one splitter a segment.  Runs are written below
 spark.checkpoint.dir; places in them break the last ties, so ranks do not change
 when executors are lost.
 
@@ -51,7 +51,8 @@ CHUNK = 1 << 20
 LONG_WORD = 48          # longer words are hashed one by one
 RUN_ROWS = 500_000
 SEGMENT_ROWS = 500_000
-SAMPLE_ROWS = 500_000
+SAMPLES = 64            # sample rows a segment
+SAMPLE_ROWS = 500_000   # at most
 MAX_SEGMENTS = 8_192
 
 _WORD = np.zeros(256, bool)
@@ -300,8 +301,8 @@ def _cut(runs: DataFrame, total: int, take: int, segment_rows: int) -> tuple[Dat
     """Rows of the runs with their segment, and for each segment the number of
     rows before it; segments within the draw are of a bounded size."""
     spark = runs.sparkSession
-    step = max(1, -(-total // SAMPLE_ROWS))
     parts = min(MAX_SEGMENTS, max(-(-total // segment_rows), shuffle_partitions(spark)))
+    step = max(1, -(-total // min(SAMPLE_ROWS, SAMPLES * parts)))
     keys = _sample(runs, step)
     splitters = _evenly(keys, parts)
     while True:
