@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedmerge.llm import (byte_bpe, decontamination, embedding_dedup, importance, jaccard_join, kneser_ney, pii, quality,
-                           substring_dedup, token_counts, toxicity)
+                           substring_dedup, token_counts, toxicity, wavelet)
 from feedmerge.llm.runtime import fold, held_out, read
 
 
@@ -75,6 +75,13 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = wavelet.read_documents(wavelet.write_shards(docs))
+    return stored.select("doc_id", "start", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+                         F.crc32("token_ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_kneser_ney": op2_kneser_ney,
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
     "op11_importance": op11_importance,
+    "op12_wavelet": op12_wavelet,
 }
 
 ORACLES: dict[str, str] = {
