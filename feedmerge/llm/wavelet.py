@@ -31,6 +31,7 @@ documents there are no files; extra columns are not stored.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -55,41 +56,75 @@ CACHE_WORDS = 400_000
 GROUP_BYTES = 1 << 20
 READ_TOKENS = 1 << 20
 MAGIC = b"WVLTMTX1"
+#: white space that is not one of the ASCII characters texts are cut at
+_ODD_SPACE = (rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f"
+              rb"|\xe3\x80\x80")
 
 
 # ---- encoding --------------------------------------------------------------
 
 class WordCache:
-    """Ids (bytes) of words in two generations: when the young one is full it
-    becomes the old one, and words that are met again move back."""
+    """Ids (bytes) of words and of their pre-tokens, each in two generations:
+    when the young one is full it becomes the old one, and entries that are met
+    again move back.  Many words (with a comma, in capitals) share pre-tokens, so
+    the merges run once for a pre-token."""
 
     def __init__(self, vocabulary: str):
         self.tokenizer = load_tokenizer(vocabulary)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.alone = re.compile(b"|".join([_ODD_SPACE, *special]))
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.young_parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a pre-token."""
+        ids = self.old_parts.get(part)
+        if ids is None:
+            ids = self._bytes([t.id for t in self.tokenizer.model.tokenize(part)])
+        self.young_parts[part] = ids
+        return ids
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Normalise and split many words at once; none holds a special token or
+        a space of any kind."""
+        text = self.tokenizer.normalizer.normalize_str(" ".join(w.decode() for w in words))
+        size = np.fromiter(map(len, text.split(" ")), np.int64)
+        if len(size) != len(words):
+            raise ValueError("the vocabulary's normaliser adds or drops spaces")
+        parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        start = np.fromiter((at for _, (at, _) in parts), np.int64, len(parts))
+        first = np.searchsorted(start, np.r_[0, np.cumsum(size + 1)])
+        get = self.young_parts.get
+        ids = [get(part) or self._part(part) for part, _ in parts]
+        for word, a, b in zip(words, first[:-1].tolist(), first[1:].tolist()):
+            self.young[word] = ids[a] if b == a + 1 else b"".join(ids[a:b])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as bytes of ``kind``."""
         cut = [t.split() for t in texts]
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
+        if len(self.young_parts) > CACHE_WORDS:
+            self.young_parts, self.old_parts = {}, self.young_parts
         new = []
         for word in set().union(*cut).difference(self.young):
             ids = self.old.get(word)
-            if ids is None:
-                new.append(word)
-            else:
+            if ids is not None:
                 self.young[word] = ids
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            sizes = [len(e) for e in encoded]
-            flat = np.array([i for e in encoded for i in e.ids], self.kind).tobytes()
-            width, place = np.dtype(self.kind).itemsize, 0
-            for word, size in zip(part, sizes):
-                self.young[word] = flat[place:place + size * width]
-                place += size * width
+            else:
+                new.append(word)
+        if self.alone.search(b" ".join(new)):
+            for word in filter(self.alone.search, new):
+                self.young[word] = self._bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+            new = [w for w in new if not self.alone.search(w)]
+        for at in range(0, len(new), 1000):
+            self._encode_words(new[at:at + 1000])
         return [b"".join(map(self.young.__getitem__, c)) for c in cut]
 
 
