@@ -52,7 +52,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 23
 BLOCK_BITS = 1 << 15
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000  # about 150 MB a generation
 GROUP_BYTES = 1 << 20
 READ_TOKENS = 1 << 20
 MAGIC = b"WVLTMTX1"
@@ -90,7 +90,7 @@ class WordCache:
         self.young_parts[part] = ids
         return ids
 
-    def _encode_words(self, words: list[bytes]) -> None:
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Normalise and split many words at once; none holds a special token or
         a space of any kind."""
         text = self.tokenizer.normalizer.normalize_str(" ".join(w.decode() for w in words))
@@ -102,8 +102,8 @@ class WordCache:
         first = np.searchsorted(start, np.r_[0, np.cumsum(size + 1)])
         get = self.young_parts.get
         ids = [get(part) or self._part(part) for part, _ in parts]
-        for word, a, b in zip(words, first[:-1].tolist(), first[1:].tolist()):
-            self.young[word] = ids[a] if b == a + 1 else b"".join(ids[a:b])
+        return {word: ids[a] if b == a + 1 else b"".join(ids[a:b])
+                for word, a, b in zip(words, first[:-1].tolist(), first[1:].tolist())}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, as bytes of ``kind``."""
@@ -112,20 +112,31 @@ class WordCache:
             self.young, self.old = {}, self.young
         if len(self.young_parts) > CACHE_WORDS:
             self.young_parts, self.old_parts = {}, self.young_parts
+        own: dict[bytes, bytes] = {}  # of this group: small enough to stay in the processor's cache
         new = []
-        for word in set().union(*cut).difference(self.young):
-            ids = self.old.get(word)
-            if ids is not None:
+        young, old = self.young.get, self.old.get
+        for word in set().union(*cut):
+            ids = young(word)
+            if ids is None:
+                ids = old(word)
+                if ids is None:
+                    new.append(word)
+                    continue
                 self.young[word] = ids
-            else:
-                new.append(word)
+            own[word] = ids
+        own.update(self._encode_new(new))
+        return [b"".join(map(own.__getitem__, c)) for c in cut]
+
+    def _encode_new(self, new: list[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
         if self.alone.search(b" ".join(new)):
             for word in filter(self.alone.search, new):
-                self.young[word] = self._bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+                found[word] = self._bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
             new = [w for w in new if not self.alone.search(w)]
         for at in range(0, len(new), 1000):
-            self._encode_words(new[at:at + 1000])
-        return [b"".join(map(self.young.__getitem__, c)) for c in cut]
+            found.update(self._encode_words(new[at:at + 1000]))
+        self.young.update(found)
+        return found
 
 
 _caches: dict[str, WordCache] = {}
