@@ -2,7 +2,7 @@
 
 1. ``encode_documents``: ids of each text by a public word-level BPE.  Texts are
    cut at ASCII white space, which no token of that vocabulary spans; a worker
-   keeps the ids of the words it met in a cache of two bounded generations.
+   keeps the ids of the words it met in a bounded cache (by 64-bit hash).
 2. ``write_shards``: documents are range-partitioned and sorted by id; each task
    appends the end id to every document and closes a shard after
    ``SHARD_TOKENS`` ids (a document is never split, so a longer one makes a
@@ -44,16 +44,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedmerge.llm.ragged import RaggedCache
 from feedmerge.llm.runtime import materialize, scratch_path, shuffle_partitions
-from feedmerge.llm.textarrays import as_bytes
+from feedmerge.llm.textarrays import as_bytes, hashed_spans
 from feedmerge.llm.token_counts import load_tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 23
 BLOCK_BITS = 1 << 15
-CACHE_WORDS = 1_000_000  # about 150 MB a generation
-GROUP_BYTES = 1 << 20
+CACHE_WORDS = 3_000_000
+CACHE_PARTS = 200_000
 READ_TOKENS = 1 << 20
 MAGIC = b"WVLTMTX1"
 #: white space that is not one of the ASCII characters texts are cut at
@@ -64,33 +65,31 @@ _ODD_SPACE = (rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\
 # ---- encoding --------------------------------------------------------------
 
 class WordCache:
-    """Ids (bytes) of words and of their pre-tokens, each in two generations:
-    when the young one is full it becomes the old one, and entries that are met
-    again move back.  Many words (with a comma, in capitals) share pre-tokens, so
-    the merges run once for a pre-token."""
+    """Ids of words, in bulk by hash; and of their pre-tokens, in two generations
+    (when the young one is full it becomes the old one).  Many words (with a
+    comma, in capitals) share pre-tokens, so the merges run once for a pre-token."""
 
     def __init__(self, vocabulary: str):
         self.tokenizer = load_tokenizer(vocabulary)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alone = re.compile(b"|".join([_ODD_SPACE, *special]))
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.young_parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
+        self.words = RaggedCache(CACHE_WORDS, self.kind)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
     def _part(self, part: str) -> bytes:
         """Ids of a pre-token."""
-        ids = self.old_parts.get(part)
+        ids = self.old.get(part)
         if ids is None:
             ids = self._bytes([t.id for t in self.tokenizer.model.tokenize(part)])
-        self.young_parts[part] = ids
+        self.young[part] = ids
         return ids
 
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """Normalise and split many words at once; none holds a special token or
         a space of any kind."""
         text = self.tokenizer.normalizer.normalize_str(" ".join(w.decode() for w in words))
@@ -100,43 +99,48 @@ class WordCache:
         parts = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
         start = np.fromiter((at for _, (at, _) in parts), np.int64, len(parts))
         first = np.searchsorted(start, np.r_[0, np.cumsum(size + 1)])
-        get = self.young_parts.get
+        get = self.young.get
         ids = [get(part) or self._part(part) for part, _ in parts]
-        return {word: ids[a] if b == a + 1 else b"".join(ids[a:b])
-                for word, a, b in zip(words, first[:-1].tolist(), first[1:].tolist())}
+        return [ids[a] if b == a + 1 else b"".join(ids[a:b])
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, as bytes of ``kind``."""
-        cut = [t.split() for t in texts]
-        if len(self.young) > CACHE_WORDS:
+    def _encode_new(self, new: list[bytes]) -> list[bytes]:
+        if len(self.young) > CACHE_PARTS:
             self.young, self.old = {}, self.young
-        if len(self.young_parts) > CACHE_WORDS:
-            self.young_parts, self.old_parts = {}, self.young_parts
-        own: dict[bytes, bytes] = {}  # of this group: small enough to stay in the processor's cache
-        new = []
-        young, old = self.young.get, self.old.get
-        for word in set().union(*cut):
-            ids = young(word)
-            if ids is None:
-                ids = old(word)
-                if ids is None:
-                    new.append(word)
-                    continue
-                self.young[word] = ids
-            own[word] = ids
-        own.update(self._encode_new(new))
-        return [b"".join(map(own.__getitem__, c)) for c in cut]
-
-    def _encode_new(self, new: list[bytes]) -> dict[bytes, bytes]:
-        found: dict[bytes, bytes] = {}
+        out = [b""] * len(new)
+        plain = range(len(new))
         if self.alone.search(b" ".join(new)):
-            for word in filter(self.alone.search, new):
-                found[word] = self._bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
-            new = [w for w in new if not self.alone.search(w)]
-        for at in range(0, len(new), 1000):
-            found.update(self._encode_words(new[at:at + 1000]))
-        self.young.update(found)
-        return found
+            plain = []
+            for k, word in enumerate(new):
+                if self.alone.search(word):
+                    out[k] = self._bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+                else:
+                    plain.append(k)
+        for at in range(0, len(plain), 1000):
+            part = plain[at:at + 1000]
+            for k, ids in zip(part, self._encode_words([new[k] for k in part])):
+                out[k] = ids
+        return out
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, as bytes of ``kind``."""
+        out = [b""] * len(texts)
+        width = np.dtype(self.kind).itemsize
+        for first, data, start, end, h, bounds in hashed_spans(texts):
+            self.words.shrink()
+            keys, at, own = np.unique(h, return_index=True, return_inverse=True)
+            slots = self.words.find(keys)
+            unknown = np.flatnonzero(slots < 0)
+            if len(unknown):
+                new = self._encode_new([data[a:b] for a, b in zip(start[at[unknown]].tolist(), end[at[unknown]].tolist())])
+                sizes = np.fromiter(map(len, new), np.int64, len(new)) // width
+                slots[unknown] = self.words.add(keys[unknown], (np.frombuffer(b"".join(new), self.kind), sizes))
+            ids, sizes = self.words.rows(0, slots[own])
+            places = np.r_[0, np.cumsum(sizes)][bounds] * width
+            flat = ids.tobytes()
+            for k in range(len(bounds) - 1):
+                out[first + k] = flat[places[k]:places[k + 1]]
+        return out
 
 
 _caches: dict[str, WordCache] = {}
@@ -149,19 +153,6 @@ def _cache(vocabulary: str) -> WordCache:
     return _caches[vocabulary]
 
 
-def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Consecutive texts of about GROUP_BYTES."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= GROUP_BYTES:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def encode_column(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """Ids of a text without special tokens added: binary, little-endian, two
     bytes each (four for a vocabulary over 65,536 ids)."""
@@ -169,7 +160,7 @@ def encode_column(text: Column, vocabulary: str = VOCABULARY) -> Column:
     def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = _cache(vocabulary)
         for part in parts:
-            yield pa.array([ids for g in _groups(as_bytes(part)) for ids in cache.encode(g)], pa.binary())
+            yield pa.array(cache.encode(as_bytes(part)), pa.binary())
     return encode(text)
 
 

@@ -89,21 +89,22 @@ def test_matrix(tmp_path_factory, ids, token, block):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("aB ΣςéÉ́ͅ  ‍'’.,1²\t\n\r\x0b\x1c\x85İ<|endoftext>sSẞ")))
 def test_texts_cut_at_white_space(text):
-    CACHE.young.clear()
-    CACHE.young_parts.clear()
     cache = CACHE
+    cache.words._reset()
+    cache.young.clear()
     for t in (text, f"a <|endoftext|>{text}", text):
         assert np.frombuffer(cache.encode([t.encode()])[0], "<u2").tolist() == ids_of(t)
 
 
-def test_cache_generations(monkeypatch):
-    monkeypatch.setattr(wavelet, "CACHE_WORDS", 3)
+def test_small_caches(monkeypatch):
+    monkeypatch.setattr(wavelet, "CACHE_WORDS", 6)
+    monkeypatch.setattr(wavelet, "CACHE_PARTS", 3)
     cache = wavelet.WordCache(wavelet.VOCABULARY)
     for k in range(20):
-        texts = [f"word{k} word{k % 3} shared", "and more words here"]
+        texts = [f"word{k} word{k % 3} shared", "", "and more words here"]
         got = [np.frombuffer(x, cache.kind).tolist() for x in cache.encode([t.encode() for t in texts])]
         assert got == [ids_of(t) for t in texts]
-        assert len(cache.young) <= 3 + 7 and len(cache.old) <= 3 + 7
+        assert len(cache.words) <= 6 + 7 and len(cache.young) <= 3 + 9
 
 
 def test_empty_table(spark, no_docs):
