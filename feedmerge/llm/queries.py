@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmerge.llm import (byte_bpe, decontamination, embedding_dedup, importance, jaccard_join, kneser_ney, pii, quality,
+from feedmerge.llm import (alignment, byte_bpe, decontamination, embedding_dedup, importance, jaccard_join, kneser_ney, pii, quality,
                            substring_dedup, token_counts, toxicity, wavelet)
 from feedmerge.llm.runtime import fold, held_out, read
 
@@ -82,6 +82,10 @@ def op12_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.crc32("token_ids").alias("ids_crc32"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_kneser_ney": op2_kneser_ney,
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_importance": op11_importance,
     "op12_wavelet": op12_wavelet,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
