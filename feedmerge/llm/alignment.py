@@ -48,9 +48,9 @@ from feedmerge.llm.token_counts import load_tokenizer
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 GROUP_BYTES = 1 << 20
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 NEW_PIECES = 2_000
 SPACE = "▁"  # how B's pieces write a space
 
