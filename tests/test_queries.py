@@ -4,6 +4,7 @@ driver's correctness gate, at the smallest scale)."""
 import pytest
 
 import __spark_entry__ as E
+from feedmerge.plans.catalog import REGISTRY
 from conftest import SF_SMALL
 from oracle_check import compare, duck
 
@@ -17,10 +18,12 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    """All but the corpus queries that SQL cannot express (tests/llm has those)."""
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(REGISTRY) <= set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
     assert compare(spark, name, QUERIES[name], ORACLES[name], SF_SMALL, con, verbose=True)
 
