@@ -350,14 +350,18 @@ def q_bronze_copy(spark, sf_dir):
             .groupBy("tenant_id", "vendor_id", "bucket").agg(F.count(F.lit(1)).alias("n_lines")))
 
 
-def _valid_from_files(spark, sf_dir, files, rows):
+def _valid_records(spark, sf_dir, files, rows):
     vendors = dv.vendor_feeds(spark, sf_dir).select(
         "tenant_id", "vendor_id", "vendor_ordinal", "column_map", "default_condition")
     layout = nz.resolve_positions(files.join(vendors, ["tenant_id", "vendor_id"]))
     feed = rows.join(layout.where(F.col("missing_columns").isNull()), "source_file")
     feed = feed.select("*", *_key_values(feed))
     valid = nz.split_valid(materialize(nz.normalize(feed, _now()), "normalized"))
-    return _canonical_view(valid.withColumn("l_suppkey", F.expr("cast(substring(vendor_id, 2) as bigint)")))
+    return valid.withColumn("l_suppkey", F.expr("cast(substring(vendor_id, 2) as bigint)"))
+
+
+def _valid_from_files(spark, sf_dir, files, rows):
+    return _canonical_view(_valid_records(spark, sf_dir, files, rows))
 
 
 @register("scan_feed")
@@ -645,6 +649,7 @@ def q_heartbeat_gap(spark, sf_dir):
 # ---------------------------------------------------------------------------
 from feedmerge.streaming import alarms as sa  # noqa: E402
 from feedmerge.streaming.ingest import ingest_stream  # noqa: E402
+from feedmerge.streaming.merge import MergedFeed  # noqa: E402
 
 
 @register("stream_ingest")
@@ -668,6 +673,29 @@ def q_stream_ingest(spark, sf_dir):
         "quantity_available", "lead_time_days", "cost", "map_price", "price", "condition", "updated_at")
 
 
+@register("merged_stream")
+def q_merged_stream(spark, sf_dir):
+    """R7 with M1 and F8: every slot is delivered twice, with other SKUs and
+    amounts at first; the merged, priced feed is kept up to date per
+    micro-batch and must end as the feeds' last state gives it."""
+    root, out = scratch_path(spark, "inbound"), scratch_path(spark, "normalized-table")
+    slot_cols = ("tenant_id", "vendor_id", "bucket")
+    merged = MergedFeed(spark, scratch_path(spark, "merged-feed"), dv.tenant_rules(spark, sf_dir), slot_cols,
+                        ("l_suppkey", *LINE_KEYS[:3]))
+
+    def process(spark_, paths):
+        files, rows = src.scan_feeds(spark_, paths)
+        valid = _valid_records(spark_, sf_dir, files.select("*", *ff.file_identity()), rows)
+        return valid.select("tenant_id", "vendor_id", F.expr(f"l_orderkey div {ff.BUCKET_ORDERS}").alias("bucket"),
+                            *LINE_KEYS, "sku", "quantity_available", "lead_time_days", "cost", "map_price", "price",
+                            "condition", "updated_at")
+
+    for change in (ff.first_delivery, None):
+        ff.write_feed_files(spark, sf_dir, root, change, "append")
+        ingest_stream(spark, root, out, f"{out}-ckpt", process, slot_cols, merged=merged)
+    return _record_view(merged.read())
+
+
 @register("alarm_stream")
 def q_alarm_stream(spark, sf_dir):
     """R6 streaming: consecutive-failure alarm evaluated by a streaming

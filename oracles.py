@@ -748,6 +748,15 @@ WHERE epoch_us("until") - epoch_us(last) >= CAST(3 * 24 * 3600 AS BIGINT) * 1000
 
 ORACLES["stream_ingest"] = ORACLES["split_valid"]
 
+_FEED_OFFERS_CTE = """
+offers AS (
+  SELECT tenant_id, sku, vendor_id, quantity_available, lead_time_days, cost_c, map_c, price_c, condition, updated_at,
+         l_orderkey, l_linenumber, l_partkey, l_suppkey
+  FROM nz WHERE reason IS NULL)"""
+
+ORACLES["merged_stream"] = (_NWITH + "," + ",".join([_FEED_OFFERS_CTE, PRICED_CTE, BEST_CTE])
+                            + _record_select("best", cents_str(units4_to_cents("sell_u"))))
+
 ORACLES["alarm_stream"] = (
     "SELECT tenant_id, window_start, window_end FROM (" + ORACLES["alarm_consecutive"] + ")")
 
