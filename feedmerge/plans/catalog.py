@@ -537,15 +537,19 @@ from feedmerge.operators import ledger as lg  # noqa: E402
 
 def _ledger(spark, sf_dir):
     req = dv.run_requests(spark, sf_dir)
-    created = req.select(
+    events = _created(req).unionByName(dv.status_events(spark, sf_dir))
+    return req.select("run_id", "tenant_id").join(lg.fold_runs(events), "run_id")
+
+
+def _created(req):
+    """The first event of each run: queued."""
+    return req.select(
         "run_id", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("p"),
                            F.lit(0).cast("bigint").alias("s")).alias("seq"),
         F.lit("QUEUED").alias("status"), F.lit("QUEUE").alias("stage"),
         *[F.lit(None).cast("timestamp").alias(c) for c in ("started_at", "finished_at", "completed_at")],
         *[F.lit(None).cast("string").alias(c) for c in lg.ERROR_FIELDS],
         F.lit(None).cast("map<string,string>").alias("artifacts"))
-    events = created.unionByName(dv.status_events(spark, sf_dir))
-    return req.select("run_id", "tenant_id").join(lg.fold_runs(events), "run_id")
 
 
 @register("latest_config")
@@ -566,8 +570,11 @@ def q_pinned_config(spark, sf_dir):
 @register("run_ledger")
 def q_run_ledger(spark, sf_dir):
     """Status events folded into one ledger record per run."""
-    v = lg.run_view(_ledger(spark, sf_dir))
-    return v.select("run_id", "tenant_id", "status", "stage",
+    return _ledger_rows(_ledger(spark, sf_dir))
+
+
+def _ledger_rows(ledger):
+    return lg.run_view(ledger).select("run_id", "tenant_id", "status", "stage",
                     format_datetime(F.col("started_at")).alias("started_at"),
                     format_datetime(F.col("finished_at")).alias("finished_at"),
                     *lg.ERROR_FIELDS)
@@ -595,6 +602,7 @@ def q_run_metrics(spark, sf_dir):
 from feedmerge.operators import alarms as al  # noqa: E402
 
 HOUR = 3600
+RUN_START = "2020-01-01 00:00:00"
 
 
 def _alarm_rows(df, dims=()):
@@ -636,9 +644,12 @@ def q_heartbeat_gap(spark, sf_dir):
     """Missing heartbeat: a worker (user) silent for 3 days or more between
     clicks, or from the last click to the end of the stream."""
     points = dv.metric_points(spark, sf_dir)
-    end = points.agg(F.max(F.col("ts").cast("timestamp")).cast("string")).first()[0]
     beats = points.where(F.col("event_type") == "click")
-    gaps = al.heartbeat_gaps(beats, min_gap_seconds=3 * 24 * HOUR, as_of=F.lit(end))
+    return _gap_rows(al.heartbeat_gaps(beats, min_gap_seconds=3 * 24 * HOUR,
+                                       as_of=points.agg(F.max("ts")).scalar()))
+
+
+def _gap_rows(gaps):
     return gaps.select("worker_id", format_datetime(F.col("gap_start")).alias("gap_start"),
                        format_datetime(F.col("gap_end")).alias("gap_end"),
                        F.round("gap_seconds", 3).alias("gap_seconds"))
@@ -757,3 +768,43 @@ def q_project_output(spark, sf_dir):
                                                     F.coalesce(vals[c], F.lit("")).alias("value")))
     return j.select("tenant_id", "sku", F.explode(cells).alias("c")).select(
         "tenant_id", "sku", F.col("c.position").cast("bigint").alias("position"), "c.column", "c.value")
+
+
+# ---------------------------------------------------------------------------
+# Heartbeats and the run ledger as streams.
+# ---------------------------------------------------------------------------
+from feedmerge.streaming import ledger as sl  # noqa: E402
+
+
+def _stream(spark, sf_dir, name):
+    """A table's file as a stream."""
+    return (spark.readStream.schema(dv.table(spark, sf_dir, name).schema)
+            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+
+
+@register("heartbeat_stream")
+def q_heartbeat_stream(spark, sf_dir):
+    """R6 streaming: sessions of a worker's clicks close after 3 silent days;
+    the silences between and after them are those of ``heartbeat_gap``."""
+    beats = (_stream(spark, sf_dir, "events").where(F.col("event_type") == "click")
+             .select(F.col("user_id").cast("bigint").alias("worker_id"), F.col("ts").cast("timestamp").alias("ts")))
+    marks, sink = scratch_path(spark, "beat-end"), scratch_path(spark, "beat-sessions")
+    sessions = sa.heartbeat_sessions(sa.with_end_mark(beats, marks), min_gap_seconds=3 * 24 * HOUR)
+    sa.run_to_end(sessions, sink, scratch_path(spark, "beat-ckpt"), marks)
+    closed = spark.read.schema("worker_id bigint, first_beat timestamp, last_beat timestamp, beats bigint").parquet(sink)
+    until = dv.metric_points(spark, sf_dir).agg(F.max("ts")).scalar()
+    return _gap_rows(sa.silences(closed, min_gap_seconds=3 * 24 * HOUR, as_of=until))
+
+
+@register("ledger_stream")
+def q_ledger_stream(spark, sf_dir):
+    """R3/K12 streaming: status events, each delivered twice, folded by an
+    update-mode aggregate into the ledger table; equals ``run_ledger``."""
+    requests = dv.run_requests(spark, sf_dir).select("run_id", "tenant_id")
+    created = _created(_stream(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("run_id")))
+    events = created.unionByName(dv.status_events_of(_stream(spark, sf_dir, "lineitem")))
+    # all events of the files are sent at one time
+    events = events.withColumn("delivered_at", F.lit(RUN_START).cast("timestamp"))
+    path = scratch_path(spark, "ledger")
+    sl.run_ledger_stream(sl.ledger_stream(events.unionByName(events)), path, f"{path}-ckpt")
+    return _ledger_rows(requests.join(spark.read.parquet(path), "run_id"))

@@ -391,7 +391,11 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status updates, one per line item of the run's order, in line order:
     A -> RUNNING, R -> FAILED, N -> SUCCEEDED (shipped) / RUNNING; the line
     number names the stage (7 sets none)."""
-    li = table(spark, sf_dir, "lineitem")
+    return status_events_of(table(spark, sf_dir, "lineitem"))
+
+
+def status_events_of(li: DataFrame) -> DataFrame:
+    """``status_events`` of line items (a table or a stream)."""
     flag, n = F.col("l_returnflag"), F.col("l_linenumber")
     status = (F.when(flag == "R", F.lit("FAILED"))
               .when((flag == "N") & (F.col("l_linestatus") == "F"), F.lit("SUCCEEDED"))

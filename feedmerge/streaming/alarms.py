@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedmerge.operators.alarms import COMPARISONS, STATS
@@ -35,6 +35,33 @@ def alarm_stream(points: DataFrame, *, value: str, statistic: str, period_second
     return run.where(F.col("n") == periods).select(*dims, "window_start", "window_end")
 
 
+def heartbeat_sessions(beats: DataFrame, *, min_gap_seconds: int = 300, key: str = "worker_id", ts: str = "ts",
+                       delay: str = "1 hour") -> DataFrame:
+    """Stretches of heartbeats of a worker without a silence of
+    ``min_gap_seconds`` or more: first_beat, last_beat, beats.
+
+    A native session window per worker; it closes, and its row appears, when the
+    watermark passes the last beat by the gap: that is the alarm "silent since
+    last_beat".  State: the open session of each worker."""
+    # beats exactly the gap apart are in two sessions
+    gap = F.make_dt_interval(secs=F.lit(min_gap_seconds).cast("decimal(18,6)") - F.lit("0.000001").cast("decimal(18,6)"))
+    timed = beats.select(key, F.col(ts).cast("timestamp").alias(ts)).where(F.col(ts).isNotNull())
+    session = F.session_window(ts, f"{min_gap_seconds * 1_000_000 - 1} microseconds").alias("w")
+    return (timed.withWatermark(ts, delay).groupBy(key, session).agg(F.count(F.lit(1)).alias("beats"))
+            .select(key, F.col("w.start").alias("first_beat"), (F.col("w.end") - gap).alias("last_beat"), "beats"))
+
+
+def silences(sessions: DataFrame, *, min_gap_seconds: int = 300, key: str = "worker_id",
+             as_of: Column | None = None) -> DataFrame:
+    """Gaps between the closed sessions of a worker and, with ``as_of``, after
+    its last one.  The ordered window holds at most one row per gap of a worker."""
+    following = F.lead("first_beat").over(Window.partitionBy(key).orderBy("first_beat"))
+    end = following if as_of is None else F.coalesce(following, as_of.cast("timestamp"))
+    gaps = sessions.select(key, F.col("last_beat").alias("gap_start"), end.alias("gap_end"))
+    seconds = (F.unix_micros("gap_end") - F.unix_micros("gap_start")) / 1e6
+    return gaps.withColumn("gap_seconds", seconds).where(F.col("gap_seconds") >= min_gap_seconds)
+
+
 def run_to_completion(stream: DataFrame, sink_path: str, checkpoint: str) -> None:
     """Process everything available now (then stop) into a parquet sink."""
     q = (stream.writeStream.format("parquet").outputMode("append")

@@ -748,6 +748,10 @@ WHERE epoch_us("until") - epoch_us(last) >= CAST(3 * 24 * 3600 AS BIGINT) * 1000
 
 ORACLES["stream_ingest"] = ORACLES["split_valid"]
 
+ORACLES["heartbeat_stream"] = ORACLES["heartbeat_gap"]
+
+ORACLES["ledger_stream"] = ORACLES["run_ledger"]
+
 _FEED_OFFERS_CTE = """
 offers AS (
   SELECT tenant_id, sku, vendor_id, quantity_available, lead_time_days, cost_c, map_c, price_c, condition, updated_at,

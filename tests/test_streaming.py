@@ -1,5 +1,6 @@
 """Incremental ingest: each slot's newest file replaces that slot only."""
 
+import json
 import os
 import time
 
@@ -159,3 +160,64 @@ def test_untouched_buckets_are_not_rewritten(spark, tmp_path):
     assert len(folders) > 2 and len({f.rsplit("/", 1)[0] for f in now - files}) == 1
     assert len({f.rsplit("/", 1)[0] for f in now & files}) == len(folders) - 1
     assert ("S7", "b", 1, 3.0, 7) in got and len(got) == 40
+
+
+def _stream_of(spark, folder, batches, schema):
+    """A file stream that reads one file a micro-batch, in order."""
+    for k, rows in enumerate(batches):
+        at = os.path.join(folder, f"{k}.json")
+        os.makedirs(folder, exist_ok=True)
+        with open(at, "w") as f:
+            f.write("".join(json.dumps(r) + "\n" for r in rows))
+        os.utime(at, (1_700_000_000 + k, 1_700_000_000 + k))
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False)
+            .option("maxFileAge", "36500d").json(folder))
+
+
+def test_heartbeat_sessions_close_after_the_gap(spark, tmp_path):
+    """Beats 1 microsecond under the gap apart are one session, the gap apart two;
+    a worker is silent from its last beat on."""
+    from feedmerge.operators.alarms import heartbeat_gaps
+    from feedmerge.streaming import alarms as sa
+    day = "2024-01-0"
+    beats = [[("a", f"{day}1 00:00:00"), ("a", f"{day}1 00:04:59.999999"), ("b", f"{day}1 00:00:00"), ("a", None)],
+             [("a", f"{day}1 00:09:59.999999"), ("b", f"{day}1 00:00:01"), (None, f"{day}1 00:00:00")],
+             [("a", f"{day}1 01:00:00"), ("b", f"{day}1 00:30:00"), ("b", f"{day}1 00:30:00")]]
+    rows = [[{"worker_id": w, "ts": t} for w, t in batch] for batch in beats]
+    stream = _stream_of(spark, str(tmp_path / "in"), rows, "worker_id string, ts timestamp")
+    marks, sink = str(tmp_path / "marks"), str(tmp_path / "sink")
+    sa.run_to_end(sa.heartbeat_sessions(sa.with_end_mark(stream, marks)), sink, str(tmp_path / "ckpt"), marks)
+    sessions = spark.read.parquet(sink).where("worker_id is not null")
+    assert sorted((r.worker_id, str(r.first_beat)[11:], str(r.last_beat)[11:], r.beats) for r in sessions.collect()) == [
+        ("a", "00:00:00", "00:04:59.999999", 2), ("a", "00:09:59.999999", "00:09:59.999999", 1),
+        ("a", "01:00:00", "01:00:00", 1), ("b", "00:00:00", "00:00:01", 2), ("b", "00:30:00", "00:30:00", 2)]
+    flat = spark.createDataFrame([b for batch in beats for b in batch if b[0]], "worker_id string, ts string")
+    as_of = F.lit(f"{day}1 02:00:00")
+    got = sa.silences(sessions, as_of=as_of).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, heartbeat_gaps(flat, as_of=as_of).collect()))
+
+
+def test_ledger_stream_ignores_redelivered_events(spark, tmp_path):
+    """Events over several micro-batches, some delivered again later."""
+    from feedmerge.operators.ledger import ERROR_FIELDS, fold_runs
+    from feedmerge.streaming.ledger import ledger_stream, run_ledger_stream
+
+    def event(run, seq, status, stage=None, **more):
+        return {"run_id": run, "seq": seq, "status": status, "stage": stage,
+                "delivered_at": f"2024-01-01 00:{seq:02d}:00", **more}
+    first = [event("r1", 1, "QUEUED", "QUEUE"), event("r2", 1, "QUEUED", "QUEUE"), event("r3", 1, "QUEUED", "QUEUE")]
+    second = [event("r1", 2, "RUNNING", "NORMALIZE", started_at="2024-01-01 00:02:00"),
+              event("r1", 3, "FAILED", "NORMALIZE", error_code="DECODE_ERROR", failed_stage="NORMALIZE"),
+              event("r2", 2, "RUNNING", "MERGE_PRICE", artifacts={"summary": "x"}), first[0]]
+    third = [event("r1", 4, "RUNNING", "FETCH_INPUTS"), event("r1", 5, "SUCCEEDED", "COMPLETE"), second[1], first[1]]
+    schema = ("run_id string, seq bigint, status string, stage string, started_at timestamp, finished_at timestamp, "
+              "completed_at timestamp, artifacts map<string,string>, delivered_at timestamp, "
+              + ", ".join(f"{c} string" for c in ERROR_FIELDS))
+    folder, path = str(tmp_path / "in"), str(tmp_path / "ledger")
+    stream = ledger_stream(_stream_of(spark, folder, [first, second, third], schema))
+    run_ledger_stream(stream, path, str(tmp_path / "ckpt"), buckets=4)
+    got = spark.read.parquet(path).drop("key_bucket")
+    once = spark.read.schema(schema).json(folder).dropDuplicates(["run_id", "seq"])
+    want = fold_runs(once)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert got.where("run_id = 'r1'").first().status == "SUCCEEDED"
