@@ -37,7 +37,7 @@ def base_spans(text):
     out = [("email", *m.span()) for m in
            re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
-            if all(int(p) <= 255 for p in m[0].split("."))]
+            if all(int(p[-4300:]) <= 255 and not p[:-4300].strip("0") for p in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         digits = re.sub("[^0-9]", "", m[0])
         if 13 <= len(digits) <= 19 and luhn(digits):

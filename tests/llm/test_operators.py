@@ -251,3 +251,14 @@ def test_held_out_accuracy(spark):
     for name, label, least in (("op5_quality", "quality", 0.9), ("op6_toxicity", "toxic", 0.9)):
         both = QUERIES[name](spark, at).join(labels, "doc_id").where("held_out")
         assert both.where(F.col("predicted") == F.col(label)).count() >= least * both.count()
+
+
+def test_base_spans_of_very_long_digit_runs(spark):
+    texts = ["0" * 10_000 + "1.2.3.4", "1." + "0" * 5_000 + "255.3.4", "9" * 10_000 + ".1.2.3", "1.2.3." + "0" * 6_000,
+             "1.2.3." + "0" * 6_000 + "256", "+" + "1" * 20_000, "4111111111111111" + "0" * 5_000]
+    for text in texts:
+        assert pii.base_spans(text) == base_spans(text)
+    assert pii.base_spans(texts[0]) == [("ip", 0, 10_007)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_ip"] for r in pii.find_in_documents(docs, pii.train(docs)).collect()}
+    assert got == {k: len([s for s in base_spans(t) if s[0] == "ip"]) for k, t in enumerate(texts)}
