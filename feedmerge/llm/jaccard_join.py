@@ -8,7 +8,8 @@
    ``n - ceil(0.75 n) + 1`` are its prefix.  Two sets with Jaccard similarity of
    0.75 or more share a prefix shingle.  Sets with identical prefix and size
    form one group.
-3. Pairs of groups that share a prefix shingle, whose sizes allow the threshold
+3. Pairs of groups (of their members in one component, from the second round on)
+   that share a prefix shingle, whose sizes allow the threshold
    and whose sketches do not rule it out (sets of n and m shingles link only if
    they differ in at most (n + m) / 7 of them; differing sketch bits and shingles
    of one set only are a lower bound of that) are expanded into member pairs and
@@ -49,6 +50,7 @@ BLOCK_TOKENS = 2_000_000
 BLOCK_DOCS = 60_000
 SKETCH = 512      # bits
 FIRST = 2         # open shingles of the second round
+SALTS = 16        # tasks that the rows of one component are dealt to
 _U = np.uint64
 
 
@@ -279,9 +281,21 @@ def _anchor_pairs(posting: DataFrame, part_of: DataFrame) -> DataFrame:
     return near.select(F.least("g", "best.h").alias("a"), F.greatest("g", "best.h").alias("b")).distinct()
 
 
-def _open_pairs(posting: DataFrame, sketches: DataFrame, part_of: DataFrame, first: int | None) -> DataFrame:
+def _apart(left: str, right: str):
+    """A lower bound of how many shingles any member of one unit and any of the
+    other differ in: bits that all members of one set and none of the other."""
+    bits = [F.bit_count(F.col(f"{x}a{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}o{k}"))))
+            for x, y in ((left, right), (right, left)) for k in range(SKETCH // 64)]
+    return sum(bits, F.col(f"{left}single") + F.col(f"{right}single"))
+
+
+def _open_pairs(posting: DataFrame, live: DataFrame, part_of: DataFrame, first: int | None) -> DataFrame:
     """(a, b): sets of different components whose groups share a prefix shingle
-    (one of the ``first`` rarest open ones of each, if given)."""
+    (one of the ``first`` rarest open ones of each, if given).
+
+    The members of a group that are of one component are a unit.  Units are
+    paired by the bits that all their members have or lack, then the members of
+    the remaining pairs by their own sketches."""
     spread = part_of.groupBy("g").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     tagged = posting.select("token", "at", "g", "n").join(spread, "g")
     # open: a shingle that is in more than one component
@@ -292,19 +306,29 @@ def _open_pairs(posting: DataFrame, sketches: DataFrame, part_of: DataFrame, fir
         # a group has at most as many rows as its prefix is long
         rank = F.row_number().over(Window.partitionBy("g").orderBy("at"))
         tagged = tagged.withColumn("_rank", rank).where(F.col("_rank") <= first)
-    tagged = materialize(tagged.join(sketches, "g"), "open-postings")
-    bits = [f"s{k}" for k in range(SKETCH // 64)]
-    one = tagged.select("token", "g", "n", "low", "high", "single", *bits)
-    two = tagged.select("token", *[F.col(c).alias(f"{c}_") for c in ("g", "n", "low", "high", "single", *bits)])
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in bits), F.col("single") + F.col("single_"))
-    may = F.coalesce(7 * apart <= F.col("n") + F.col("n_"), F.lit(True))
-    meets = ((one["token"] == two["token"]) & (F.col("g") <= F.col("g_")) & _fits("n", "n_") & may
-             & F.expr("not (low = high and low_ = high_ and low = low_)"))
-    pairs = one.join(two, meets).select("g", "g_").distinct()
-    left = part_of.select("g", F.col("print").alias("a"), F.col("part").alias("pa"))
-    right = part_of.select(F.col("g").alias("g_"), F.col("print").alias("b"), F.col("part").alias("pb"))
-    return (pairs.join(left, "g").join(right, "g_").where("a <> b and pa <> pb")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tagged = materialize(tagged.select("token", "g", "n"), "open-postings")
+    words = range(SKETCH // 64)
+    member = materialize(part_of.join(tagged.select("g").distinct(), "g", "left_semi").join(
+        live.select("print", "n", "single", *[f"s{k}" for k in words]), "print"), "open-members")
+    unit = member.groupBy("g", "part").agg(
+        F.min("single").alias("single"), *[F.bit_and(f"s{k}").alias(f"a{k}") for k in words],
+        *[F.bit_or(f"s{k}").alias(f"o{k}") for k in words])
+    placed = materialize(tagged.join(unit, "g"), "open-units")
+    one = placed.select("token", *[F.col(c).alias(f"x{c}") for c in placed.columns if c != "token"])
+    two = placed.select("token", *[F.col(c).alias(f"y{c}") for c in placed.columns if c != "token"])
+
+    def may():
+        return _fits("xn", "yn") & (7 * _apart("x", "y") <= F.col("xn") + F.col("yn"))
+    pairs = one.join(two, (one["token"] == two["token"]) & (F.col("xpart") < F.col("ypart")) & may())
+    pairs = pairs.select("xg", "xpart", "yg", "ypart").distinct()
+    own = [F.col("g"), F.col("part"), F.col("print"), F.col("n"), F.col("single"),
+           *[F.col(f"s{k}").alias(f"{c}{k}") for k in words for c in "ao"]]
+    own = member.select(*own)
+    left = own.select(*[F.col(c).alias(f"x{c}") for c in own.columns])
+    right = own.select(*[F.col(c).alias(f"y{c}") for c in own.columns])
+    met = pairs.join(left, ["xg", "xpart"])
+    met = met.join(right, (met["yg"] == right["yg"]) & (met["ypart"] == right["ypart"]) & may())
+    return met.select(F.least("xprint", "yprint").alias("a"), F.greatest("xprint", "yprint").alias("b"))
 
 
 def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -314,12 +338,8 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     live = materialize(sets.where(F.size("prefix") > 0).select(
         "print", F.col("n_shingles").alias("n"), "central",
         (F.col("n_shingles") - F.size("tokens")).alias("single"), *words, "prefix", "tokens"), "prefix-sets")
-    # sets of one prefix and size are one group, named by its least member; a
-    # group of several has no sketch of its own
-    alone = F.count("*") == 1
-    groups = live.groupBy("n", "prefix").agg(
-        F.min("print").alias("g"), F.max("central").alias("central"), F.when(alone, F.min("single")).alias("single"),
-        *[F.when(alone, F.min(f"s{k}")).alias(f"s{k}") for k in range(SKETCH // 64)])
+    # sets of one prefix and size are one group, named by its least member
+    groups = live.groupBy("n", "prefix").agg(F.min("print").alias("g"), F.max("central").alias("central"))
     groups = materialize(groups, "groups")
     member = materialize(live.select("print", "n", "prefix").join(groups.select("n", "prefix", "g"), ["n", "prefix"])
                          .select("print", "g"), "prefix-groups")
@@ -327,14 +347,13 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(step))
     posting = materialize(groups.select(F.posexplode("prefix").alias("at", "token"), "g", "n", "central",
                                         size_class.alias("class")), "postings")
-    sketches = groups.drop("prefix", "central", "n")
 
     inside = member.where("print <> g").select(F.col("print").alias("a"), F.col("g").alias("b"))
     found = materialize(_verified(inside, live), "group-links")
     parts = components(found)
     steps = (lambda part_of: _anchor_pairs(posting, part_of),
-             lambda part_of: _open_pairs(posting, sketches, part_of, FIRST),
-             lambda part_of: _open_pairs(posting, sketches, part_of, None))
+             lambda part_of: _open_pairs(posting, live, part_of, FIRST),
+             lambda part_of: _open_pairs(posting, live, part_of, None))
     for pairs in steps:
         new = materialize(_verified(pairs(_parts(member, parts)), live), "new-links")
         found = found.unionByName(new)
@@ -351,7 +370,10 @@ def cluster(docs: DataFrame) -> DataFrame:
             .select("id", "n_shingles", F.coalesce("component", "print").alias("part")))
     part = materialize(part, "set-components")
     least = part.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
-    return part.join(least, "part", "left").select(
+    # a component may hold a third of the rows: its rows go to SALTS tasks
+    part = part.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return part.join(least, ["part", "salt"], "left").select(
         "id", "n_shingles", F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
