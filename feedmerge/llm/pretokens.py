@@ -33,6 +33,31 @@ def shrink(cache: dict, limit: int, used: set) -> None:
         cache.update(kept)
 
 
+class Recent(dict):
+    """A cache of two generations: when the young one has more than ``limit``
+    entries it becomes the old one, and entries asked for come back from it."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit = limit
+        self.old: dict = {}
+
+    def lacking(self, used: set) -> list:
+        """The keys of ``used`` that the cache does not hold; it holds the others
+        until the next call."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        new = []
+        for key in used.difference(self):
+            value = self.old.get(key)
+            if value is None:
+                new.append(key)
+            else:
+                self[key] = value
+        return new
+
+
 def byte_groups(texts: list[str], limit: int = 1 << 20):
     """Consecutive runs of texts of about ``limit`` characters: (first, end)."""
     first, size = 0, 0

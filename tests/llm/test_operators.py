@@ -13,6 +13,7 @@ from llm.brute import (KINDS, base_spans, contained, fold, jaccard_components, k
 from llm.edge import SMALL, edge_rows
 from feedmerge.llm import (byte_bpe, decontamination, embedding_dedup, jaccard_join, kneser_ney as lm, pii, quality,
                            substring_dedup, token_counts, toxicity)
+from feedmerge.llm.pretokens import Recent
 from feedmerge.llm.queries import QUERIES
 from feedmerge.llm.runtime import components
 
@@ -131,6 +132,7 @@ def test_empty_tables(spark, no_docs, no_labels):
     assert pii.find_in_documents(no_docs, pii.train(no_docs)).count() == 0
     assert lm.score(no_docs, lm.train(no_docs)).count() == 0
     assert byte_bpe.decode_documents(byte_bpe.encode_documents(no_docs)).count() == 0
+    assert byte_bpe.code_documents(no_docs).count() == 0
     assert substring_dedup.remove_repeats(no_docs).count() == 0
     assert quality.score(no_docs, quality.train(no_docs, no_labels)).count() == 0
     assert toxicity.score(no_docs, toxicity.train(no_docs, no_labels)).count() == 0
@@ -237,7 +239,26 @@ def test_base_patterns_equal_the_plain_ones():
 def test_merge_of_a_long_pretoken():
     own = byte_bpe.codec(byte_bpe.VOCABULARY)
     ids = own.merge(b"ab" * 100_000)
-    assert b"".join(own.by_id[i] for i in ids) == b"ab" * 100_000
+    packed = np.array(ids, "<u4").tobytes()
+    assert byte_bpe.decoder(byte_bpe.VOCABULARY).decode(packed, step=1000) == b"ab" * 100_000
+
+
+def test_recent_entries_come_back_from_the_old_generation():
+    cache = Recent(2)
+    for keys in ({"a", "b", "c"}, {"a", "d"}, {"a", "e", "f"}, {"a"}):
+        for key in cache.lacking(keys):
+            cache[key] = key.upper()
+        assert all(cache[key] == key.upper() for key in keys)
+    assert cache.lacking({"a"}) == [] and cache.lacking({"b"}) == ["b"]
+
+
+def test_both_ways_in_one_worker_equal_each_way(edge_docs):
+    """Nulls, empty and long texts, repeats; columns named like the added ones."""
+    both = byte_bpe.code_documents(edge_docs.withColumn("token_ids", F.lit(1)).withColumn("n_tokens", F.lit("x")))
+    each = byte_bpe.decode_documents(byte_bpe.encode_documents(edge_docs))
+    names = ["doc_id", "token_ids", "n_tokens", "decoded"]
+    rows = [sorted(map(repr, df.select(*names).collect())) for df in (both, each)]
+    assert rows[0] == rows[1]
 
 
 def test_perfect_hash_is_minimal():
