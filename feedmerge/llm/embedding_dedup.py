@@ -1,31 +1,38 @@
 """Embedding near-dedup: iterative quantisation and multi-index Hamming tables.
 
-1. Equal vectors of one label are one class.  A rotation is learned on at most
-   ``SAMPLE`` classes (lowest hash first): principal components, then iterative
-   quantisation, so that the signs are balanced 64-bit codes.  All classes are
-   encoded and indexed.
-2. A code is cut into four 16-bit substrings, one hash table each.  Every code
-   stands under its substring and its 16 neighbours at distance one, so two
-   codes with a substring at distance two or less share an entry: all pairs at
-   a Hamming distance of 11 or less meet (and most beyond).  Each pair is
-   reported by its first such table at one defined entry.  Entries with more
+1. Equal vectors of one label are one class.  For each vector length a rotation
+   is learned on at most ``SAMPLE`` classes (lowest hash first): principal
+   components, then iterative quantisation, so that the signs are balanced
+   64-bit codes (a shorter vector takes its bits from several rotations).  All
+   classes are encoded and indexed.
+2. Hash tables hold substrings of the codes.  Every code stands under its
+   substring and the neighbours at distance one, so two codes with a substring
+   at distance two or less share an entry.  Codes are taken after the mean is
+   removed, the threshold is on raw cosines: how far apart the codes of a pair
+   at the threshold lie depends on the data, so it is measured, on simulated
+   pairs at exactly that cosine.  The radius, the width of the substrings (wider
+   for more codes) and the number of tables follow, such that at most ``MISS``
+   of those pairs share no entry.  Vectors that all point one way get narrow
+   substrings: then most pairs are candidates, as most may be links.  Each pair
+   is reported by its first such table at one defined entry.  Entries with more
    than ``BUCKET`` codes are cut into block pairs, so no task holds one whole.
-3. Pairs within ``RADIUS`` are reranked: cosine of the original vectors in
+3. Pairs within the radius are reranked: cosine of the original vectors in
    double precision, links at 0.93 or more.  Components of the links follow.
 
-The tables are approximate beyond distance 11; tests measure the recall against
-brute force.  No link below the threshold is made.
+The tables are approximate; tests measure the recall against brute force.  No
+link below the threshold is made.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite
-components, have a null label, or a length other than the commonest of the
-sample link with nothing; copies link with each other; repeated rows count as
-copies; a null vec_id counts as a vector, its component is the least id of the
-others (null if there is none) and it is not kept.
+components or have a null label link with nothing; vectors of different lengths
+do not link; copies link with each other; repeated rows count as copies; a null
+vec_id counts as a vector, its component is the least id of the others (null if
+there is none) and it is not kept.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +42,14 @@ from pyspark.sql import functions as F
 from feedmerge.llm.runtime import components, materialize, shuffle_partitions
 
 BITS = 64
-TABLES = 4
-WIDTH = BITS // TABLES
 SAMPLE = 20_000
+SLICE = 4_000          # vectors encoded at once
 ROUNDS = 30
-RADIUS = 22
+MISS = 0.005           # share of pairs at the threshold that may share no entry
+PROBES = 2_000         # simulated pairs, of each kind
+TABLES, WIDEST = 8, 28
 BUCKET = 2_000
+SALTS = 16             # tasks that the rows of one component are dealt to
 THRESHOLD = 0.93
 _U = np.uint64
 
@@ -52,22 +61,75 @@ def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> tup
     values, vectors = np.linalg.eigh(centred.T @ centred / max(len(x), 1) + 1e-9 * np.eye(x.shape[1]))
     basis = vectors[:, ::-1][:, :bits]
     v = centred @ basis
-    rotation, _ = np.linalg.qr(np.random.default_rng(3).normal(size=(basis.shape[1],) * 2))
-    for _ in range(rounds):
-        u, _, w = np.linalg.svd(np.where(v @ rotation >= 0, 1.0, -1.0).T @ v)
-        rotation = (u @ w).T
-    return mean, basis @ rotation
+    rng, parts = np.random.default_rng(3), []
+    while sum(p.shape[1] for p in parts) < bits:
+        rotation, _ = np.linalg.qr(rng.normal(size=(basis.shape[1],) * 2))
+        # one start settles like another: further bits come from random rotations
+        for _ in range(0 if parts else rounds):
+            u, _, w = np.linalg.svd(np.where(v @ rotation >= 0, 1.0, -1.0).T @ v)
+            rotation = (u @ w).T
+        parts.append(basis @ rotation)
+    return mean, np.hstack(parts)[:, :bits]
 
 
 def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
     bits = (x - mean) @ projection >= 0
-    wide = np.zeros((len(x), BITS), bool)
-    wide[:, :bits.shape[1]] = bits
-    return np.packbits(wide, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+def _at_threshold(x: np.ndarray, towards: np.ndarray) -> np.ndarray:
+    """Unit vectors whose cosine with the rows of ``x`` is THRESHOLD."""
+    across = towards - np.einsum("ij,ij->i", towards, x)[:, None] * x
+    norm = np.linalg.norm(across, axis=1, keepdims=True)
+    return np.where(norm > 1e-9, THRESHOLD * x + np.sqrt(1 - THRESHOLD ** 2) * across / np.maximum(norm, 1e-9), x)
+
+
+def threshold_distances(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """Hamming distances of simulated pairs at the threshold: noise in any
+    direction, and towards another vector."""
+    rng = np.random.default_rng(7)
+    at = rng.integers(0, len(x), PROBES)
+    found = []
+    for towards in (rng.normal(size=(PROBES, x.shape[1])), x[rng.integers(0, len(x), PROBES)] - x[at]):
+        pair = _at_threshold(x[at], towards)
+        found.append(np.bitwise_count(encode(x[at], mean, projection) ^ encode(pair, mean, projection)))
+    return np.concatenate(found).astype(int)
+
+
+def index_plan(distances: np.ndarray, codes: int) -> tuple[int, int, int]:
+    """(radius, width, tables): the widest substrings, up to one code an entry,
+    that keep the pairs with these distances but for MISS of them."""
+    radius = min(BITS, int(np.quantile(distances, 1 - MISS)) + 2)
+    for width in range(min(WIDEST, max(8, int(codes).bit_length())), 2, -1):
+        meets = np.array([sum(comb(d, k) * comb(BITS - d, width - k) for k in range(3)) / comb(BITS, width)
+                          for d in range(BITS + 1)])[distances]
+        for tables in range(1, TABLES + 1):
+            if ((1 - meets) ** tables).mean() <= MISS:
+                return radius, width, tables
+    return radius, 2, 1
+
+
+def table_masks(width: int, tables: int) -> np.ndarray:
+    """Bits of each table's substring: disjoint ones first, then from another order."""
+    rng, masks = np.random.default_rng(13), []
+    while len(masks) < tables:
+        order = rng.permutation(BITS)
+        masks += [sum(1 << int(b) for b in order[k:k + width]) for k in range(0, BITS - width + 1, width)]
+    return np.array(masks[:tables], np.uint64)
+
+
+def _scaled(column) -> tuple[np.ndarray, np.ndarray]:
+    """(values, starts) of non-empty lists, each scaled by a power of two, so that
+    no square overflows."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    starts = np.cumsum(size) - size
+    _, exponent = np.frexp(np.maximum.reduceat(np.abs(flat), starts))
+    return np.ldexp(flat, -np.repeat(exponent, size)), starts
 
 
 def _unit(column, size: int) -> np.ndarray:
-    x = column.values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+    x = _scaled(column)[0].reshape(-1, size)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -84,47 +146,79 @@ def vector_classes(vectors: DataFrame) -> DataFrame:
                       F.when(F.col("usable"), F.xxhash64("label", "embedding")).alias("print"))
 
 
-ENTRIES = "label string, table int, entry int, print long, code long"
+MODEL = "size int, plan int, mean array<double>, projection array<double>"
 
 
-def _entries(mean: np.ndarray, projection: np.ndarray):
-    """Each class under its substrings and their neighbours."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = np.r_[0, 1 << np.arange(WIDTH)].astype(np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            code = encode(_unit(batch.column(2), len(mean)), mean, projection)
-            for t in range(TABLES):
-                own = (code >> _U(WIDTH * t) & _U(0xFFFF)).astype(np.int64)
-                entry = (own[:, None] ^ flips).reshape(-1)
-                row = np.repeat(np.arange(len(code)), len(flips))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).take(pa.array(row)), pa.array(np.full(len(row), t, np.int32)),
-                     pa.array(entry.astype(np.int32)), batch.column(0).take(pa.array(row)),
-                     pa.array(code.view(np.int64)[row])], names=["label", "table", "entry", "print", "code"])
-    return run
+def _fit(table: pa.Table) -> pa.Table:
+    """Rotation and index plan of the vectors of one length."""
+    table = table.sort_by("print").slice(0, SAMPLE)
+    size, codes = table["size"][0].as_py(), table["n"][0].as_py()
+    x = _unit(table["embedding"].combine_chunks(), size)
+    mean, projection = learn_rotation(x)
+    radius, width, tables = index_plan(threshold_distances(x, mean, projection), codes)
+    return pa.table({"size": pa.array([size], pa.int32()),
+                     "plan": pa.array([(radius * 100 + width) * 100 + tables], pa.int32()),
+                     "mean": pa.array([mean], pa.list_(pa.float64())),
+                     "projection": pa.array([projection.reshape(-1)], pa.list_(pa.float64()))})
+
+
+def _unpack(plan: int) -> tuple[int, np.ndarray]:
+    """(radius, masks) of the packed plan."""
+    return plan // 10_000, table_masks(plan // 100 % 100, plan % 100)
+
+
+ENTRIES = "label string, size int, plan int, table int, entry long, print long, code long"
+
+
+def _entries(vectors: pa.Table, model: pa.Table) -> pa.Table:
+    """Each class of a slice under its substrings and their neighbours."""
+    out = []
+    if vectors.num_rows:
+        size, plan = model["size"][0].as_py(), model["plan"][0].as_py()
+        mean = model["mean"].combine_chunks().flatten().to_numpy()
+        projection = model["projection"].combine_chunks().flatten().to_numpy().reshape(size, BITS)
+        code = encode(_unit(vectors["embedding"].combine_chunks(), size), mean, projection)
+        for t, mask in enumerate(_unpack(plan)[1]):
+            flips = _U(1) << np.arange(BITS, dtype=np.uint64)
+            flips = np.r_[_U(0), flips[flips & mask > 0]]
+            entry = ((code & mask)[:, None] ^ flips).reshape(-1)
+            row = np.repeat(np.arange(len(code)), len(flips))
+            at = pa.array(row)
+            out.append(pa.table({
+                "label": vectors["label"].take(at), "size": pa.array(np.full(len(row), size, np.int32)),
+                "plan": pa.array(np.full(len(row), plan, np.int32)), "table": pa.array(np.full(len(row), t, np.int32)),
+                "entry": pa.array(entry.view(np.int64)), "print": vectors["print"].take(at),
+                "code": pa.array(code.view(np.int64)[row])}))
+    return pa.concat_tables(out) if out else pa.table(
+        {"label": pa.array([], pa.string()), **{c: pa.array([], pa.int32()) for c in ("size", "plan", "table")},
+         **{c: pa.array([], pa.int64()) for c in ("entry", "print", "code")}})
 
 
 def _meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The one entry at which substrings at distance two or less report."""
     d = x ^ y
     low = d & -d
-    return np.where(np.bitwise_count(d) == 2, np.minimum(x ^ low, y ^ low), np.minimum(x, y))
+    return np.where(np.bitwise_count(d.view(np.uint64)) == 2, np.minimum(x ^ low, y ^ low), np.minimum(x, y))
 
 
 PAIRS = "a long, b long"
 
 
 def _pairs(table: pa.Table) -> pa.Table:
-    """Pairs within RADIUS that report at their entry, over many entries.
+    """Pairs within the radius that report at their entry, over many entries."""
+    plans = table["plan"].to_numpy()
+    found = [_plan_pairs(table.filter(pa.array(plans == plan)), *_unpack(int(plan))) for plan in np.unique(plans)]
+    a, b = (np.concatenate(c) for c in zip(*found))
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    All pairs of the codes of one entry (or of two of its blocks) are compared,
+
+def _plan_pairs(table: pa.Table, radius: int, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the codes of one entry (or of two of its blocks) are compared,
     about a million at a time."""
     label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
-    t, entry, i, j = (table[c].to_numpy().astype(np.int64) for c in ("table", "entry", "i", "j"))
-    order = np.lexsort((j, i, entry, t, label))
-    key = np.column_stack([label, t, entry, i, j])[order]
+    size, t, entry, i, j = (table[c].to_numpy().astype(np.int64) for c in ("size", "table", "entry", "i", "j"))
+    order = np.lexsort((j, i, entry, t, size, label))
+    key = np.column_stack([label, size, t, entry, i, j])[order]
     new = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
     run = np.flatnonzero(new)
     stop = np.r_[run[1:], len(order)][np.cumsum(new) - 1]
@@ -137,62 +231,65 @@ def _pairs(table: pa.Table) -> pa.Table:
         to = max(at + 1, int(np.searchsorted(done, done[at] + 1_000_000, "right")) - 1)
         p = np.repeat(np.arange(at, to), partners[at:to])
         q = np.arange(len(p)) - (done[p] - done[at]) + p + 1
-        near = (np.bitwise_count(code[p] ^ code[q]) <= RADIUS) & (~cross[p] | (block[p] != block[q]))
+        near = (np.bitwise_count(code[p] ^ code[q]) <= radius) & (~cross[p] | (block[p] != block[q]))
         p, q = p[near], q[near]
         first = np.ones(len(p), bool)
-        for s in range(TABLES):
-            u, v = ((code[k] >> _U(WIDTH * s) & _U(0xFFFF)).astype(np.int64) for k in (p, q))
-            first &= np.where(s < t[p], np.bitwise_count(u ^ v) > 2, (s > t[p]) | (_meeting(u, v) == entry[p]))
+        for s, mask in enumerate(masks):
+            u, v = ((code[k] & mask).view(np.int64) for k in (p, q))
+            apart = np.bitwise_count((u ^ v).view(np.uint64)) > 2
+            first &= np.where(s < t[p], apart, (s > t[p]) | (_meeting(u, v) == entry[p]))
         left.append(name[p[first]])
         right.append(name[q[first]])
         at = to
-    a, b = np.concatenate(left), np.concatenate(right)
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+    return np.concatenate(left), np.concatenate(right)
 
 
-def _rerank(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (batch.column(k).values.to_numpy(zero_copy_only=False).reshape(-1, size) for k in (2, 3))
-                dot = np.einsum("ij,ij->i", x, y)
-                cosine = dot / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-                close = pa.array(cosine >= THRESHOLD)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(close), batch.column(1).filter(close)],
-                                                 names=["a", "b"])
-    return run
+def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            # the two vectors of a pair have one length: their values lie alike
+            (x, starts), (y, _) = _scaled(batch.column(2)), _scaled(batch.column(3))
+            dot, xx, yy = (np.add.reduceat(v, starts) for v in (x * y, x * x, y * y))
+            close = pa.array(dot / (np.sqrt(xx) * np.sqrt(yy)) >= THRESHOLD)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(close), batch.column(1).filter(close)],
+                                             names=["a", "b"])
 
 
 def class_links(classes: DataFrame) -> DataFrame:
     """(a, b) for (print, label, embedding): linked classes, each pair once."""
-    sample = classes.orderBy("print").limit(SAMPLE).select("embedding").toPandas()["embedding"]
-    sizes = sample.map(len).value_counts()
-    if sizes.empty:
-        return classes.sparkSession.createDataFrame([], PAIRS)
-    size = int(sizes.index[sizes == sizes.max()].min())
-    x = np.array([v for v in sample if len(v) == size], float)
-    mean, projection = learn_rotation(x / np.linalg.norm(x, axis=1, keepdims=True))
-    same = classes.where(F.size("embedding") == size).select("print", F.col("label").cast("string").alias("label"),
-                                                             "embedding")
-    entries = materialize(same.mapInArrow(_entries(mean, projection), ENTRIES), "hamming-entries")
-    place = ["label", "table", "entry"]
+    vectors = classes.select("print", F.col("label").cast("string").alias("label"), "embedding",
+                             F.size("embedding").alias("size"))
+    sized = vectors.join(vectors.groupBy("size").agg(F.count("*").alias("n")), "size")
+    # about SAMPLE classes of each length, by hash: the rest does not reach the group
+    chosen = F.pmod(F.xxhash64("print", F.lit(5)), F.ceil(F.col("n") / F.lit(SAMPLE)).cast("long")) == 0
+    first = vectors.groupBy("size").agg(F.min("print").alias("print")).select("size", "print", F.lit(True).alias("least"))
+    sample = sized.join(first, ["size", "print"], "left").where(chosen | F.col("least"))
+    models = materialize(sample.select("print", "size", "n", "embedding").groupBy("size").applyInArrow(_fit, MODEL),
+                         "rotations")
+    slices = F.ceil(F.col("n") / F.lit(SLICE)).cast("long")
+    sliced = sized.select("print", "label", "embedding", "size", F.pmod(F.xxhash64("print"), slices).alias("slice"))
+    every = models.join(sized.select("size", "n").distinct(), "size").withColumn(
+        "slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+    entries = materialize(sliced.groupBy("size", "slice").cogroup(every.groupBy("size", "slice"))
+                          .applyInArrow(_entries, ENTRIES), "hamming-entries")
+    place = ["label", "size", "table", "entry"]
     crowd = entries.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1")
     held = entries.join(crowd, place)
     blocks = F.ceil(F.col("n") / F.lit(BUCKET)).cast("int")
-    held = held.select(*place, "print", "code", blocks.alias("blocks"),
+    held = held.select(*place, "plan", "print", "code", blocks.alias("blocks"),
                        F.pmod(F.xxhash64("print"), blocks).cast("int").alias("block"))
     # a row goes to every block pair that its block is part of
     meet = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.select(*place, "print", "code", "block", F.least("block", "other").alias("i"),
+    meet = meet.select(*place, "plan", "print", "code", "block", F.least("block", "other").alias("i"),
                        F.greatest("block", "other").alias("j"))
     # many entries a group: as many groups as keep each at a small share of all rows
     groups = 8 * shuffle_partitions(classes.sparkSession)
     meet = meet.withColumn("group", F.pmod(F.xxhash64(*place, "i", "j"), F.lit(groups)))
     pairs = materialize(meet.groupBy("group").applyInArrow(_pairs, PAIRS), "hamming-pairs")
-    left = same.select(F.col("print").alias("a"), F.col("embedding").alias("x"))
-    right = same.select(F.col("print").alias("b"), F.col("embedding").alias("y"))
+    left = vectors.select(F.col("print").alias("a"), F.col("embedding").alias("x"))
+    right = vectors.select(F.col("print").alias("b"), F.col("embedding").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(_rerank(size), PAIRS), "vector-links")
+    return materialize(both.mapInArrow(_rerank, PAIRS), "vector-links")
 
 
 def deduplicate(vectors: DataFrame) -> DataFrame:
@@ -212,7 +309,10 @@ def deduplicate(vectors: DataFrame) -> DataFrame:
                      F.coalesce("component", "print").alias("part")))
     known = materialize(known, "class-components")
     low = known.groupBy("part").agg(F.min("least").alias("component_id"))
-    known = known.join(low, "part").select("print", "n_links", "component_id")
+    # a component may hold a third of the rows: its rows go to SALTS tasks
+    known = known.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)))
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    known = known.join(low, ["part", "salt"]).select("print", "n_links", "component_id")
     alone = F.col("print").isNull()
     out = rows.select("vec_id", "print").join(known, "print", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

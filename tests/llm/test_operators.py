@@ -122,6 +122,63 @@ def test_embedding_dedup_recall(spark):
     assert alone == {(i, 0, i, True) for i in range(902, 910)}
 
 
+def links_of(rows):
+    """Linked pairs by brute force: (label, length) apart, cosines in double precision."""
+    found = set()
+    for key in {(label, len(v)) for _, v, label in rows}:
+        ids = np.array([i for i, v, label in rows if (label, len(v)) == key])
+        x = np.array([v for _, v, label in rows if (label, len(v)) == key], float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        found |= {(int(ids[a]), int(ids[b])) for a, b in np.argwhere(np.triu(x @ x.T >= 0.93, 1))}
+    return found
+
+
+def near_pairs(rng, n, size, share, first=0):
+    """n pairs at cosine 0.945; ``share`` of each squared norm lies in one direction."""
+    common = rng.normal(size=size)
+    common /= np.linalg.norm(common)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+    own = rng.normal(size=(n, size))
+    own = unit(own - (own @ common)[:, None] * common)
+    x = np.sqrt(share) * common + np.sqrt(1 - share) * own
+    across = rng.normal(size=(n, size))
+    across = unit(across - np.einsum("ij,ij->i", across, x)[:, None] * x)
+    y = 0.945 * x + np.sqrt(1 - 0.945 ** 2) * across
+    return [(first + k, v.tolist(), 0) for k, v in enumerate(np.vstack([x, y]))]
+
+
+def test_embedding_links_of_any_length_and_direction(spark):
+    rng, rows = np.random.default_rng(12), []
+    kinds = [(64, 0.0, 300), (48, 0.8, 300), (96, 0.9, 300), (8, 0.0, 60), (1, 0.0, 3)]
+    for size, share, n in kinds:
+        rows += near_pairs(rng, n, size, share, len(rows)) if size > 1 else [
+            (len(rows) + k, [x], 0) for k, x in enumerate((1.0, 2.0, -1.0))]
+    rows += [(9000, [1.0, 2.0], 0), (9001, [1.0, 2.001], 0), (9002, [1e200, 2e200], 0), (9003, [-2.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    classes = embedding_dedup.vector_classes(df)
+    name = {r["print"]: r["vec_id"] for r in classes.select("print", "vec_id").collect()}
+    found = [tuple(sorted((name[r["a"]], name[r["b"]])))
+             for r in embedding_dedup.class_links(classes.select("print", "label", "embedding")).collect()]
+    want = links_of([(i, (np.array(v) / max(map(abs, v))).tolist(), label) for i, v, label in rows])
+    assert len(found) == len(set(found)) and set(found) <= want
+    length = {i: len(v) for i, v, _ in rows}
+    for size in {len(v) for _, v, _ in rows}:
+        here = {pair for pair in want if length[pair[0]] == size}
+        assert len(here & set(found)) >= 0.95 * len(here), (size, len(here))
+    assert {p for p in found if p[0] >= 9000} == {(9000, 9001), (9000, 9002), (9001, 9002)}
+
+
+def test_substrings_widen_with_the_codes():
+    easy, hard = np.full(100, 6), np.full(100, 24)
+    _, few, _ = embedding_dedup.index_plan(easy, 1_000)
+    _, many, tables = embedding_dedup.index_plan(easy, 10 ** 7)
+    assert few == 10 and many > 16 and tables <= embedding_dedup.TABLES
+    assert embedding_dedup.index_plan(hard, 10 ** 7)[1] < 10
+    assert all(int(m).bit_count() == many for m in embedding_dedup.table_masks(many, tables))
+
+
 def test_embedding_dedup_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.deduplicate(df).count() == 0
