@@ -37,6 +37,7 @@ class RunInputs:
     rows: DataFrame       # source_file, row_number, values (+ pass-through columns)
     sku_maps: DataFrame | None = None   # tenant_id, vendor_id, vendor_sku, sku, row_number
     decode_errors: DataFrame | None = None  # tenant_id, vendor_id, error_message
+    map_decode_errors: DataFrame | None = None  # the same of SKU maps
     schema_versions: DataFrame | None = None  # tenant_id, schema_version
     received: DataFrame | None = None  # tenant_id, vendor_id with an input (default: files)
     maps_received: DataFrame | None = None  # tenant_id, vendor_id with a map file, even an empty one
@@ -205,9 +206,15 @@ def _gates(inputs: RunInputs, summary: DataFrame, missing: DataFrame, vendor_mis
     normalize_fail = col_fail.select("tenant_id", "vendor_ordinal",
                                      F.lit(S.MISSING_REQUIRED_COLUMNS).alias("_c"),
                                      F.col("missing_columns").alias("_m"))
-    if inputs.decode_errors is not None:
-        dec = inputs.decode_errors.join(inputs.vendors.select("tenant_id", "vendor_id", "vendor_ordinal"),
-                                        ["tenant_id", "vendor_id"])
+    decode_errors = inputs.decode_errors
+    if inputs.map_decode_errors is not None:
+        # a map is read after its vendor's feed: not if that had no usable header
+        read = layout.where(F.col("missing_columns").isNull()).select("tenant_id", "vendor_id")
+        broken = inputs.map_decode_errors.join(read, ["tenant_id", "vendor_id"], "left_semi")
+        decode_errors = broken if decode_errors is None else decode_errors.unionByName(broken)
+    if decode_errors is not None:
+        dec = decode_errors.join(inputs.vendors.select("tenant_id", "vendor_id", "vendor_ordinal"),
+                                 ["tenant_id", "vendor_id"])
         normalize_fail = normalize_fail.unionByName(dec.select(
             "tenant_id", "vendor_ordinal", F.lit(S.DECODE_ERROR).alias("_c"),
             F.concat(F.lit("decode error for vendor "), F.col("vendor_id"), F.lit(": "),

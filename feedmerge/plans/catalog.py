@@ -314,6 +314,7 @@ def q_missing_sku_map(spark, sf_dir):
 from feedmerge.plans import feed_files as ff  # noqa: E402
 from feedmerge.session import scratch_path  # noqa: E402
 from feedmerge.sinks.csv import write_feed  # noqa: E402
+from feedmerge.sources import copies  # noqa: E402
 from feedmerge.sources import feeds as src  # noqa: E402
 
 
@@ -342,12 +343,28 @@ def q_row_number(spark, sf_dir):
 
 @register("bronze_copy")
 def q_bronze_copy(spark, sf_dir):
-    """K8: raw lines per feed file kept in the bronze copy."""
+    """K8: byte copies of the feed files: lines of each copy, and whether the
+    bytes that Spark reads from copy and file have the digest noted at copying."""
     root = ff.write_feed_files(spark, sf_dir, scratch_path(spark, "feeds"))
-    bronze = scratch_path(spark, "bronze")
-    src.scan_feeds(spark, root, bronze_path=bronze)
-    return (spark.read.parquet(bronze).select(*ff.file_identity())
-            .groupBy("tenant_id", "vendor_id", "bucket").agg(F.count(F.lit(1)).alias("n_lines")))
+    target = scratch_path(spark, "inbound-copies")
+
+    def found(path):
+        return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                .select("path", *ff.file_identity("path"), F.sha2("content", 256).alias("sha256"), "length"))
+    files = materialize(found(root), "inbound-files")
+    key = F.concat(F.lit("tenant_id="), "tenant_id", F.lit("/vendor_id="), "vendor_id", F.lit("/bucket="),
+                   F.col("bucket").cast("string"), F.lit("/"), F.element_at(F.split("path", "/"), -1))
+    keyed = files.withColumn("key", key)
+    noted = copies.copy_files(keyed.select("path", "key", F.col("length").alias("size")), target)
+    copied = found(target).withColumn("key", key).select("key", F.col("sha256").alias("copied"))
+    lines = (spark.read.option("recursiveFileLookup", "true").text(target).select(F.col("_metadata.file_path").alias("file"))
+             .select(*ff.file_identity("file")).groupBy("tenant_id", "vendor_id", "bucket")
+             .agg(F.count(F.lit(1)).alias("n_lines")))
+    same = (F.col("sha256") == F.col("copied")) & (F.col("sha256") == F.col("copy_sha256")) & (
+        F.col("length") == F.col("copy_bytes"))
+    checked = (keyed.join(noted, "key", "left").join(copied, "key", "left").groupBy("tenant_id", "vendor_id", "bucket")
+               .agg(F.every(F.coalesce(same, F.lit(False))).alias("same_bytes")))
+    return lines.join(checked, ["tenant_id", "vendor_id", "bucket"])
 
 
 def _valid_records(spark, sf_dir, files, rows):

@@ -34,6 +34,7 @@ from feedmerge.session import configure, materialize, scratch_path
 from feedmerge.sinks.csv import write_feed
 from feedmerge.sinks.reports import write_error_report
 from feedmerge.sources import config as cfg
+from feedmerge.sources import copies
 from feedmerge.sources import feeds as src
 from feedmerge.sources import listing as lst
 
@@ -75,23 +76,26 @@ def _qualified(spark: SparkSession, paths: DataFrame) -> DataFrame:
                             .otherwise(F.concat(F.lit("file:"), F.col("path"))))
 
 
-def read_sku_maps(spark: SparkSession, maps: DataFrame) -> DataFrame:
-    """Map files (header ``vendor_sku,sku``) -> raw map rows in file order."""
-    maps = _qualified(spark, maps)
-    paths = [r.path for r in maps.select("path").collect()]
-    if not paths:
+def read_sku_maps(spark: SparkSession, maps: DataFrame, vendors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Map files (header ``vendor_sku,sku``) -> raw map rows in file order, and
+    (tenant_id, vendor_id, error_message) of those that cannot be decoded.  A
+    map is in its vendor's encoding; files of one encoding share a scan."""
+    maps = _qualified(spark, maps).join(vendors.select("tenant_id", "vendor_id", "encoding"), ["tenant_id", "vendor_id"])
+    files, rows, broken = _scan_groups(spark, maps.withColumn("delimiter", F.lit(",")))
+    if files is None:
         return spark.createDataFrame([], "tenant_id string, vendor_id string, vendor_sku string, sku string, "
-                                         "row_number bigint")
-    files, rows = src.scan_feeds(spark, paths)
+                                         "row_number bigint"), broken
+    ident = maps.select(F.col("path").alias("source_file"), "tenant_id", "vendor_id")
 
     def pos(name):
         return header_position(F.lit(name))  # last column of that name wins
-    j = rows.join(files, "source_file").join(maps.withColumnRenamed("path", "source_file"), "source_file")
-    return j.select("tenant_id", "vendor_id",
-                    F.when(pos("vendor_sku") > 0, F.try_element_at("values", pos("vendor_sku").cast("int")))
-                    .alias("vendor_sku"),
-                    F.when(pos("sku") > 0, F.try_element_at("values", pos("sku").cast("int"))).alias("sku"),
-                    "row_number")
+    j = rows.join(files, "source_file").join(ident, "source_file")
+    mapped = j.select("tenant_id", "vendor_id",
+                      F.when(pos("vendor_sku") > 0, F.try_element_at("values", pos("vendor_sku").cast("int")))
+                      .alias("vendor_sku"),
+                      F.when(pos("sku") > 0, F.try_element_at("values", pos("sku").cast("int"))).alias("sku"),
+                      "row_number")
+    return mapped, broken
 
 
 def _single_documents(configs: DataFrame) -> DataFrame:
@@ -133,9 +137,10 @@ def _execute(spark: SparkSession, configs: DataFrame, runs: DataFrame, feeds: Da
     files = (ident.join(files, "source_file", "left")
              .withColumn("header", F.coalesce("header", F.array().cast("array<string>")))
              .join(decode.select("tenant_id", "vendor_id"), ["tenant_id", "vendor_id"], "left_anti"))
+    map_rows, map_broken = read_sku_maps(spark, sku_maps, vendors) if sku_maps is not None else (None, None)
     inputs = RunInputs(rules=rules, vendors=vendors, files=files, rows=rows,
-                       sku_maps=read_sku_maps(spark, sku_maps) if sku_maps is not None else None,
-                       decode_errors=decode,
+                       sku_maps=map_rows, decode_errors=decode,
+                       map_decode_errors=materialize(map_broken, "map-decode-errors") if map_broken is not None else None,
                        schema_versions=configs.select("tenant_id", "schema_version"),
                        received=feeds.select("tenant_id", "vendor_id"),
                        maps_received=sku_maps.select("tenant_id", "vendor_id") if sku_maps is not None else None)
@@ -215,7 +220,8 @@ def run_batch(spark: SparkSession, requests: DataFrame, versions: DataFrame, lis
 
     The newest object of each vendor's prefix is its feed, the object of the
     configured key its SKU map; the input manifest, config snapshot and status
-    events are written with the other artifacts.  A run whose version does not
+    events are written with the other artifacts.  Each feed is first copied byte
+    by byte to ``runs/<run_copy_key>``; the manifest holds the copy's digest.  A run whose version does not
     exist gets a failure-form error report and a FAILED event.
     """
     configure(spark)
@@ -230,16 +236,21 @@ def run_batch(spark: SparkSession, requests: DataFrame, versions: DataFrame, lis
     vendors = cfg.vendors_from_configs(configs)
     manifest = materialize(lst.input_manifest(listing, vendors), "manifest")
     feeds = manifest.where("status = 'found'").select("tenant_id", "vendor_id", F.col("s3_key").alias("path"))
+    # the inbound copies that the manifest names, before anything is parsed
+    base = out_dir.rstrip("/")
+    by_run = ("run_id", "tenant_id")
+    copy_key = F.when(F.col("s3_key").isNotNull(), F.concat_ws(
+        "/", "run_id", F.lit("tenants"), "tenant_id", F.lit("inbound"), "vendor_id", basename(F.col("s3_key"))))
+    tagged = manifest.join(runs.select("tenant_id", "run_id"), "tenant_id").withColumn("run_copy_key", copy_key)
+    received = tagged.where("status = 'found'").select(F.col("s3_key").alias("path"), F.col("run_copy_key").alias("key"),
+                                                       F.col("size").cast("bigint").alias("size"))
+    copied = copies.copy_files(received.dropDuplicates(["key"]), f"{base}/runs")
     maps = vendors.where("has_sku_map").select("tenant_id", "vendor_id", F.col("sku_map_key").alias("path"))
     maps = maps.join(listing.select(F.col("key").alias("path")), "path").select("tenant_id", "vendor_id", "path")
     out = _execute(spark, configs, runs, feeds, out_dir, now, materialize(maps, "map-files"), one_file_per_tenant)
 
-    base = out_dir.rstrip("/")
-    by_run = ("run_id", "tenant_id")
-    tagged = manifest.join(runs.select("tenant_id", "run_id"), "tenant_id")
-    copied = F.when(F.col("s3_key").isNotNull(), F.concat_ws(
-        "/", "run_id", F.lit("tenants"), "tenant_id", F.lit("inbound"), "vendor_id", basename(F.col("s3_key"))))
-    _write_rows(tagged.withColumn("run_copy_key", copied), f"{base}/reports/input_manifest", *by_run)
+    _write_rows(tagged.join(copied.withColumnRenamed("key", "run_copy_key"), "run_copy_key", "left"),
+                f"{base}/reports/input_manifest", *by_run)
     lost = pinned.where("not config_found")
     _write_rows(lost.select(*by_run, "error_code", F.lit("tenant config not found").alias("error_message")),
                 f"{base}/reports/errors", *by_run)

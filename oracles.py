@@ -402,7 +402,8 @@ FROM lineitem"""
 
 ORACLES["bronze_copy"] = """
 SELECT 'T' || CAST(l_suppkey % 5 AS VARCHAR) AS tenant_id, 'V' || CAST(l_suppkey AS VARCHAR) AS vendor_id,
-       CAST(l_orderkey // 1000000 AS BIGINT) AS bucket, CAST(count(*) + 1 AS BIGINT) AS n_lines
+       CAST(l_orderkey // 1000000 AS BIGINT) AS bucket, CAST(count(*) + 1 AS BIGINT) AS n_lines,
+       true AS same_bytes
 FROM lineitem GROUP BY ALL"""
 
 ORACLES["scan_feed"] = ORACLES["split_valid"]

@@ -2,6 +2,7 @@
 thresholds, missing vendors, encodings and the schema-version gate."""
 
 import glob
+import hashlib
 import json
 import os
 
@@ -192,16 +193,20 @@ def test_valid_utf8_with_replacement_char_is_not_a_decode_error(spark, tmpdir_pa
     assert [r.sku for r in job.result.records.collect()] == ["SKU�"]
 
 
-def test_invalid_rows_exactly_at_the_limit_pass(spark, tmpdir_path):
-    # 1 invalid of 2: 1 > 1 is false and 0.5 > 0.5 is false (strict comparisons)
-    f = _write(os.path.join(tmpdir_path, "a.csv"),
-               "sku,quantity_available,price\nSKU1,10,5.00\nSKU2,-1,4.00\n")
-    job, _ = _run(spark, tmpdir_path, [_policy_config(max_invalid_rows=1, max_invalid_row_pct=0.5)],
-                  [("test_tenant", "vendor-a", f)])
-    g = job.gates[0]
-    assert (g.status, g.invalid_rows, g.total_rows) == ("SUCCEEDED", 1, 2)
-    assert [e.reason for e in job.result.errors.collect()] == [
-        "quantity_available: quantity_available must be >= 0"]
+def test_a_limit_is_passed_only_when_it_is_exceeded(spark, tmpdir_path):
+    """Eight rows of hardware, three of them bad in three ways."""
+    sizes = [f"HEX-M{k},{k * 12},0.{k}5" for k in range(3, 8)]
+    bad = ["HEX-M8,twelve,0.85", ",96,0.95", "HEX-M10,-4,1.05"]
+    f = _write(os.path.join(tmpdir_path, "hardware.csv"), "\n".join(["sku,quantity_available,price", *sizes, *bad, ""]))
+    outcomes = {}
+    for rows, share in ((3, 0.375), (2, 0.375), (3, 0.37)):
+        job, _ = _run(spark, tmpdir_path, [_policy_config(max_invalid_rows=rows, max_invalid_row_pct=share)],
+                      [("test_tenant", "vendor-a", f)])
+        g = job.gates[0]
+        assert (g.invalid_rows, g.total_rows) == (3, 8)
+        outcomes[rows, share] = g.status
+    assert outcomes == {(3, 0.375): "SUCCEEDED", (2, 0.375): "FAILED", (3, 0.37): "FAILED"}
+    assert sorted(e.row_number for e in job.result.errors.collect()) == [7, 8, 9]
 
 
 def _gate(job):
@@ -248,6 +253,31 @@ def test_absent_sku_map_is_an_error_and_an_empty_one_is_not(spark, tmpdir_path):
         assert job.gates[0].status == "SUCCEEDED"
 
 
+def test_a_sku_map_is_in_the_encoding_of_its_vendor(spark, tmpdir_path):
+    f = _write(os.path.join(tmpdir_path, "a.csv"), "sku,quantity_available,price,cost\nKÖRNER,7,2.50,1.00\n", "latin-1")
+    m = _write(os.path.join(tmpdir_path, "m.csv"), "vendor_sku,sku\nKÖRNER,GRAIN-1\n", "latin-1")
+    c = _mapped_config()
+    c["vendors"][0]["parser"] = dict(c["vendors"][0]["parser"], encoding="latin-1")
+    job, _ = _run(spark, tmpdir_path, [c], [("test_tenant", "vendor-a", f)], [("test_tenant", "vendor-a", m)])
+    assert job.gates[0].status == "SUCCEEDED"
+    assert [r.sku for r in job.result.records.collect()] == ["GRAIN-1"]
+
+
+def test_a_broken_sku_map_fails_its_tenant(spark, tmpdir_path):
+    f = _write(os.path.join(tmpdir_path, "a.csv"), FEED)
+    bare = _write(os.path.join(tmpdir_path, "bare.csv"), "sku,price\nBOLT,2.50\n")
+    m = _write(os.path.join(tmpdir_path, "m.csv"), b"vendor_sku,sku\nBOLT,K\xd6RNER\n")
+    maps = [("test_tenant", "vendor-a", m)]
+    job, _ = _run(spark, tmpdir_path, [_mapped_config()], [("test_tenant", "vendor-a", f)], maps)
+    assert _gate(job) == ("FAILED", "NORMALIZE", "DECODE_ERROR")
+    assert job.gates[0].error_message == "decode error for vendor vendor-a: invalid utf-8 bytes"
+    # a feed that lacks columns ends before its map is read
+    lenient = _mapped_config()
+    lenient["error_policy"] = dict(lenient["error_policy"], fail_on_missing_required_columns=False)
+    job, _ = _run(spark, tmpdir_path, [lenient], [("test_tenant", "vendor-a", bare)], maps, run="run-2")
+    assert job.gates[0].error_code != "DECODE_ERROR"
+
+
 def test_unsupported_strategy_is_invalid_input_with_a_failure_report(spark, tmpdir_path):
     f = _write(os.path.join(tmpdir_path, "a.csv"), FEED)
     c = _policy_config()
@@ -312,6 +342,9 @@ def test_run_batch_resolves_config_listing_and_writes_reports(spark, tmpdir_path
     manifest = spark.read.json(os.path.join(out, "reports", "input_manifest")).collect()
     assert [(m.status, m.run_copy_key) for m in manifest] == [
         ("found", "r1/tenants/test_tenant/inbound/vendor-a/a-new.csv")]
+    copy = open(os.path.join(out, "runs", manifest[0].run_copy_key), "rb").read()
+    assert copy == open(manifest[0].s3_key.removeprefix("file:"), "rb").read()
+    assert manifest[0].copy_sha256 == hashlib.sha256(copy).hexdigest() and manifest[0].copy_bytes == len(copy)
     summary = spark.read.json(os.path.join(out, "reports", "run_summary")).first()
     assert summary.vendor_record_counts["vendor-a"] == 1 and summary.config_version == 1
     assert json.loads(spark.read.json(os.path.join(out, "reports", "config_snapshot")).first().config)["tenant_id"] \
