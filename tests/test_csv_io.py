@@ -119,3 +119,20 @@ def test_range_partitioned_parts_concatenate_to_sorted_feed(spark, tmpdir_path):
     lines = _read_text(tmpdir_path, "tenant_id=t").splitlines()
     assert lines[0] == "sku,vendor_id"
     assert lines[1:] == sorted(f"SKU-{i:05d},v" for i in range(5000))
+
+
+def test_columns_outside_the_layout_are_ignored_or_refused(spark, tmpdir_path):
+    import pytest
+    df = spark.createDataFrame([("t", "cog-1", "east", "Cog", 0, 1)],
+                               "tenant_id string, sku string, vendor_id string, title string, "
+                               "vendor_ordinal bigint, row_number bigint")
+    some, every = (spark.createDataFrame([("t", columns)], "tenant_id string, output_columns array<string>")
+                   for columns in (["sku", "vendor_id"], []))
+    out = os.path.join(tmpdir_path, "o")
+    with pytest.raises(ValueError, match="not in the output of t: title"):
+        write_feed(df, out, some, extras="raise")
+    assert not os.path.exists(out)
+    write_feed(df, out, some)
+    assert _read_text(out, "tenant_id=t") == "sku,vendor_id\ncog-1,east\n"
+    write_feed(df, out, every, extras="raise")   # an empty list is all columns
+    assert "Cog" in _read_text(out, "tenant_id=t")
