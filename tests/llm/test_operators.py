@@ -170,6 +170,16 @@ def test_embedding_links_of_any_length_and_direction(spark):
     assert {p for p in found if p[0] >= 9000} == {(9000, 9001), (9000, 9002), (9001, 9002)}
 
 
+def test_embedding_dedup_ignores_columns_of_any_name(spark):
+    rows = near_pairs(np.random.default_rng(4), 5, 16, 0.0)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    more = df
+    for name in ("print", "size", "n", "slice", "plan", "code", "part", "salt", "kept", "component_id"):
+        more = more.withColumn(name, F.lit("x"))
+    plain, clashing = (sorted(map(tuple, embedding_dedup.deduplicate(d).collect())) for d in (df, more))
+    assert plain == clashing and len(plain) == 10 and sum(r[1] for r in plain) == 10
+
+
 def test_substrings_widen_with_the_codes():
     easy, hard = np.full(100, 6), np.full(100, 24)
     _, few, _ = embedding_dedup.index_plan(easy, 1_000)
