@@ -11,10 +11,13 @@ from feedmerge.session import scratch_path
 #: Rows of whole texts that go to Python at once (Spark's default of 10,000 may
 #: be a large part of an executor's memory).
 ARROW_ROWS = "1000"
+#: And their bytes: a row may be a long text or a whole block of documents.
+ARROW_BYTES = str(16 << 20)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
