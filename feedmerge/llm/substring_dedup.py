@@ -5,7 +5,9 @@ Consecutive windows with one minimiser travel as one packed string (a super
 k-mer) to the minimiser's bucket, so equal windows meet and a word travels about
 three times, not 35 times.  A bucket numbers its words exactly, sorts the
 windows by a hash, compares the words of neighbours in that order, and so counts
-every window exactly.
+every window exactly.  A minimiser may be frequent and its bucket large: there the
+windows are hashed in steps and compared in parts by hash, so that a word costs
+little more than its number and its window's hash.
 
 A block sends each distinct string once.  A string that a block holds twice is
 known to repeat: it goes without its places, which the block keeps for itself.
@@ -21,6 +23,7 @@ through and those named like the added ones are replaced.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,7 @@ RUN = 4                        # words of a minimiser
 SPAN = WINDOW - RUN + 1        # runs of a window: a power of two
 BLOCK_WORDS = 1_000_000
 BLOCK_DOCS = 60_000
+STEP_WORDS = 500_000           # of a bucket: words hashed, and windows compared, at once
 _U = np.uint64
 
 
@@ -155,9 +159,26 @@ def _window_hashes(ids: np.ndarray) -> np.ndarray:
     return join(wide[:len(ids) - WINDOW + 1], three[width:width + len(ids) - WINDOW + 1])
 
 
-def _groups(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A number for each window (by place), equal exactly for equal windows."""
-    h = _window_hashes(ids)[place]
+def _all_hashes(ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of all windows of strings (of ``length`` words, one after another)."""
+    end = np.cumsum(length)
+    out, at = np.empty(int((length - WINDOW + 1).sum()), np.uint64), 0
+    first = 0
+    while first < len(length):
+        base = int(end[first] - length[first])
+        last = max(first + 1, int(np.searchsorted(end, base + STEP_WORDS, "right")))
+        h = _window_hashes(ids[base:int(end[last - 1])])
+        inside = np.ones(len(h), bool)  # windows over the end of a string are none
+        for k in range(1, WINDOW):
+            inside[end[first:last - 1] - base - k] = False
+        h = h[inside]
+        out[at:at + len(h)] = h
+        first, at = last, at + len(h)
+    return out
+
+
+def _groups(ids: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A number for each window (by place and hash), equal exactly for equal windows."""
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
     view = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
@@ -191,7 +212,7 @@ def _count(table: pa.Table) -> pa.Table:
     codec = pa.Codec("zstd")
     blocks = table["block"].to_pylist()
     number: dict[bytes, int] = {}
-    ids, lengths, rows = [], [], []
+    ids, lengths, rows = array("i"), [], []
     for k, (packed, sizes) in enumerate(zip(table["a"].to_pylist(), table["b"].to_pylist())):
         sizes = np.frombuffer(sizes, np.uint32)
         joined = codec.decompress(packed, int(sizes.sum()), asbytes=True)
@@ -199,22 +220,32 @@ def _count(table: pa.Table) -> pa.Table:
         for a, b in zip([0, *ends[:-1]], ends):
             words = joined[a:b].split()
             lengths.append(len(words))
-            ids += [number.setdefault(w, len(number)) for w in words]
+            ids.extend([number.setdefault(w, len(number)) for w in words])
         rows.append(np.full(len(sizes), k))
     number.clear()
-    ids, length, row = np.array(ids, np.int32), np.array(lengths, np.int64), np.concatenate(rows)
+    ids, length, row = np.frombuffer(ids, np.int32), np.array(lengths, np.int64), np.concatenate(rows)
     doc = np.concatenate([np.frombuffer(x, np.uint32) for x in table["c"].to_pylist()])
     word = np.concatenate([np.frombuffer(x, np.uint32) for x in table["d"].to_pylist()]).astype(np.int64)
     begin = np.cumsum(length) - length
     windows = length - WINDOW + 1
-    string = np.repeat(np.arange(len(length)), windows)
-    place = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[string]
-    group = _groups(ids, place)
+    before = np.cumsum(windows) - windows
     single = doc != 0xFFFFFFFF
-    weight = np.where(single, 1, 2)[string]
-    again = np.bincount(group, weights=weight)[group] > 1
-    again &= single[string]
-    string, place = string[again], place[again]
+
+    def located(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        string = np.searchsorted(before, window, "right") - 1
+        return string, window - before[string] + begin[string]
+
+    hashes = _all_hashes(ids, length)
+    again = np.zeros(len(hashes), bool)
+    bits = (len(hashes) // STEP_WORDS).bit_length()
+    for part in range(1 << bits):  # equal windows have one hash, so they are in one part
+        window = np.flatnonzero(hashes >> _U(64 - bits) == part) if bits else np.arange(len(hashes))
+        if len(window):
+            string, place = located(window)
+            group = _groups(ids, place, hashes[window])
+            weight = np.where(single, 1, 2)[string]
+            again[window[(np.bincount(group, weights=weight)[group] > 1) & single[string]]] = True
+    string, place = located(np.flatnonzero(again))
     if not len(place):
         return pa.table([pa.array([], t) for t in _REPLY_KINDS], names=_REPLY_NAMES)
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (string[1:] != string[:-1])])
