@@ -221,3 +221,41 @@ def test_ledger_stream_ignores_redelivered_events(spark, tmp_path):
     want = fold_runs(once)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
     assert got.where("run_id = 'r1'").first().status == "SUCCEEDED"
+
+
+def test_a_slot_is_one_file_and_emptied_by_tasks(spark, tmp_path, monkeypatch):
+    """Rows of a slot that come from many tasks end in one file; slots whose newest
+    file has no rows are emptied by the job that writes, not one by one by the driver."""
+    from feedmerge.streaming import ingest
+    deleted = []
+    monkeypatch.setattr(ingest, "delete_path", lambda spark_, path: deleted.append(path))
+    root, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+
+    def dealt(spark_, paths):
+        return _process(spark_, paths).repartition(4)
+
+    def table():
+        rows = spark.read.schema("sku string, qty string, tenant_id string, vendor_id string").parquet(out)
+        return sorted((r.vendor_id, r.sku) for r in rows.collect())
+    vendors = ["a", "b", "c"]
+    for v in vendors:
+        _feed(root, v, "f1.csv", [(f"S{i}", i) for i in range(40)])
+    ingest_stream(spark, root, out, ckpt, dealt, ("tenant_id", "vendor_id"))
+    files = [f for _, _, names in os.walk(out) for f in names if f.endswith(".parquet")]
+    assert len(files) == 3 and len(table()) == 120 and {v for v, _ in table()} == set(vendors)
+    time.sleep(1.1)
+    for v in vendors[:2]:
+        _feed(root, v, "f2.csv", [])
+    ingest_stream(spark, root, out, ckpt, dealt, ("tenant_id", "vendor_id"))
+    assert table() == sorted(("c", f"S{i}") for i in range(40))
+    assert not [d for d in deleted if "-slots/" not in d]
+
+
+def test_slot_folders_are_named_as_spark_names_them(spark, tmp_path):
+    from feedmerge.streaming.slots import replace_slots
+    rows = spark.createDataFrame([("a b", 1), ("c=d", 2), ("e%f/g", 3), (None, 4)], "v string, n int")
+    replace_slots(rows, rows.select("v"), str(tmp_path / "ours"), ["v"])
+    rows.write.partitionBy("v").parquet(str(tmp_path / "spark"))
+    folders = [sorted(d for d in os.listdir(tmp_path / side) if "=" in d) for side in ("ours", "spark")]
+    assert folders[0] == folders[1]
+    assert sorted(spark.read.parquet(str(tmp_path / "ours")).collect(), key=lambda r: r.n)[2].v == "e%f/g"
