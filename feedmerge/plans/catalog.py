@@ -12,7 +12,7 @@ from feedmerge.operators.merge import best_offer
 from feedmerge.operators.pricing import price_offers
 from feedmerge.operators.rules import attach_rules
 from feedmerge.plans import driver_views as dv
-from feedmerge.session import configure, materialize
+from feedmerge.session import configure, materialize, pack
 from feedmerge.sinks.formatting import sink_value
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -349,7 +349,7 @@ def q_bronze_copy(spark, sf_dir):
     target = scratch_path(spark, "inbound-copies")
 
     def found(path):
-        return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return pack(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
                 .select("path", *ff.file_identity("path"), F.sha2("content", 256).alias("sha256"), "length"))
     files = materialize(found(root), "inbound-files")
     key = F.concat(F.lit("tenant_id="), "tenant_id", F.lit("/vendor_id="), "vendor_id", F.lit("/bucket="),
@@ -357,7 +357,7 @@ def q_bronze_copy(spark, sf_dir):
     keyed = files.withColumn("key", key)
     noted = copies.copy_files(keyed.select("path", "key", F.col("length").alias("size")), target)
     copied = found(target).withColumn("key", key).select("key", F.col("sha256").alias("copied"))
-    lines = (spark.read.option("recursiveFileLookup", "true").text(target).select(F.col("_metadata.file_path").alias("file"))
+    lines = (pack(spark.read.option("recursiveFileLookup", "true").text(target).select(F.col("_metadata.file_path").alias("file")))
              .select(*ff.file_identity("file")).groupBy("tenant_id", "vendor_id", "bucket")
              .agg(F.count(F.lit(1)).alias("n_lines")))
     same = (F.col("sha256") == F.col("copied")) & (F.col("sha256") == F.col("copy_sha256")) & (
