@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 from feedmerge import schema as S
 from feedmerge.functions.formatting import stage_index
 from feedmerge.operators import normalize as nz
-from feedmerge.operators.merge import best_offer
-from feedmerge.operators.pricing import price_offers
+from feedmerge.operators.merge import best_priced
 from feedmerge.operators.quality import vendor_entry
-from feedmerge.operators.rules import attach_rules, drop_rules
 from feedmerge.operators.skumap import apply_sku_map, clean_sku_map, missing_sku_maps
 from feedmerge.session import materialize
 
@@ -156,7 +154,7 @@ def engine(inputs: RunInputs, now: Column, *, worker_flow: bool = True,
         errors = errors.unionByName(p)
 
     # -- merge + price --------------------------------------------------------------
-    merged = drop_rules(price_offers(best_offer(attach_rules(valid, rules), tiebreak)))
+    merged = best_priced(valid, rules, tiebreak)
 
     # -- counts and summary ---------------------------------------------------------
     vendor_counts = vendors.select("tenant_id", "vendor_id").join(

@@ -34,3 +34,28 @@ def test_no_python_in_registered_plans(spark):
     for name in ("ordered_output", "run_ledger", "sku_map_join", "alarm_consecutive"):
         plan = _plan(spark, name)
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_offers_are_ranked_without_pricing_rules(spark, monkeypatch):
+    """Every offer is sorted before the shuffle: it carries the merge rules only."""
+    from feedmerge.operators import merge
+    from feedmerge.plans import catalog
+    carried, best = [], merge.best_offer
+    for module in (merge, catalog):
+        monkeypatch.setattr(module, "best_offer", lambda df, *a: carried.append(df.columns) or best(df, *a))
+    for name in ("ordered_output", "project_output"):
+        REGISTRY[name](spark, SF_SMALL)
+        assert {c for c in carried.pop() if c.startswith("rule_")} == {
+            "rule_shipping_handling_flat", "rule_include_shipping_handling", "rule_fallback_lead_time_days"}
+
+
+def test_scan_splits_are_bounded(spark):
+    from feedmerge.session import SCAN_BYTES, SCAN_SPLIT, configure
+    given = spark.conf.get(SCAN_BYTES)
+    try:
+        spark.conf.set(SCAN_BYTES, "128MB")
+        assert configure(spark).conf.get(SCAN_BYTES) == str(SCAN_SPLIT)
+        spark.conf.set(SCAN_BYTES, "1m")  # a smaller one stays
+        assert configure(spark).conf.get(SCAN_BYTES) == "1m"
+    finally:
+        spark.conf.set(SCAN_BYTES, given)
