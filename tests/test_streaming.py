@@ -259,3 +259,13 @@ def test_slot_folders_are_named_as_spark_names_them(spark, tmp_path):
     folders = [sorted(d for d in os.listdir(tmp_path / side) if "=" in d) for side in ("ours", "spark")]
     assert folders[0] == folders[1]
     assert sorted(spark.read.parquet(str(tmp_path / "ours")).collect(), key=lambda r: r.n)[2].v == "e%f/g"
+
+
+def test_ledger_state_lies_in_rocksdb(spark, tmp_path):
+    """The state of events and runs is on disk; the session's own setting stays."""
+    from feedmerge.streaming import ledger
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    with ledger._state_on_disk(spark):
+        assert spark.conf.get(key).endswith("RocksDBStateStoreProvider")
+    assert spark.conf.get(key, None) == before
