@@ -288,7 +288,7 @@ def class_links(classes: DataFrame) -> DataFrame:
     pairs = materialize(meet.groupBy("group").applyInArrow(_pairs, PAIRS), "hamming-pairs")
     left = vectors.select(F.col("print").alias("a"), F.col("embedding").alias("x"))
     right = vectors.select(F.col("print").alias("b"), F.col("embedding").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    both = pairs.hint("merge").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return materialize(both.mapInArrow(_rerank, PAIRS), "vector-links")
 
 
@@ -298,21 +298,28 @@ def deduplicate(vectors: DataFrame) -> DataFrame:
     classes = materialize(rows.where("print is not null").groupBy("print")
                           .agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"),
                                F.count("*").alias("copies"), F.min("vec_id").alias("least")), "vector-classes")
+    # a family's links are many rows in a small file: by its size Spark would
+    # broadcast them, through the driver, so all joins with links are by a sort
     links = class_links(classes.select("print", "label", "embedding"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).hint("merge")
     counts = classes.select("print", "copies")
     others = (both.join(counts.withColumnRenamed("print", "b"), "b").groupBy(F.col("a").alias("print"))
               .agg(F.sum("copies").alias("others")))
     parts = components(links).withColumnRenamed("node", "print")
-    known = (classes.join(others, "print", "left").join(parts, "print", "left")
+    known = (classes.join(others.hint("merge"), "print", "left").join(parts.hint("merge"), "print", "left")
              .select("print", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "least",
                      F.coalesce("component", "print").alias("part")))
     known = materialize(known, "class-components")
-    low = known.groupBy("part").agg(F.min("least").alias("component_id"))
+    # a class alone in its component has that least id itself
+    low = (known.groupBy("part").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+           .where("classes > 1").drop("classes"))
     # a component may hold a third of the rows: its rows go to SALTS tasks
     known = known.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)))
     low = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    known = known.join(low, ["part", "salt"]).select("print", "n_links", "component_id")
+    # Spark takes the size before the explode for that after it, and would pass
+    # SALTS times what it may broadcast through the driver: joined by a sort
+    known = known.join(low.hint("merge"), ["part", "salt"], "left").select(
+        "print", "n_links", F.coalesce("component_id", "least").alias("component_id"))
     alone = F.col("print").isNull()
     out = rows.select("vec_id", "print").join(known, "print", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

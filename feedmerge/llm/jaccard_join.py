@@ -369,12 +369,16 @@ def cluster(docs: DataFrame) -> DataFrame:
     part = (sets.select("id", "n_shingles", "print").join(parts, F.col("print") == F.col("node"), "left")
             .select("id", "n_shingles", F.coalesce("component", "print").alias("part")))
     part = materialize(part, "set-components")
-    least = part.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
+    # a row alone in its component has the least id itself
+    least = (part.where("part is not null").groupBy("part").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+             .where("rows > 1").drop("rows"))
     # a component may hold a third of the rows: its rows go to SALTS tasks
     part = part.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return part.join(least, ["part", "salt"], "left").select(
-        "id", "n_shingles", F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    # Spark takes the size before the explode for that after it, and would pass
+    # SALTS times what it may broadcast through the driver: joined by a sort
+    return part.join(least.hint("merge"), ["part", "salt"], "left").select(
+        "id", "n_shingles", F.coalesce("least", "id").alias("component_id"))
 
 
 def _with_row_key(docs: DataFrame) -> DataFrame:

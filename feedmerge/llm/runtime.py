@@ -48,7 +48,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternating large-star and small-star steps; each round is one written
     table, so lineage stays short and a lost executor costs one round.  A node
-    with many links is reduced by a partial minimum, never gathered.
+    with many links is reduced by a partial minimum, never gathered.  Links are
+    joined by a sort: their files are small beside their rows, and Spark would
+    broadcast by the files' size.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links, name)
@@ -56,11 +58,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = (both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
         large = materialize(large, name)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.join(least.hint("merge"), "u")
         small = (joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         links = materialize(small, name)

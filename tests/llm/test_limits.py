@@ -36,3 +36,22 @@ def test_cache_finds_rows_added_in_any_order():
     flat, sizes = cache.rows(0, cache.find(keys))
     assert [p.tolist() for p in np.split(flat, np.cumsum(sizes)[:-1])] == [known[k] for k in keys.tolist()]
     assert (cache.find(np.array([1, 2], np.uint64)) == -1).all()
+
+
+def test_links_are_not_broadcast(spark, monkeypatch):
+    """Links are many rows in small files, salted components many rows of a small
+    table: Spark's estimates would pass them through the driver."""
+    from feedmerge.llm import embedding_dedup as ed
+    from feedmerge.llm import jaccard_join as jj
+    plans, write = {}, ed.materialize
+    plan_of = (lambda df: df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(ed, "materialize", lambda df, name: plans.update({name: plan_of(df)}) or write(df, name))
+    rows = [(k, [1.0, 0.01 * (k % 5), 0.5 * (k // 5)], 0) for k in range(40)]
+    out = ed.deduplicate(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert "SortMergeJoin [a#" in plans["vector-links"]
+    known = plans["class-components"]
+    assert "BroadcastHashJoin [print#" not in known and known.count("SortMergeJoin [print#") >= 2
+    docs = [(k, " ".join(f"w{x + k // 4}" for x in range(40))) for k in range(20)]
+    pairs = jj.cluster(spark.createDataFrame(docs, "id long, text string"))
+    for df in (out, pairs):
+        assert "BroadcastHashJoin [part#" not in plan_of(df) and "SortMergeJoin [part#" in plan_of(df)
