@@ -20,8 +20,12 @@ def strip_ws(c: Column) -> Column:
 
     Spark's one-argument ``trim`` removes only blanks; the two-argument form
     with the whole whitespace set does the job without a regular expression.
+    It looks both ends up in the set, so a text that has visible ASCII
+    characters there, as most have, is taken as it is.
     """
-    return F.trim(c, F.lit(PY_WHITESPACE))
+    c = F.col(c) if isinstance(c, str) else c
+    clean = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(clean, c).otherwise(F.trim(c, F.lit(PY_WHITESPACE)))
 
 
 def basename(key: Column) -> Column:

@@ -69,10 +69,6 @@ def row_data(header: str = "header", values: str = "values") -> Column:
     return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value"))))
 
 
-def _required(value: Column, label: str) -> Column:
-    return F.when(strip_ws(F.coalesce(value, F.lit(""))) == "", F.lit(f"{label}: value is required"))
-
-
 def normalize(rows: DataFrame, now: Column, *, values: str = "values",
               header: str = "header") -> DataFrame:
     """Typed canonical columns plus ``reason`` (NULL for a valid row).
@@ -87,9 +83,9 @@ def normalize(rows: DataFrame, now: Column, *, values: str = "values",
     split filter is pushed below the projections and every row is parsed
     twice.
 
-    The work is staged in three projections (raw fields, stripped text,
-    converted values) so every expression is computed once and each
-    generated code block stays small.
+    The work is staged in projections (raw fields, stripped text, converted
+    values, validator messages) so every expression is computed once and
+    each generated code block stays small.
     """
     keep = [c for c in rows.columns
             if (c == "vendor_id" or c not in set(CANONICAL_COLUMNS)) and not c.startswith("pos_")]
@@ -120,38 +116,38 @@ def normalize(rows: DataFrame, now: Column, *, values: str = "values",
               "lead_time_days": lead, "price": price, "updated_at": updated}
     # 3. converted values, the first conversion error and model-level flags
     staged = staged.select(
-        *keep, "_raw_sku", "_raw_vendor_sku", "_raw_brand", "_raw_title", "_s_sku", "_cond_in",
+        *keep, "_raw_vendor_sku", "_raw_brand", "_raw_title", "_s_sku",
+        F.lower(strip_ws(F.col("_cond_in"))).alias("_condition"), strip_ws(F.col("vendor_id")).alias("_s_vendor"),
         *[parsed[f].value.alias(f"_v_{f}") for f in CONVERSION_ORDER],
         F.coalesce(*[parsed[f].error for f in CONVERSION_ORDER]).alias("_conversion_error"),
         *[parsed[f].invalid.alias(f"_i_{f}") for f in ("cost", "map_price", "price", "msrp")],
     )
     v = {f: F.col(f"_v_{f}") for f in CONVERSION_ORDER}
     quantity = F.coalesce(v["quantity_available"], F.lit(0).cast("bigint"))
-    cond_norm = F.lower(strip_ws(F.col("_cond_in")))
-    cond_ok = F.col("_cond_in").isNull() | cond_norm.isin(*CONDITIONS)
+    cond_ok = F.col("_condition").isNull() | F.col("_condition").isin(*CONDITIONS)
     validator_errors = [
         F.when(F.col("_s_sku") == "", F.lit("sku: value is required")),
-        _required(F.col("vendor_id"), "vendor_id"),
+        F.when(F.coalesce("_s_vendor", F.lit("")) == "", F.lit("vendor_id: value is required")),
         F.when(quantity < 0, F.lit("quantity_available: quantity_available must be >= 0")),
         *[F.when(F.col(f"_i_{f}").isNotNull(), F.concat(F.lit(f"{f}: "), F.col(f"_i_{f}")))
           for f in ("cost", "map_price", "price", "msrp")],
         F.when(~cond_ok, F.lit("condition: condition must be new, used, or refurb")),
     ]
-    validation = F.concat_ws("; ", *validator_errors)
-    reason = F.coalesce(F.col("_conversion_error"), F.when(validation != "", validation))
+    staged = staged.select("*", F.concat_ws("; ", *validator_errors).alias("_validation"))
+    reason = F.coalesce(F.col("_conversion_error"), F.when(F.col("_validation") != "", F.col("_validation")))
     dropped = {"vendor_id", header, values, "column_map"}
     out = staged.select(
         *[c for c in keep if c not in dropped],
         F.col("_s_sku").alias("sku"),
         F.col("_raw_vendor_sku").alias("vendor_sku"),
-        strip_ws(F.col("vendor_id")).alias("vendor_id"),
+        F.col("_s_vendor").alias("vendor_id"),
         quantity.alias("quantity_available"),
         v["lead_time_days"].alias("lead_time_days"),
         v["cost"].alias("cost"),
         v["map_price"].alias("map_price"),
         F.coalesce(v["price"], F.lit(0).cast(MONEY)).alias("price"),
         v["msrp"].alias("msrp"),
-        F.when(F.col("_cond_in").isNotNull(), cond_norm).alias("condition"),
+        F.col("_condition").alias("condition"),
         F.col("_raw_brand").alias("brand"),
         F.col("_raw_title").alias("title"),
         F.coalesce(v["updated_at"], now.cast("timestamp")).alias("updated_at"),

@@ -120,7 +120,9 @@ def engine(inputs: RunInputs, now: Column, *, worker_flow: bool = True,
                           F.col("missing_columns").alias("reason"), vendor_entry().alias("row_data")))
 
     # -- parse + validate, once ---------------------------------------------------
-    good = layout.where(F.col("missing_columns").isNull()).drop("header_truncated", "column_map")
+    good = layout.where(F.col("missing_columns").isNull()).select(
+        "tenant_id", "vendor_id", "vendor_ordinal", "default_condition", "source_file", "header",
+        *[f"pos_{f}" for f in nz.FEED_FIELDS])
     # one row per input file, small beside the rows: Spark broadcasts it by its
     # measured size, or shuffles and splits a huge file's rows (skew join)
     feed = inputs.rows.join(good, "source_file")

@@ -190,7 +190,9 @@ def vendor_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cents_text(cents):
     """Non-negative integer cents as ``d.dd``."""
-    return F.format_string("%d.%02d", (cents / 100).cast("bigint"), cents % 100)
+    rest = cents % 100
+    return F.concat(((cents - rest) / 100).cast("bigint").cast("string"),
+                    F.when(rest.between(0, 9), F.lit(".0")).otherwise(F.lit(".")), rest.cast("string"))
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,13 @@ def test_parse_datetime_matches_python(spark):
         assert (r.value, r.error) == (want, err), r.raw
 
 
+def test_parse_datetime_fields_have_pythons_widths(spark):
+    dates = ["2020-001-02", "+12020-01-02", "2020-01-02 003:04:05", "2020", "2020-01", "2020-01-02T03:04",
+             "2020-01-02 03:04:05 UTC", "2020-1-2 24:00:00", "2021-2-29T1:2:3", "2020-2-29T1:2:3"]
+    for r in _run(spark, dates, parse_datetime):
+        assert (r.value, r.error) == py_dt(r.raw), r.raw
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet=" \t\n\r\x0b\x0c\xa0 abc1", max_size=8), min_size=1, max_size=20))
 def test_strip_ws_matches_python(spark, values):

@@ -59,3 +59,25 @@ def test_scan_splits_are_bounded(spark):
         assert configure(spark).conf.get(SCAN_BYTES) == "1m"
     finally:
         spark.conf.set(SCAN_BYTES, given)
+
+
+def test_a_row_is_parsed_once_in_the_plan(spark, monkeypatch):
+    """No pattern's parser for the times, and the validators' messages are put
+    together once a row, not for every column that needs the reason."""
+    from feedmerge.plans import batch
+    plans = {}
+
+    def kept(df, name="stage"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, name)
+    materialize = batch.materialize
+    monkeypatch.setattr(batch, "materialize", kept)
+    key = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        assert REGISTRY["vendor_counts"](spark, SF_SMALL).count() > 0
+    finally:
+        spark.conf.set(key, before)
+    assert plans["normalized"].count("concat_ws(") == 1
+    assert "gettimestamp(" not in plans["normalized"].lower()
