@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedmerge.llm.ragged import RaggedCache
-from feedmerge.llm.runtime import materialize
+from feedmerge.llm.runtime import materialize, release_memory
 from feedmerge.llm.textarrays import as_bytes, hash_spans
 from feedmerge.llm.token_counts import load_tokenizer
 
@@ -354,6 +354,7 @@ def _blocks(vocabulary_a: str, vocabulary_b: str, block_bytes: int):
                 if block.size >= block_bytes:
                     yield block.row(pair)
                     pair.shrink()  # slots only change between blocks
+                    release_memory()
                     name += 1
                     block = _Block(name)
         if block.columns[0]:
@@ -368,6 +369,8 @@ _ALIGNED_NAMES = [c.split()[0] for c in ALIGNED.split(", ")]
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with the corpus-wide counts of their pairs: rows of documents."""
+    _pairs.clear()  # every piece is aligned by now: the caches only take memory
+    release_memory()
     for batch in batches:
         for k in range(batch.num_rows):
             row = {n: batch.column(c)[k] for c, n in enumerate(batch.schema.names)}
@@ -407,7 +410,8 @@ def align_documents(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabular
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256
     of every row of (doc_id, text)."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = materialize(given.mapInArrow(_blocks(vocabulary_a, vocabulary_b, block_bytes), BLOCKS), "aligned-blocks")
+    blocks = materialize(given.mapInArrow(_blocks(vocabulary_a, vocabulary_b, block_bytes), BLOCKS), "aligned-blocks",
+                         large_rows=True)
     own = blocks.select("block", F.posexplode("pairs").alias("k", "pair"))
     # a block's pairs are bounded by its bytes
     answers = (own.join(pair_counts(blocks), "pair").groupBy("block")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +24,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below spark.checkpoint.dir and read back."""
+#: For rows of megabytes: Parquet's writer looks at the size of what it holds after
+#: 100 rows only, and a reader takes in as many rows of a row group as there are.
+LARGE_ROWS = {"parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "1",
+              "parquet.page.size.row.check.max": "8"}
+
+
+def materialize(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+    """``df`` written once below spark.checkpoint.dir and read back; ``large_rows``:
+    in row groups of a few rows, so that a task never holds more of them."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give what this worker no longer uses back to the system: workers stay, and
+    the next stage runs beside what they keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

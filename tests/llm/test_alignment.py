@@ -159,3 +159,29 @@ def test_ends_of_a_piece_take_no_array(monkeypatch):
     parts = [b" a", b"", "é".encode(), b"word"]
     monkeypatch.setattr(alignment.np, "cumsum", None)
     assert alignment._ends(parts) == [2, 2, 4, 8] and alignment._ends([]) == []
+
+
+def test_large_rows_are_written_in_row_groups_of_a_few(spark):
+    """100 rows and more in one row group would be held at once, however long they are."""
+    import glob
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from feedmerge.llm.runtime import materialize
+
+    def rows(batches):
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array([os.urandom(2 << 20)])], names=["data"])
+    written = materialize(spark.range(0, 48, 1, 1).mapInArrow(rows, "data binary"), "large-rows", large_rows=True)
+    files = [f for p in written.inputFiles() for f in glob.glob(p.removeprefix("file:").replace("//", "/"))]
+    groups = [pq.ParquetFile(f).metadata.row_group(k) for f in files for k in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 48 and max(g.total_byte_size for g in groups) <= 40 << 20
+
+
+def test_the_last_stage_lets_go_of_the_caches():
+    """Workers are kept: what they learnt of pieces would lie beside the last stage's rows."""
+    alignment._pair(alignment.VOCABULARY_A, alignment.VOCABULARY_B)
+    list(alignment._finish(iter([])))
+    assert not alignment._pairs
