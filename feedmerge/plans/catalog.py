@@ -12,7 +12,7 @@ from feedmerge.operators.merge import best_offer, best_priced
 from feedmerge.operators.pricing import price_offers
 from feedmerge.operators.rules import attach_rules
 from feedmerge.plans import driver_views as dv
-from feedmerge.session import configure, materialize, pack
+from feedmerge.session import configure, materialize
 from feedmerge.sinks.formatting import sink_value
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,6 +316,7 @@ from feedmerge.session import scratch_path  # noqa: E402
 from feedmerge.sinks.csv import write_feed  # noqa: E402
 from feedmerge.sources import copies  # noqa: E402
 from feedmerge.sources import feeds as src  # noqa: E402
+from feedmerge.sources import files as fl  # noqa: E402
 
 
 def _scanned(spark, sf_dir):
@@ -342,24 +343,23 @@ def q_row_number(spark, sf_dir):
 @register("bronze_copy")
 def q_bronze_copy(spark, sf_dir):
     """K8: byte copies of the feed files: lines of each copy, and whether the
-    bytes that Spark reads from copy and file have the digest noted at copying."""
+    bytes read back from copy and file have the digest noted at copying."""
     root = ff.write_feed_files(spark, sf_dir, scratch_path(spark, "feeds"))
     target = scratch_path(spark, "inbound-copies")
-
-    def found(path):
-        return pack(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-                .select("path", *ff.file_identity("path"), F.sha2("content", 256).alias("sha256"), "length"))
-    files = materialize(found(root), "inbound-files")
     key = F.concat(F.lit("tenant_id="), "tenant_id", F.lit("/vendor_id="), "vendor_id", F.lit("/bucket="),
                    F.col("bucket").cast("string"), F.lit("/"), F.element_at(F.split("path", "/"), -1))
-    keyed = files.withColumn("key", key)
-    noted = copies.copy_files(keyed.select("path", "key", F.col("length").alias("size")), target)
-    copied = found(target).withColumn("key", key).select("key", F.col("sha256").alias("copied"))
-    lines = (pack(spark.read.option("recursiveFileLookup", "true").text(target).select(F.col("_metadata.file_path").alias("file")))
-             .select(*ff.file_identity("file")).groupBy("tenant_id", "vendor_id", "bucket")
-             .agg(F.count(F.lit(1)).alias("n_lines")))
+
+    def found(path):
+        read = fl.digests(fl.list_tree(spark, path)).select("*", *ff.file_identity("path"))
+        return read.withColumn("key", key)
+    keyed = materialize(found(root), "inbound-files")
+    noted = copies.copy_files(keyed.select("path", "key", F.col("n_bytes").alias("size")), target)
+    copied = materialize(found(target), "copied-files")
+    lines = (copied.where("n_lines > 0").groupBy("tenant_id", "vendor_id", "bucket")
+             .agg(F.sum("n_lines").alias("n_lines")))
+    copied = copied.select("key", F.col("sha256").alias("copied"))
     same = (F.col("sha256") == F.col("copied")) & (F.col("sha256") == F.col("copy_sha256")) & (
-        F.col("length") == F.col("copy_bytes"))
+        F.col("n_bytes") == F.col("copy_bytes"))
     checked = (keyed.join(noted, "key", "left").join(copied, "key", "left").groupBy("tenant_id", "vendor_id", "bucket")
                .agg(F.every(F.coalesce(same, F.lit(False))).alias("same_bytes")))
     return lines.join(checked, ["tenant_id", "vendor_id", "bucket"])

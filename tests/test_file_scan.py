@@ -111,3 +111,30 @@ def test_digests_and_lines_of_files(spark, tmp_path, monkeypatch):
     for name, data in made.items():
         assert (got[name].n_bytes, got[name].sha256) == (len(data), hashlib.sha256(data).hexdigest())
         assert got[name].n_lines == lines[name], name
+
+
+def test_copies_are_checked_without_a_file_index(spark, monkeypatch):
+    """Four scans of all files and copies held each file's status on the driver four times."""
+    from feedmerge.plans.catalog import REGISTRY
+    from pyspark.sql.readwriter import DataFrameReader
+    loads, load = [], DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, *a, **o: loads.append(a) or load(self, *a, **o))
+    monkeypatch.setattr(DataFrameReader, "text", None)
+    rows = REGISTRY["bronze_copy"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and not loads and all(r.same_bytes and r.n_lines > 1 for r in rows)
+    assert sum(r.n_lines - 1 for r in rows) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_a_copy_that_is_not_the_file_is_found(spark, monkeypatch):
+    from feedmerge.plans import catalog
+    copy = catalog.copies.copy_files
+
+    def spoiled(files, root, **o):
+        done = copy(files, root, **o)
+        path = sorted(os.path.join(d, n) for d, _, names in os.walk(root.removeprefix("file://")) for n in names)[0]
+        with open(path, "r+b") as f:
+            f.write(b"#")
+        return done
+    monkeypatch.setattr(catalog.copies, "copy_files", spoiled)
+    rows = catalog.REGISTRY["bronze_copy"](spark, "/root/testdata/sf0.001").collect()
+    assert [r.same_bytes for r in rows].count(False) == 1
