@@ -92,7 +92,7 @@ def test_tree_is_listed_as_spark_lists_it(spark, tmp_path, monkeypatch):
     want = sorted((r.path, r.length) for r in spark.read.format("binaryFile").option("recursiveFileLookup", True)
                   .load(root).select("path", "length").collect())  # this reader leaves out empty files
     for tasks in (64, 1):  # level by level, and whole subtrees
-        monkeypatch.setattr(fl, "tasks_for", lambda s: tasks)
+        monkeypatch.setattr(fl, "tasks_for", lambda s, n=None: tasks)
         got = sorted(map(tuple, fl.list_tree(spark, root).collect()))
         assert [x for x in got if x[1]] == want and len(want) == 4 and len(got) == 8
     assert fl.list_tree(spark, [f"file://{root}/a=2/f.csv"]).first().path == f"file:{root}/a=2/f.csv"

@@ -269,3 +269,30 @@ def test_ledger_state_lies_in_rocksdb(spark, tmp_path):
     with ledger._state_on_disk(spark):
         assert spark.conf.get(key).endswith("RocksDBStateStoreProvider")
     assert spark.conf.get(key, None) == before
+
+
+def test_slots_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Slots are as many as feed files: no index of them on the driver."""
+    import datetime as dt
+    from decimal import Decimal
+
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from feedmerge.streaming.slots import read_slots, replace_slots
+    schema = "tenant_id string, bucket bigint, sku string, price decimal(18,6), at timestamp, n int"
+    when = dt.datetime(2020, 5, 4, 3, 2, 1, 5)
+    made = [(t, b, f"{t}{b}", Decimal("1.25"), when, b) for t in ("a", "b c", "d/e=%", None) for b in (0, 7)]
+    rows, out = spark.createDataFrame(made, schema), str(tmp_path / "table")
+    slots = rows.select("tenant_id", "bucket")
+    replace_slots(rows, slots, out, ["tenant_id", "bucket"])
+    (tmp_path / "table" / "_SUCCESS").write_bytes(b"")
+    full = spark.createDataFrame([], schema).schema
+    order = lambda rs: sorted(rs, key=lambda r: (r[0] or "", r[1]))
+    own = DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, p: own(self, p) if "listing" in p else 1 / 0)
+    assert order(map(tuple, read_slots(spark, out, ["tenant_id", "bucket"], full).collect())) == order(made)
+    some = spark.createDataFrame([("a", 7), ("none", 1), ("d/e=%", 0)], "tenant_id string, bucket bigint")
+    got = read_slots(spark, out, ["tenant_id", "bucket"], full, some).collect()
+    assert order(map(tuple, got)) == order(m for m in made if m[:2] in (("a", 7), ("d/e=%", 0)))
+    monkeypatch.setattr(DataFrameReader, "parquet", own)
+    assert dict(read_slots(spark, out, ["tenant_id", "bucket"]).dtypes)["at"] == "timestamp"
