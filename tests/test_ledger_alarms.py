@@ -108,3 +108,19 @@ def test_run_of_periods_across_time_slices(spark):
     df = spark.createDataFrame(points, "ts timestamp, v double")
     fired = al.evaluate(df, value="v", statistic="Maximum", period_seconds=3600, periods=3, threshold=1)
     assert sorted(r.window_start for r in fired.collect()) == [border + k * hour for k in range(-1, 3)]
+
+
+def test_upserts_leave_no_copies_behind(spark, tmp_path):
+    import os
+
+    from feedmerge.session import checkpoint_dir
+    from feedmerge.streaming.buckets import upsert
+    at = checkpoint_dir(spark).removeprefix("file://") + "/feedmerge"
+    rows = spark.createDataFrame([(k, k * 10) for k in range(20)], "k bigint, v bigint")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    for _ in range(2):
+        upsert(spark, str(tmp_path / "t"), rows, ["k"], 4)
+    upsert(spark, str(tmp_path / "t"), rows.where("k < 5").withColumn("v", rows.k), ["k"], 4)
+    assert not {n for n in set(os.listdir(at)) - before if n.startswith(("upsert", "buckets"))}
+    got = {r.k: r.v for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert got == {k: k if k < 5 else k * 10 for k in range(20)}
